@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
 NEWTON_STEPS = 12
-CORRECTIONS = 12
+CORRECTIONS = 8
 #: Documents of one source that share a rounding chunk, about.
 CHUNK_ROWS = 4096
 
@@ -56,69 +56,77 @@ def target_by_source(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return spark.createDataFrame(found, "source string, source_size long, target double, n_docs long")
 
 
-def _by_source(targets: list, value) -> Column:
-    """A value per source as one expression; sources are few."""
-    out = F.lit(None).cast("double")
-    for r in targets:
-        out = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), F.lit(float(value(r)))).otherwise(out)
-    return out
+def _numbered(df: DataFrame, targets: list) -> DataFrame:
+    """``sid``: the source's place in the targets; sources are few."""
+    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("source")))
+    places = F.create_map(*[F.lit(x) for k, r in enumerate(targets) for x in ("-" if r["source"] is None else "=" + r["source"], k)])
+    return df.withColumn("sid", F.try_element_at(places, key))
 
 
-def newton(sizes: DataFrame, targets: list, most: int = MAX_COPIES, steps: int = NEWTON_STEPS) -> dict:
+def _of(values: list) -> Column:
+    """The value of the row's source."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("sid"))
+
+
+def _rate(multipliers: list[float], scales: list[float], most: int) -> Column:
+    tilt = _of(multipliers) * F.col("size") / _of(scales)
+    return most / (1 + F.exp(-F.greatest(F.least(tilt, F.lit(500.0)), F.lit(-500.0))))
+
+
+def newton(sizes: DataFrame, targets: list, most: int = MAX_COPIES, steps: int = NEWTON_STEPS) -> list[float]:
     """Multipliers of the dual, one per source, by distributed Newton steps.
 
     The dual of each source is convex with gradient sum(rate * size) - target;
-    a step aggregates gradient and curvature over all documents and halves its
-    length where it would overshoot the bracket known so far.
+    a step aggregates gradient and curvature over all documents, and is halved
+    into the bracket known so far where it would leave it.
     """
-    scale = {r["source"]: max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets}
-    at = {r["source"]: 0.0 for r in targets}
-    low, high = {s: -60.0 for s in at}, {s: 60.0 for s in at}
+    scales = [max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets]
+    at, low, high = [0.0] * len(targets), [-60.0] * len(targets), [60.0] * len(targets)
     for _ in range(steps):
-        z = F.col("size") / _by_source(targets, lambda r: scale[r["source"]])
-        tilt = _by_source(targets, lambda r: at[r["source"]]) * z
-        rate = most / (1 + F.exp(-F.greatest(F.least(tilt, F.lit(500.0)), F.lit(-500.0))))
-        got = sizes.groupBy("source").agg(F.sum(rate * F.col("size")).alias("words"), F.sum(rate * (1 - rate / most) * F.col("size") * z).alias("slope")).collect()
+        rate = _rate(at, scales, most)
+        got = sizes.groupBy("sid").agg(F.sum(rate * F.col("size")).alias("words"), F.sum(rate * (1 - rate / most) * F.col("size") * F.col("size") / _of(scales)).alias("slope")).collect()
+        done = True
         for r in got:
-            s, want = r["source"], next(t["target"] for t in targets if t["source"] == r["source"])
-            gap = (r["words"] or 0.0) - want
+            k = r["sid"]
+            gap = (r["words"] or 0.0) - targets[k]["target"]
+            done = done and abs(gap) <= 1e-6 * max(1.0, targets[k]["target"])
             if gap > 0:
-                high[s] = min(high[s], at[s])
+                high[k] = min(high[k], at[k])
             else:
-                low[s] = max(low[s], at[s])
-            step = at[s] - gap / r["slope"] if r["slope"] else at[s]
-            at[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-        if all(abs((r["words"] or 0) - t["target"]) <= 1e-9 * max(1.0, t["target"]) for r in got for t in targets if t["source"] == r["source"]):
+                low[k] = max(low[k], at[k])
+            step = at[k] - gap / r["slope"] if r["slope"] else at[k]
+            at[k] = step if low[k] < step < high[k] else (low[k] + high[k]) / 2
+        if done:
             break
-    return {"scale": scale, "at": at}
+    return at
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES) -> DataFrame:
     """Copies of every document so that sources take their shares of the words.
 
     A null text has size 0; documents of size 0 take nothing. A null source is
-    a source of its own, the last. Repeated doc_ids are separate documents,
-    told apart by a stable order only where all else is equal; equal rows round
-    alike. Reruns agree: ties are broken by hashes of doc_id, size and source.
+    a source of its own, the last. Rows with the same doc_id are documents of
+    their own. Reruns agree: ties are broken by doc_id and its hash, and equal
+    rows are alike. An empty table gives an empty one.
 
     Returns doc_id, source, size, source_size, target, rate, copies, taken.
     """
-    sizes = stored(docs.select("doc_id", "source", F.coalesce(word_count(F.col("text")), F.lit(0)).alias("size")), "sizes")
-    targets = target_by_source(sizes, weights, share, most).collect()
+    counted = stored(docs.select("doc_id", "source", F.coalesce(word_count(F.col("text")), F.lit(0)).alias("size")), "sizes")
+    targets = target_by_source(counted, weights, share, most).collect()
     if not targets:
-        return sizes.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
-    dual = newton(sizes, targets, most)
-    z = F.col("size") / _by_source(targets, lambda r: dual["scale"][r["source"]])
-    full = _by_source(targets, lambda r: r["target"] >= most * r["source_size"]) == 1.0
-    rate = F.when(full, F.lit(float(most))).otherwise(most / (1 + F.exp(-F.greatest(F.least(_by_source(targets, lambda r: dual["at"][r["source"]]) * z, F.lit(500.0)), F.lit(-500.0)))))
-    rated = sizes.select("doc_id", "source", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
-    copied = cut(correct(round_copies(rated, targets), targets, most))
+        return counted.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
+    sizes = _numbered(counted, targets)
+    scales = [max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets]
+    full = _of([r["target"] >= most * r["source_size"] for r in targets])
+    rate = F.when(full, F.lit(float(most))).otherwise(_rate(newton(sizes, targets, most), scales, most))
+    rated = sizes.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
+    copied = correct(round_copies(rated, targets), targets, most)
     return copied.select(
         "doc_id",
         "source",
         "size",
-        _by_source(targets, lambda r: r["source_size"]).cast("long").alias("source_size"),
-        _by_source(targets, lambda r: r["target"]).alias("target"),
+        _of([r["source_size"] for r in targets]).cast("long").alias("source_size"),
+        _of([r["target"] for r in targets]).alias("target"),
         "rate",
         "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
@@ -132,60 +140,49 @@ def round_copies(rated: DataFrame, targets: list) -> DataFrame:
     scanned first, then the rows of each chunk, so no task holds a source.
     """
     # Hot sources have more chunks, in proportion to their documents.
-    chunks = _by_source(targets, lambda r: max(1, r["n_docs"] // CHUNK_ROWS)).cast("long")
+    chunks = _of([max(1, r["n_docs"] // CHUNK_ROWS) for r in targets]).cast("long")
+    exact = F.col("rate").cast("decimal(20,12)")
     keyed = rated.withColumn("step", F.floor(2 * F.log2(F.col("size") + 1))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), chunks))
-    sums = keyed.groupBy("source", "step", "chunk").agg(F.sum(F.col("rate").cast("decimal(20,12)")).alias("rates"))
-    running = F.sum("rates").over(W.partitionBy("source").orderBy("step", "chunk")) - F.col("rates")
-    before = sums.select(F.col("source").alias("source_"), F.col("step").alias("step_"), F.col("chunk").alias("chunk_"), running.alias("offset"))
-    same = F.col("source").eqNullSafe(F.col("source_")) & (F.col("step") == F.col("step_")) & (F.col("chunk") == F.col("chunk_"))
-    joined = keyed.join(before, same).drop("source_", "step_", "chunk_")
-    within = W.partitionBy("source", "step", "chunk").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.col("offset") + F.sum(F.col("rate").cast("decimal(20,12)")).over(within)
+    sums = keyed.groupBy("sid", "step", "chunk").agg(F.sum(exact).alias("rates"))
+    running = F.sum("rates").over(W.partitionBy("sid").orderBy("step", "chunk")) - F.col("rates")
+    before = sums.select("sid", "step", "chunk", running.alias("offset"))
+    joined = keyed.join(before, ["sid", "step", "chunk"])
+    within = W.partitionBy("sid", "step", "chunk").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("offset") + F.sum(exact).over(within)
     # An offset of one half rounds a lone document to the nearest number of copies.
-    taken = (F.floor(upto + F.lit(0.5)) - F.floor(upto - F.col("rate").cast("decimal(20,12)") + F.lit(0.5))).cast("int")
-    return joined.select("doc_id", "source", "size", "rate", taken.alias("copies"))
+    taken = (F.floor(upto + F.lit(0.5)) - F.floor(upto - exact + F.lit(0.5))).cast("int")
+    return joined.select("doc_id", "source", "sid", "size", "rate", taken.alias("copies"))
 
 
 def correct(copied: DataFrame, targets: list, most: int = MAX_COPIES) -> DataFrame:
     """Moves a copy of one document per source and pass towards the source's target.
 
     Each pass takes the largest document that fits into what is missing (or too
-    much), so the gap falls quickly; the list of moves holds at most
-    CORRECTIONS entries per source.
+    much), so the gap falls quickly; the moves are CORRECTIONS per source at
+    most. Documents whose doc_id stands in more rows of the source stay.
     """
-    base = cut(copied.withColumn("order", F.xxhash64("doc_id", "size")))
-    want = {r["source"]: r["target"] for r in targets}
-    moves: list[tuple] = []
-
-    def moved() -> DataFrame:
-        change = F.lit(0)
-        for source, doc_id, by in moves:
-            change = change + F.when(F.col("source").eqNullSafe(F.lit(source)) & (F.col("doc_id") == F.lit(doc_id)), F.lit(by)).otherwise(F.lit(0))
-        return base.withColumn("copies", (F.col("copies") + change).cast("int")) if moves else base
-
-    single = base.where("doc_id is not null")
-    totals = {r["source"]: int(r["words"] or 0) for r in base.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()}
+    alone = F.count("*").over(W.partitionBy("sid", "doc_id")) == 1
+    base = cut(copied.withColumn("alone", alone & F.col("doc_id").isNotNull() & (F.col("size") > 0)))
+    got = {r["sid"]: int(r["words"] or 0) for r in base.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()}
+    moves: dict[tuple[int, int], int] = {}
     for _ in range(CORRECTIONS):
-        gap = {s: want[s] - totals[s] for s in totals}
-        if all(abs(g) < 1 for g in gap.values()):
+        gaps = [targets[k]["target"] - got.get(k, 0) for k in range(len(targets))]
+        if all(abs(g) < 1 for g in gaps):
             break
-        short = _by_source(targets, lambda r: gap.get(r["source"], 0.0))
-        used = {(s, d) for s, d, _ in moves}
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs(short)) & F.when(short > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        for s, d in used:
-            fits = fits & ~(F.col("source").eqNullSafe(F.lit(s)) & (F.col("doc_id") == F.lit(d)))
-        best = single.where(fits).groupBy("source").agg(F.max(F.struct("size", "order", "doc_id")).alias("best")).collect()
+        gap = _of([float(g) for g in gaps])
+        moved = [d for _, d in moves]
+        fits = F.col("alone") & (F.col("size") <= F.abs(gap)) & F.when(gap > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        best = base.where(fits & ~F.col("doc_id").isin(moved) if moved else fits).groupBy("sid").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("order"), "doc_id")).alias("best")).collect()
         if not best:
             break
-        # A doc_id that stands in several rows of its source would move them all; such rows count together.
-        several = {(r["source"], r["doc_id"]): r for r in single.where(" or ".join(f"doc_id = {b['best']['doc_id']}" for b in best)).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("copies").alias("least"), F.max("copies").alias("top")).collect()}
         for b in best:
-            s, d = b["source"], b["best"]["doc_id"]
-            rows, by = several[(s, d)], 1 if gap[s] > 0 else -1
-            ok = rows["size"] <= 2 * abs(gap[s]) and (rows["top"] < most if by > 0 else rows["least"] > 0)
-            moves.append((s, d, by if ok else 0))
-            totals[s] += by * rows["size"] if ok else 0
-    return moved().drop("order")
+            by = 1 if gaps[b["sid"]] > 0 else -1
+            moves[b["sid"], b["best"]["doc_id"]] = by
+            got[b["sid"]] += by * b["best"]["size"]
+    if not moves:
+        return base
+    change = F.create_map(*[F.lit(x) for (k, d), by in moves.items() for x in (f"{k}:{d}", by)])
+    return base.withColumn("copies", (F.col("copies") + F.when(F.col("alone"), F.coalesce(F.try_element_at(change, F.concat_ws(":", "sid", "doc_id")), F.lit(0))).otherwise(0)).cast("int"))
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
