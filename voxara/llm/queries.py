@@ -49,6 +49,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(load(spark, sf_dir, "documents")))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxara.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and "_" in k and k[2].isdigit()}
 
