@@ -1,8 +1,60 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: from raw texts to mixed, encoded ones.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
+as Parquet in the shared folder and gives what it reads back to the next one.
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxara.llm import jaccard, lines, mixing, toxicity
+from voxara.llm.common import load, stored
+from voxara.llm.pieces import encode_documents
+from voxara.llm.queries import TOKENIZERS
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon predicts toxic go."""
+    return toxicity.remove_toxic(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-equal lines the first stays; documents left without words go."""
+    return lines.dedup_lines(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, jaccard.jaccard_classes(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.take_copies(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digests of ids and decoded text."""
+    return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("jaccard_dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: Merge encoding is no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the whole of documents."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

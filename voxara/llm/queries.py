@@ -55,6 +55,25 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(load(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxara.llm import lines
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.digest(docs, lines.repeated_lines(docs))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxara.llm.tokens import count_tokens
+
+    return count_tokens(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxara.llm.vectors import near_vectors
+
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and "_" in k and k[2].isdigit()}
 
