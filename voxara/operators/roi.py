@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from voxara.operators.images import VOXEL
 
 
-def roi_stats(scalar: DataFrame, atlas: DataFrame, labels: DataFrame, zoom: float = 1.0, nonzero: bool = True) -> DataFrame:
+def roi_stats(scalar: DataFrame, atlas: DataFrame, labels: list[int], zoom: float = 1.0, nonzero: bool = True) -> DataFrame:
     """Mean, median, population deviation and volume per (subject, label); absent regions are 0.
 
-    ``labels`` is the table of labels to report, one row each.
+    ``labels`` are the labels to report.
     """
     voxels = scalar.where("value <> 0") if nonzero else scalar
     stats = voxels.join(atlas, VOXEL).groupBy("subject", "label").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("std"), (F.count("*") * F.lit(float(zoom))).alias("volume"))
     # Every subject reports every label.
-    wanted = scalar.select("subject").distinct().join(F.broadcast(labels.select(F.collect_set("label").alias("labels"))), how="full").select("subject", F.explode("labels").alias("label"))
+    wanted = scalar.select("subject").distinct().select("subject", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     return wanted.join(stats, ["subject", "label"], "left").select("subject", "label", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "median", "std", "volume")])
 
 

@@ -140,12 +140,12 @@ def max_t_permutation(edges: DataFrame, a: str, b: str, permutations: int = 20,
     labels = first.join(shuffled, ["perm", "rn"]).select("subject", "perm", "new")
     mixed = held.drop("group").join(labels, "subject").select(F.concat_ws("|", "perm", "feature").alias("feature"), F.col("new").alias("group"), "y")
     maxima = pooled_t(mixed, a, b).groupBy(F.substring_index("feature", "|", 1).alias("perm")).agg(F.max(F.abs("t")).alias("top"))
-    summary = maxima.agg(F.percentile("top", F.lit(level)).alias("critical"), F.sort_array(F.collect_list("top")).alias("tops"))
-    observed = pooled_t(held, a, b)
     # One row: the critical value and the permutations' maxima, as many as were asked for.
-    joined = observed.join(F.broadcast(summary), how="full")
-    q = F.when(F.abs("t") >= F.col("critical"), F.size(F.filter("tops", lambda x: x > F.abs(F.col("t")))) / F.lit(permutations)).otherwise(F.lit(1.0))
-    return joined.select("feature", "t", "critical", q.alias("q"))
+    summary = maxima.agg(F.percentile("top", F.lit(level)).alias("critical"), F.collect_list("top").alias("tops")).first()
+    tops = F.array(*[F.lit(x) for x in sorted(summary["tops"])]).cast("array<double>")
+    larger = F.size(F.filter(tops, lambda x: x > F.abs(F.col("t")))) / F.lit(permutations)
+    critical = F.lit(summary["critical"]).cast("double")
+    return pooled_t(held, a, b).select("feature", "t", critical.alias("critical"), F.when(F.abs("t") >= critical, larger).otherwise(F.lit(1.0)).alias("q"))
 
 
 def icc(ratings: DataFrame) -> DataFrame:
