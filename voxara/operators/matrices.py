@@ -15,7 +15,7 @@ def transpose(m: DataFrame) -> DataFrame:
 
 def symmetrise(m: DataFrame) -> DataFrame:
     """(M + M') / 2 as one aggregation; an absent cell is 0."""
-    return m.unionByName(transpose(m)).groupBy(CELL).agg((F.sum("w") / 2).alias("w"))
+    return m.select(*CELL, "w").unionByName(transpose(m)).groupBy(CELL).agg((F.sum("w") / 2).alias("w"))
 
 
 def upper(m: DataFrame, diagonal: bool = False) -> DataFrame:
