@@ -14,7 +14,6 @@ of different classes whose windows meet are compared, block by block, exactly.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import SPACE, own_columns, stored
+from voxara.llm.common import own_columns, stored
 from voxara.llm.links import bit_filter, blocks, bounds, components, map_blocks, shared_keys
 
-WORDS = re.compile(f"[^{SPACE}]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 #: Buckets of the count sketch that orders shingles, and bits of a set's parity signature; both fixed.
 SKETCH_BITS = 20
 PARITY_BITS = 512
@@ -36,34 +34,40 @@ WORD_CACHE = 500_000
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles; words' hashes are remembered."""
 
     def __init__(self, words: int):
         self.k = words
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall((text or "").translate(LOWER))
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        # Bytes split at just the six white-space characters that part words.
+        words = (text or b"").translate(LOWER).split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            values = [known[w] for w in words]
-        except KeyError:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8"))
-            values = [known[w] for w in words]
-        h = np.array(values, np.uint64)
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        h = np.array(list(map(self.known.__getitem__, words)), np.uint64)
         k = min(self.k, len(h))
         mixed = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             mixed = (mixed ^ h[i : len(h) - k + 1 + i]) * _M[i % len(_M)]
             mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+        mixed.sort()
+        return mixed[np.append(True, mixed[1:] != mixed[:-1])]
+
+
+def _raw(b: pa.RecordBatch, column: int) -> list[bytes | None]:
+    return b.column(column).cast(pa.binary()).to_pylist()
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -91,11 +95,9 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         shingles, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             ids, ns, hashes, signs = b.column(0).to_pylist(), [], [], []
-            for text in b.column(1).to_pylist():
+            for text in _raw(b, 1):
                 s = shingles(text)
-                counts += 0 if not len(s) else np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) if len(s) > 200_000 else 0
-                if 0 < len(s) <= 200_000:
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 ns.append(len(s))
                 hashes.append(_set_hash(s) if len(s) else None)
                 signs.append(_parity(s) if len(s) else None)
@@ -136,7 +138,7 @@ def _regions(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
         shingles, seen = Shingler(words), set()
         for b in batches:
             keys, ids, sizes = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in _raw(b, 1):
                 s = shingles(text)
                 if not len(s) or (ident := _set_hash(s)) in seen:
                     continue
@@ -175,10 +177,17 @@ def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
             differ = np.maximum(np.bitwise_count(sign ^ ps).sum(1).astype(np.int64), np.abs(n - pn))
             low = 2 * differ / (n + pn + differ)  # |x - y| >= differ bounds the distance from below
             near = (den - num) * (n + pn) >= (den + num) * differ
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("n"), b.column("parity"), pa.array(p), pa.array(low), pa.array(near & (p != ident))], names=["key", "id", "n", "parity", "pivot", "low", "near"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(p), pa.array(low.astype(np.float32)), pa.array(near & (p != ident))], names=["key", "id", "pivot", "low", "near"])
             open_key, pivot, pivot_n, pivot_sign = key[-1], p[-1], pn[-1], ps[-1]
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(run, "key long, id long, n long, parity binary, pivot long, low double, near boolean")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(run, "key long, id long, pivot long, low float, near boolean")
+
+
+def _of_several_classes(rows: DataFrame) -> DataFrame:
+    """Rows of the regions whose members aren't all of one class; others have nothing left to join."""
+    narrow = rows.repartition(F.col("key"))
+    several = narrow.groupBy("key").agg(F.min("klass").alias("a"), F.max("klass").alias("b")).where("a <> b").select("key")
+    return narrow.join(several, "key")
 
 
 def _crossing(eps: float, num: int, den: int):
@@ -240,12 +249,13 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
         shingles = Shingler(words)
         for b in batches:
             hit = bits[b.column(2).to_numpy()].astype(bool)
-            found = [s for t in b.column(1).filter(pa.array(hit)).to_pylist() if len(s := shingles(t))]
+            found = [s for t in _raw(b.filter(pa.array(hit)), 1) if len(s := shingles(t))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(len(bits))).cast("int").alias("place"))
-    return stored(placed.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]).join(wanted.select("id"), "id"), "sets")
+    # What else passes the filter, and repeats, meet no pair or the same one again.
+    return stored(placed.mapInArrow(run, "id long, shingles binary"), "sets")
 
 
 def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int = 4) -> DataFrame:
@@ -265,7 +275,7 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     base = profile.where("slice is null").select("doc_id", "n", "id", "parity")
     region = stored(shared_keys(_regions(docs, words, num, den, _commonness(profile))), "regions")
     rank = region.groupBy("id").agg(F.count("*").alias("rank"))
-    node = base.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id")
+    node = stored(base.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id"), "nodes")
     starred = stored(_star(region.join(node, "id").select("key", "id", "n", "parity", "rank"), num, den), "starred")
     first = starred.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -275,14 +285,15 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     classes = components(checked.where(linked).select("a", "b"))
 
     distance = checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("exact"))
+    at_pivot = F.col("pivot") == F.col("id")
     windows = (
         starred.join(distance, ["pivot", "id"], "left")
         .join(classes, "id", "left")
-        .select("key", "id", "n", "parity", F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.coalesce("exact", "low")).alias("low"), F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.coalesce("exact", F.lit(1.0))).alias("high"), F.coalesce("component", "id").alias("klass"))
+        .select("key", "id", F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", "low")).alias("low"), F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", F.lit(1.0))).alias("high"), F.coalesce("component", "id").alias("klass"))
     )
-    # Regions whose members are of one class have nothing left to join.
-    open_ = windows.groupBy("key").agg(F.min("klass").alias("a"), F.max("klass").alias("b")).where("a <> b").select("key")
-    crossing = map_blocks(blocks(windows.join(open_, "key")), _crossing(eps + 1e-9, num, den), "a long, b long", ["a", "b"])
+    # Signatures are wide, so they join only what is left after regions of one class have gone.
+    open_ = _of_several_classes(windows).join(node.select("id", "n", "parity"), "id")
+    crossing = map_blocks(blocks(open_), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
     second = stored(crossing.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
     more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
     late = stored(_verify(second, _sets_of(docs, base, more_ids, words)), "late")
