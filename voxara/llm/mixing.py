@@ -21,7 +21,9 @@ from voxara.llm.common import cut, stored, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-NEWTON_STEPS = 12
+NEWTON_STEPS = 40
+#: A document of one part in so many of its source's target, or more, is rounded before the others.
+LARGE = 10
 CORRECTIONS = 8
 #: Documents of one source that share a rounding chunk, about.
 CHUNK_ROWS = 4096
@@ -73,23 +75,29 @@ def _rate(multipliers: list[float], scales: list[float], most: int) -> Column:
     return most / (1 + F.exp(-F.greatest(F.least(tilt, F.lit(500.0)), F.lit(-500.0))))
 
 
-def newton(sizes: DataFrame, targets: list, most: int = MAX_COPIES, steps: int = NEWTON_STEPS) -> list[float]:
-    """Multipliers of the dual, one per source, by distributed Newton steps.
+def _scales(targets: list) -> list[float]:
+    return [max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets]
+
+
+def newton(sizes: DataFrame, targets: list, aims: list[float], most: int = MAX_COPIES, steps: int = NEWTON_STEPS) -> list[float]:
+    """Multipliers of the dual, one per source, by distributed Newton steps towards ``aims``.
 
     The dual of each source is convex with gradient sum(rate * size) - target;
     a step aggregates gradient and curvature over all documents, and is halved
     into the bracket known so far where it would leave it.
     """
-    scales = [max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets]
+    scales = _scales(targets)
     at, low, high = [0.0] * len(targets), [-60.0] * len(targets), [60.0] * len(targets)
     for _ in range(steps):
         rate = _rate(at, scales, most)
-        got = sizes.groupBy("sid").agg(F.sum(rate * F.col("size")).alias("words"), F.sum(rate * (1 - rate / most) * F.col("size") * F.col("size") / _of(scales)).alias("slope")).collect()
+        # Decimal sums don't depend on the order of rows, so reruns take the same steps.
+        exact = lambda x: F.sum(x.cast("decimal(28,8)")).cast("double")
+        got = sizes.groupBy("sid").agg(exact(rate * F.col("size")).alias("words"), exact(rate * (1 - rate / most) * F.col("size") * F.col("size") / _of(scales)).alias("slope")).collect()
         done = True
         for r in got:
             k = r["sid"]
-            gap = (r["words"] or 0.0) - targets[k]["target"]
-            done = done and abs(gap) <= 1e-6 * max(1.0, targets[k]["target"])
+            gap = (r["words"] or 0.0) - aims[k]
+            done = done and (abs(gap) <= 1e-3 * max(1.0, abs(aims[k])) or high[k] - low[k] < 1e-6 or targets[k]["target"] >= most * targets[k]["source_size"])
             if gap > 0:
                 high[k] = min(high[k], at[k])
             else:
@@ -116,11 +124,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     if not targets:
         return counted.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
     sizes = _numbered(counted, targets)
-    scales = [max(1.0, r["source_size"] / max(1, r["n_docs"])) for r in targets]
     full = _of([r["target"] >= most * r["source_size"] for r in targets])
-    rate = F.when(full, F.lit(float(most))).otherwise(_rate(newton(sizes, targets, most), scales, most))
-    rated = sizes.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
-    copied = correct(round_copies(rated, targets), targets, most)
+    wanted = [r["target"] for r in targets]
+
+    def rated(part: DataFrame, aims: list[float]) -> DataFrame:
+        rate = F.when(full, F.lit(float(most))).otherwise(_rate(newton(part, targets, aims, most), _scales(targets), most))
+        return part.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
+
+    # Documents of a tenth of their target are rounded down first; the others then meet what these leave.
+    large = F.col("size") * LARGE >= _of(wanted)
+    first = stored(rated(sizes, wanted).where(large & (F.col("size") > 0)).withColumn("copies", F.floor("rate").cast("int")), "large")
+    taken = {r["sid"]: float(r["words"]) for r in first.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()}
+    rest = sizes.where(~large | (F.col("size") == 0))
+    second = round_copies(rated(rest, [w - taken.get(k, 0.0) for k, w in enumerate(wanted)]), targets)
+    copied = correct(first.unionByName(second), targets, most)
     return copied.select(
         "doc_id",
         "source",
@@ -157,9 +174,8 @@ def round_copies(rated: DataFrame, targets: list) -> DataFrame:
 def correct(copied: DataFrame, targets: list, most: int = MAX_COPIES) -> DataFrame:
     """Moves a copy of one document per source and pass towards the source's target.
 
-    Each pass takes the largest document that fits into what is missing (or too
-    much), so the gap falls quickly; the moves are CORRECTIONS per source at
-    most. Documents whose doc_id stands in more rows of the source stay.
+    Each pass takes the document whose size is nearest to what is missing (or
+    too much) and brings it down; the moves are CORRECTIONS per source at most. Documents whose doc_id stands in more rows of the source stay.
     """
     alone = F.count("*").over(W.partitionBy("sid", "doc_id")) == 1
     base = cut(copied.withColumn("alone", alone & F.col("doc_id").isNotNull() & (F.col("size") > 0)))
@@ -171,8 +187,8 @@ def correct(copied: DataFrame, targets: list, most: int = MAX_COPIES) -> DataFra
             break
         gap = _of([float(g) for g in gaps])
         moved = [d for _, d in moves]
-        fits = F.col("alone") & (F.col("size") <= F.abs(gap)) & F.when(gap > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        best = base.where(fits & ~F.col("doc_id").isin(moved) if moved else fits).groupBy("sid").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("order"), "doc_id")).alias("best")).collect()
+        fits = F.col("alone") & (F.col("size") < 2 * F.abs(gap)) & F.when(gap > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        best = base.where(fits & ~F.col("doc_id").isin(moved) if moved else fits).groupBy("sid").agg(F.min(F.struct(F.abs(F.col("size") - F.abs(gap)).alias("off"), F.xxhash64("doc_id").alias("order"), "doc_id", "size")).alias("best")).collect()
         if not best:
             break
         for b in best:
