@@ -25,7 +25,7 @@ from voxara.llm.common import own_columns
 
 META = "▁"
 #: Chunks, and pairs, held per Python worker in each of two generations; a full generation replaces the older one.
-CACHE = 400_000
+CACHE = 250_000
 LONG_CHUNK = 64
 
 
@@ -200,7 +200,9 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, runs of byte pieces read as UTF-8, the dummy prefix taken off."""
-        return self._join(ids).removeprefix(" ")
+        text = self._join(ids)
+        first = next((i for i in ids if i not in self.control or i == self.unknown), None)
+        return text[1:] if first is not None and self.pieces[first].startswith(META) else text
 
     def _join(self, ids: list[int]) -> str:
         out: list[str] = []
