@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxara.llm.common import own_columns, stored
-from voxara.llm.links import bit_filter, blocks, bounds, components, map_blocks, shared_keys
+from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 #: Buckets of the count sketch that orders shingles, and bits of a set's parity signature; both fixed.
 SKETCH_BITS = 20
 PARITY_BITS = 512
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -248,12 +248,12 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in batches:
-            hit = bits[b.column(2).to_numpy()].astype(bool)
+            hit = passes(bits, b.column(2).to_numpy())
             found = [s for t in _raw(b.filter(pa.array(hit)), 1) if len(s := shingles(t))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
-    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(len(bits))).cast("int").alias("place"))
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
     # What else passes the filter, and repeats, meet no pair or the same one again.
     return stored(placed.mapInArrow(run, "id long, shingles binary"), "sets")
 

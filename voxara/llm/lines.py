@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxara.llm.common import SPACE, own_columns, stored
-from voxara.llm.links import bit_filter, blocks, components, map_blocks, shared_keys
+from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, components, map_blocks, passes, shared_keys
 
 THRESHOLD = 2
 LEAST = 16
 _CLASSES = 15
+#: Rows a task holds before it passes them on.
+HELD_ROWS = 100_000
 
 
 def _signed(x: int) -> int:
@@ -136,10 +138,17 @@ def _probe_rows(docs: DataFrame, threshold: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         plans: dict[int, list] = {}
+        keys: list[int] = []
+        ids: list[int] = []
+        signs: list[int] = []
+
+        def flushed() -> pa.RecordBatch:
+            out = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(signs, pa.uint64()).view(pa.int64())]
+            for held in (keys, ids, signs):
+                held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["key", "id", "sign"])
+
         for b in batches:
-            keys: list[int] = []
-            ids: list[int] = []
-            signs: list[int] = []
             for text in b.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) < least or (ident := line_hash(line)) in seen:
@@ -150,8 +159,10 @@ def _probe_rows(docs: DataFrame, threshold: int, least: int) -> DataFrame:
                     keys += found
                     ids += [ident] * len(found)
                     signs += [sign | own for own in found.values()]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) if x is not ids else pa.array(x, pa.int64()) for x in (keys, ids, signs)], names=["key", "id", "sign"])
+                if len(keys) > HELD_ROWS:
+                    yield flushed()
+        if keys:
+            yield flushed()
 
     return docs.select("text").mapInArrow(run, "key long, id long, sign long")
 
@@ -187,12 +198,12 @@ def _lines_of(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """(id, line) of the wanted lines."""
     bits = bit_filter(ids, "id")
     split = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(_eligible(F.col("line"), least))
-    placed = split.select(F.xxhash64("line").alias("id"), "line").select("id", "line", F.pmod(F.xxhash64("id"), F.lit(len(bits))).cast("int").alias("place"))
+    placed = split.select(F.xxhash64("line").alias("id"), "line").select("id", "line", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            hit = bits[b.column("place").to_numpy()].astype(bool)
+            hit = passes(bits, b.column("place").to_numpy())
             for i, ident in zip(np.flatnonzero(hit), b.column("id").to_numpy()[hit].tolist(), strict=True):
                 if ident in seen:
                     hit[i] = False

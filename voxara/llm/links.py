@@ -138,7 +138,12 @@ def bit_filter(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarra
     words = ids.select(place.alias("place")).select(F.floor(F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     found = np.zeros(bits // 64, np.int64)
     found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return np.unpackbits(found.view(np.uint8), bitorder="little")
+    return found
+
+
+def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places are set."""
+    return (bits[places >> 6] >> (places & 63) & 1).astype(bool)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from voxara.llm.common import own_columns, stored
 SAMPLE_ROWS = 20_000
 #: Entries of a learned lexicon, at most; candidates it is chosen from.
 LEXICON_ROWS, CANDIDATE_ROWS = 3_000, 20_000
+#: Entries a task counts before it passes them on.
+HELD_ENTRIES = 150_000
 #: Predicted toxic from this score on.
 CUT = 0.3
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "white trash bag", "scum line")
@@ -129,13 +131,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["entry", "clean", "toxic"])
+            counts.clear()
+            return out
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(folded_words(text))
                 for e in {w + " " for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}:
                     counts.setdefault(e, [0, 0])[1 if toxic else 0] += 1
+                if len(counts) > HELD_ENTRIES:
+                    yield flushed()
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["entry", "clean", "toxic"])
+            yield flushed()
 
     counted = sample.select("text", "toxic").mapInArrow(entries, "entry string, clean long, toxic long")
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
