@@ -193,3 +193,45 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.start, r.event_type): (r.n, r.bad) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     whole = {(r.start, r.event_type): (r.n, r.bad) for r in quality.bad_share(events).collect()}
     assert got and all(whole[k] == v for k, v in got.items())
+
+
+def test_nonparametric_and_covariance_harmonisation(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, f"f{f}", s % 2, float(rng.normal() * (1 + s % 2) + 3 * (s % 2) + f)) for s in range(60) for f in range(5)]
+    df = spark.createDataFrame(rows, "subject long, feature string, batch int, y double")
+    for f in (harmonize.combat_nonparametric, harmonize.covbat, harmonize.combat_mean_only):
+        out = f(df).groupBy("batch").agg(F.avg("y").alias("m"), F.count("*").alias("n")).toPandas().set_index("batch")
+        assert (out.n == 150).all() and abs(out.m[0] - out.m[1]) < 0.3
+
+
+def test_communities(spark):
+    edges = [(0, a, b, 1.0) for g in (range(4), range(4, 8)) for a in g for b in g if a != b] + [(0, 3, 4, 0.1), (0, 4, 3, 0.1)]
+    got = {r.node: r.module for r in matrices.communities(spark.createDataFrame(edges, "subject long, i int, j int, w double"), 8).collect()}
+    assert len({got[k] for k in range(4)}) == 1 and len({got[k] for k in range(4, 8)}) == 1 and got[0] != got[7]
+
+
+def test_track_files(spark, tmp_path):
+    from voxara.sources import tracks as track_files
+
+    lines = [np.arange(9.0).reshape(3, 3), np.ones((2, 3))]
+    (tmp_path / "a.tck").write_bytes(track_files.encode_tck(lines))
+    got = track_files.read_points(spark, str(tmp_path)).toPandas().sort_values(["streamline", "seq"])
+    assert np.allclose(got[["x", "y", "z"]].to_numpy(), np.concatenate(lines)) and list(got.streamline) == [0, 0, 0, 1, 1]
+
+
+def test_dicom_headers(spark, tmp_path):
+    from voxara.sources import dicom
+
+    def element(name, value):
+        group, number = dicom.TAGS[name]
+        raw = value.encode().ljust(len(value) + len(value) % 2)
+        return np.array([group, number], "<u2").tobytes() + b"LO" + np.array([len(raw)], "<u2").tobytes() + raw
+
+    body = b"\0" * 128 + b"DICM" + element("StudyDate", "") + element("AcquisitionDate", "20200102") + element("StudyInstanceUID", "1.2") + element("SeriesInstanceUID", "1.2.3") + element("PixelSpacing", "2\\3")
+    for n in range(2):
+        (tmp_path / f"{n}.dcm").write_bytes(body)
+    (tmp_path / "x.dcm").write_bytes(b"none")
+    heads = dicom.read_headers(spark, str(tmp_path))
+    assert heads.where("not valid").count() == 1
+    row = dicom.series(heads).first()
+    assert row.date == "20200102" and len(row.files) == 2 and row.attributes[0].PixelSpacing == "2,3"

@@ -437,6 +437,41 @@ def combat_shrunk(f):
     return harmonize.combat(f.select("subject", "feature", "batch", "y"))
 
 
+@_query("WITH b AS (SELECT feature, batch, count(*) AS nb, avg(y) AS mb, var_pop(y) AS vb FROM {f} GROUP BY 1, 2), p AS (SELECT feature, sum(nb * mb) / sum(nb) AS grand, sqrt(sum(nb * vb) / sum(nb)) AS sd FROM b GROUP BY 1), s AS (SELECT f.*, (y - grand) / sd AS s, grand, sd FROM {f} f JOIN p ON f.feature = p.feature), e AS (SELECT batch, feature, avg(s) AS g FROM s GROUP BY 1, 2), q AS (SELECT batch, avg(g) AS m, var_samp(g) AS t FROM e GROUP BY 1), r AS (SELECT e.batch, feature, (t * g + m) / (t + 1) AS g FROM e JOIN q ON e.batch = q.batch) SELECT subject, s.feature, s.batch, round((s - g) * sd + grand, 3) AS y FROM s JOIN r ON s.batch = r.batch AND s.feature = r.feature", f="features")
+def combat_mean_only(f):
+    return rounded(harmonize.combat_mean_only(f.select("subject", "feature", "batch", "y")), "y", places=3)
+
+
+@_query("WITH b AS (SELECT feature, avg(y) AS m, stddev_pop(y) AS s FROM {f} WHERE batch = 0 GROUP BY 1), s AS (SELECT f.*, (y - m) / s AS z, m, s FROM {f} f JOIN b ON f.feature = b.feature), e AS (SELECT batch, feature, avg(z) AS g, stddev_samp(z) AS d FROM s GROUP BY 1, 2) SELECT subject, s.feature, s.batch, round(CASE WHEN s.batch = 0 THEN y ELSE (z - g) / d * s + m END, 3) AS y FROM s JOIN e ON s.batch = e.batch AND s.feature = e.feature", f="features")
+def combat_reference(f):
+    return rounded(harmonize.combat_reference(f.select("subject", "feature", "batch", "y"), 0), "y", places=3)
+
+
+@_query(f="features")
+def combat_nonparametric(f):
+    return harmonize.combat_nonparametric(f.select("subject", "feature", "batch", "y"))
+
+
+@_query(f="features")
+def covbat(f):
+    return harmonize.covbat(f.select("subject", "feature", "batch", "y"))
+
+
+@_query(c="connectome")
+def graph_communities(c):
+    return matrices.communities(matrices.symmetrise(c), 8)
+
+
+@_query("SELECT subject, CAST(trunc(i * 0.5) AS INT) AS i, CAST(trunc(j * 0.5) AS INT) AS j, CAST(k AS INT) AS k, arg_max(price, i * 10000 + j * 100 + k) AS value FROM {v} GROUP BY 1, 2, 3, 4", v="voxels")
+def image_project(v):
+    return images.project(_image(v, "price"), [0.5, 0, 0, 0, 0, 0.5, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1])
+
+
+@_query(v="voxels")
+def image_parts(v):
+    return images.parts_of(_image(v).where("subject = 0"), 3)
+
+
 # Tensors: 279-297, 306-311.
 _EIGEN = "WITH q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM {t}), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q), a AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 AS phi FROM p), e AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM a), l AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM e) "
 

@@ -48,3 +48,72 @@ def combat(data: DataFrame, eb: bool = True, steps: int = 30) -> DataFrame:
 def check_batches(cohort: DataFrame) -> DataFrame:
     """Batches of fewer than two subjects, which can't be harmonised."""
     return cohort.groupBy("batch").agg(F.count("*").alias("n")).where("n < 2")
+
+
+def combat_mean_only(data: DataFrame) -> DataFrame:
+    """Shifts alone: batch means shrunk to their prior, scales left as they are."""
+    standard = standardize(data)
+    effects = batch_effects(standard)
+    priors = effects.groupBy("batch").agg(F.avg("gamma_hat").alias("g_bar"), F.var_samp("gamma_hat").alias("t2"))
+    star = effects.join(F.broadcast(priors), "batch").select("batch", "feature", ((F.col("t2") * F.col("gamma_hat") + F.col("g_bar")) / (F.col("t2") + 1)).alias("gamma"))
+    joined = standard.join(star, ["batch", "feature"])
+    return joined.select("subject", "feature", "batch", ((F.col("s") - F.col("gamma")) * F.col("sd") + F.col("grand")).alias("y"))
+
+
+def combat_reference(data: DataFrame, reference: int) -> DataFrame:
+    """Batches brought to a reference batch, whose own values stay."""
+    base = data.where(F.col("batch") == reference).groupBy("feature").agg(F.avg("y").alias("m0"), F.stddev_pop("y").alias("s0"))
+    standard = data.join(F.broadcast(base), "feature").withColumn("s", F.coalesce(F.try_divide(F.col("y") - F.col("m0"), F.col("s0")), F.lit(0.0)))
+    effects = standard.groupBy("batch", "feature").agg(F.avg("s").alias("gamma"), F.stddev_samp("s").alias("scale"))
+    joined = standard.join(effects, ["batch", "feature"])
+    moved = F.try_divide(F.col("s") - F.col("gamma"), F.col("scale")) * F.col("s0") + F.col("m0")
+    return joined.select("subject", "feature", "batch", F.when(F.col("batch") == reference, F.col("y")).otherwise(moved).alias("y"))
+
+
+def combat_nonparametric(data: DataFrame) -> DataFrame:
+    """Effects as means over the other features' effects, weighted by their likelihood; a self-join within batches."""
+    standard = standardize(data)
+    effects = batch_effects(standard)
+    a = effects.select("batch", F.col("feature").alias("f"), "n", "sum_s", "sum_s2")
+    b = effects.select(F.col("batch").alias("batch_"), F.col("feature").alias("g_"), "gamma_hat", "delta_hat")
+    squares = F.col("sum_s2") - 2 * F.col("gamma_hat") * F.col("sum_s") + F.col("n") * F.col("gamma_hat") ** 2
+    log = -F.col("n") / 2 * F.log(2 * 3.141592653589793 * F.col("delta_hat")) - squares / (2 * F.col("delta_hat"))
+    pairs = a.join(b, (F.col("batch") == F.col("batch_")) & (F.col("f") != F.col("g_"))).select("batch", F.col("f").alias("feature"), "gamma_hat", "delta_hat", log.alias("log"))
+    top = pairs.groupBy("batch", "feature").agg(F.max("log").alias("top"))
+    weighted = pairs.join(top, ["batch", "feature"]).withColumn("w", F.exp(F.col("log") - F.col("top")))
+    star = weighted.groupBy("batch", "feature").agg((F.sum(F.col("w") * F.col("gamma_hat")) / F.sum("w")).alias("gamma"), (F.sum(F.col("w") * F.col("delta_hat")) / F.sum("w")).alias("delta"))
+    joined = standard.join(star, ["batch", "feature"])
+    return joined.select("subject", "feature", "batch", ((F.col("s") - F.col("gamma")) / F.sqrt("delta") * F.col("sd") + F.col("grand")).alias("y"))
+
+
+def apply_estimates(data: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Stored estimates (batch, feature, gamma, delta, grand, sd) on new rows; rows of unknown batches raise."""
+    joined = data.join(F.broadcast(estimates), ["batch", "feature"], "left")
+    known = F.when(F.col("gamma").isNull(), F.raise_error(F.concat(F.lit("no estimates for batch "), F.col("batch").cast("string"))).cast("double"))
+    adjusted = ((F.col("y") - F.col("grand")) / F.col("sd") - F.col("gamma")) / F.sqrt("delta") * F.col("sd") + F.col("grand")
+    return joined.select("subject", "feature", "batch", F.coalesce(known, adjusted).alias("y"))
+
+
+def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
+    """ComBat, then again without shrinking on the leading principal scores, which hold covariance between features.
+
+    Subjects that lack a feature are left out.
+    """
+    import numpy as np
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    once = combat(data)
+    scale = once.groupBy("feature").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
+    z = once.join(F.broadcast(scale), "feature").withColumn("z", F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0)))
+    features = [r["feature"] for r in scale.select("feature").orderBy("feature").collect()]
+    rows = z.groupBy("subject", "batch").agg(F.sort_array(F.collect_list(F.struct("feature", "z"))).alias("zs")).where(F.size("zs") == len(features))
+    packed = rows.select("subject", "batch", array_to_vector(F.col("zs.z")).alias("v"))
+    model = PCA(k=len(features), inputCol="v", outputCol="scores").fit(packed)
+    kept = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share) + 1)
+    axes = model.pc.toArray()
+    scores = model.transform(packed).select("subject", "batch", F.posexplode(vector_to_array("scores")).alias("feature", "y"))
+    again = combat(scores.where(F.col("feature") < kept), eb=False).unionByName(scores.where(F.col("feature") >= kept).select("subject", "feature", "batch", "y"))
+    table = data.sparkSession.createDataFrame([(k, f, float(axes[n, k])) for k in range(len(features)) for n, f in enumerate(features)], "k int, feature string, axis double")
+    back = again.withColumnRenamed("feature", "k").join(F.broadcast(table), "k").groupBy("subject", "batch", "feature").agg(F.sum(F.col("y") * F.col("axis")).alias("z"))
+    return back.join(F.broadcast(scale), "feature").select("subject", "feature", "batch", (F.col("z") * F.col("s") + F.col("m")).alias("y"))

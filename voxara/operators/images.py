@@ -147,3 +147,19 @@ def gradient(img: DataFrame, axis: str, length: int) -> DataFrame:
 def same_geometry(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """Whether two affines (arrays) agree within the tolerances."""
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= atol + rtol * F.abs(y)), lambda x: x)
+
+
+def project(img: DataFrame, matrix: list[float]) -> DataFrame:
+    """Nearest-voxel move through a 4 x 4 matrix given by rows, coordinates truncated; the last value of a voxel by source order holds."""
+    moved = [(F.col("i") * matrix[4 * r] + F.col("j") * matrix[4 * r + 1] + F.col("k") * matrix[4 * r + 2] + matrix[4 * r + 3]).cast("int").alias(a) for r, a in enumerate("ijk")]
+    return img.select("subject", *moved, "value", F.struct("i", "j", "k").alias("source")).groupBy(VOXEL).agg(F.max_by("value", "source").alias("value"))
+
+
+def parts_of(binary: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """One subject's region cut in k by k-means on the voxel coordinates."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    packed = binary.where("value > 0").select(*VOXEL, array_to_vector(F.array(*[F.col(a).cast("double") for a in "ijk"])).alias("v"))
+    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="part").fit(packed)
+    return model.transform(packed).select(*VOXEL, "part")
