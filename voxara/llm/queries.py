@@ -82,4 +82,37 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS id, vec_id AS reach FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+        c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON c.id = n.a
+    """,
+    "op9_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+        p AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM h WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM p GROUP BY 1),
+        l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        m AS (
+            SELECT w.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words,
+                length(regexp_replace(text, '\P{L}+', '', 'g')) AS n_letters, length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS n_capitals
+            FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id
+        ),
+        f AS (
+            SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+                + 8 * CAST(10 * n_dup_lines > 3 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 15 * n_words AS BIGINT)
+                + 64 * CAST(100 * n_letters < 60 * word_chars AS BIGINT) + 128 * CAST(100 * n_capitals > 50 * n_letters AS BIGINT) AS failed
+            FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+    """,
+}
