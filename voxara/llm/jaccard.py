@@ -265,8 +265,8 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     one shingle; a null or empty text, or one of white space, has no shingle
     and links with nothing. Rows that repeat a doc_id are documents of their
     own, and each gets a row. Equal sets are joined once. A set is known by a
-    64-bit hash, as is a shingle. Rows with a null doc_id are left out of
-    nothing: they get rows, too, and the smallest other id as their class.
+    64-bit hash, as is a shingle. A row without a doc_id has a row as well, with
+    the smallest doc_id of its class, or null.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable).
     """
@@ -306,6 +306,12 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class, with all columns."""
+    """The documents that are the smallest of their class, with all columns.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    """
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -202,10 +202,10 @@ def correct(copied: DataFrame, targets: list, most: int = MAX_COPIES) -> DataFra
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of the documents, each as often as the mix takes it."""
+    """The rows of the documents, each as often as the mix takes it; rows of one doc_id as the most taken of them."""
     names = docs.columns
-    per_id = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(per_id.where("__copies > 0"), "doc_id")
+    per_id = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(per_id.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
 
 
