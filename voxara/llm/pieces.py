@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from voxara.llm.common import own_columns
 
 META = "▁"
-#: Chunks, and pairs, held per Python worker in each of two generations; a full generation replaces the older one.
-CACHE = 250_000
+#: Chunks held per Python worker in each of two generations, a full one replacing the older; and pairs. Workers stay
+#: while other stages run, so both are small.
+CACHE, PAIRS = 80_000, 250_000
 LONG_CHUNK = 64
 
 
@@ -105,7 +106,7 @@ class PieceModel:
         key = (left, right)
         found = self.pair_cache.get(key)
         if found is None:
-            if len(self.pair_cache) >= CACHE:
+            if len(self.pair_cache) >= PAIRS:
                 self.pair_cache.clear()
             found = self.pair_cache[key] = self.merge(left + right) == [left, right]
         return found
