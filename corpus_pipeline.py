@@ -48,7 +48,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Merge encoding is no SQL; tests hold the pipeline against a brute-force version.
+#: Merge encoding is no SQL. Tests hold each operator against brute force, and the stages to their contracts.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,4 @@
-"""The pipeline against its stages in plain Python on the smallest tables."""
+"""Contracts of the pipeline's stages on the smallest tables; a brute-force version is still to be written."""
 
 import collections
 
