@@ -22,3 +22,33 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     total = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert total.count() == docs.count() and {"doc_id", "n_tokens", "ids_sha256"} <= set(total.columns)
+
+
+def _jaccard(a, b, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def _brute_force(texts, cut=0.8):
+    """Places of the texts that are the first of their class."""
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if _jaccard(texts[a], texts[b]) >= cut:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return [i for i, x in enumerate(label) if i == x]
+
+
+def test_near_copies_on_both_sides_of_the_cut(spark):
+    texts = []
+    for k in range(6):
+        words = [f"p{k}x{i}" for i in range(84)]
+        footer = [f"f{k}x{i}" for i in range(24)]
+        # 80 shingles of five words: 80 / 100 links with 20 words more and 80 / 101 with 21 doesn't; 64 / 80 and 63 / 80 likewise.
+        texts += [" ".join(words)] + [[" ".join(words + footer[:20])], [" ".join(words + footer[:21])], [" ".join(words[:68])], [" ".join(words[:67])], [" ".join(words + footer[:17])]][k % 5]
+    expected = _brute_force(texts)
+    assert len(expected) == 8 and _jaccard(texts[0], texts[1]) == 0.8 and 0.79 < _jaccard(texts[2], texts[3]) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.dedup_documents(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in got.collect()) == expected

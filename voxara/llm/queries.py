@@ -52,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxara.llm.jaccard import jaccard_classes
 
-    return jaccard_classes(load(spark, sf_dir, "documents"))
+    return jaccard_classes(load(spark, sf_dir, "documents"), num=85, den=100, words=4)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
