@@ -27,12 +27,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked at 0.8 or more over five words the one with the smallest doc_id stays."""
-    return jaccard.one_of_each(docs, jaccard.jaccard_classes(docs, num=80, den=100, words=5))
+    return jaccard.dedup_documents(docs, num=80, den=100, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.take_copies(docs, mixing.mix(docs))
+    return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+mixing = pytest.importorskip("voxara.llm.mixing")
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -52,3 +53,50 @@ def test_near_copies_on_both_sides_of_the_cut(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.dedup_documents(spark, docs, SMALL)
     assert sorted(r.doc_id for r in got.collect()) == expected
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _rows(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "a", None if t is None else len(t)) for i, t in pairs], COLUMNS)
+
+
+def _text(name, n=30):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_documents_are_decided_by_row(spark):
+    copy, near = _text("copy"), _text("copy", 31)
+    stay = [(1, copy), (2, _text("own")), (3, _text("clean")), (3, _text("other")), (None, _text("null")), (None, ""), (None, ""), (4, ""), (4, ""), (4, None)]
+    go = [(2, copy), (2, near), (None, copy), (None, _text("null")), (None, _text("null", 31)), (3, _text("clean"))]
+    docs = _rows(spark, go + stay)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, SMALL).collect())
+    # Which of two near copies without a doc_id stays is decided by a hash.
+    one = [k for k in got if k in {(None, _text("null")), (None, _text("null", 31))}]
+    assert len(one) == 1 and got[one[0]] == 1
+    assert got - collections.Counter(one) == collections.Counter(x for x in stay if x != (None, _text("null")))
+
+
+def test_lines_are_decided_by_row(spark):
+    shared, short = "a line that stands in every row", "short"
+    own = [f"{w} of this row alone, and of no other" for w in ("alphabet", "bicycles", "cucumber", "dynamite", "elephant")]
+    pairs = [(1, f"{shared}\n{own[0]}\n{short}"), (1, f"{own[1]}\n{shared}"), (None, f"{shared}\n{own[2]}"), (None, f"{own[3]}\n{shared}"), (2, f"{own[4]}\n{shared}"), (2, f"{own[4]}\n{shared}"), (3, shared), (None, None), (None, None)]
+    out = corpus_pipeline.dedup_lines(spark, _rows(spark, pairs), SMALL)
+    got = out.collect()
+    assert collections.Counter(x for r in got for x in (r.text or "").split("\n") if x) == collections.Counter([shared, short, *own])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert sum(r.text is None for r in got) == 2 and [r.doc_id for r in got if r.text and shared in r.text] == [1]
+
+
+def test_mix_is_by_row(spark):
+    sizes = [1, 2, 5, 20, 50]
+    rows = [(None if k % 2 else 7, " ".join([f"w{k // 3}"] * sizes[k % 5]), "en", "ab"[k % 3 == 0], 0) for k in range(900)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    got = corpus_pipeline.mix_sources(spark, docs, SMALL).collect()
+    total, before = collections.Counter(), collections.Counter(rows)
+    for r in got:
+        total[r.source] += len(r.text.split())
+    assert all(n <= mixing.MAX_COPIES * before[tuple(r)] for r, n in collections.Counter(got).items())
+    assert all(abs(total[s] - t) <= max(20, 0.01 * t) for s, t in targets.items())

@@ -62,6 +62,27 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def counted_rows(docs: DataFrame) -> DataFrame:
+    """The distinct rows, with ``__row``, a 64-bit hash of all columns, and ``__n``, how many rows are equal to it.
+
+    The key is made from the row alone, so that every scan gives the same one.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__row", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    repeated = stored(keyed.groupBy("__row").agg(F.count("*").alias("__n")).where("__n > 1").select("__row"), "repeated")
+    if repeated.isEmpty():
+        return keyed.withColumn("__n", F.lit(1).cast("long"))
+    # Only rows that have equals are grouped with their texts.
+    single = keyed.join(repeated, "__row", "left_anti").select(*columns, "__row", F.lit(1).cast("long").alias("__n"))
+    several = keyed.join(repeated, "__row", "left_semi").groupBy(*columns, "__row").agg(F.count("*").alias("__n"))
+    return single.unionByName(several)
+
+
+def times(rows: DataFrame, n: Column, names: list[str]) -> DataFrame:
+    """The named columns of each row, n times."""
+    return rows.withColumn("__time", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with null as the empty text."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import own_columns, stored
+from voxara.llm.common import counted_rows, own_columns, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -308,10 +308,27 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The documents that are the smallest of their class, with all columns.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay. Where
+    there are such rows, ``dedup_documents`` decides by row instead.
     """
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
+
+
+def dedup_documents(docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """One row of each class of linked documents, with all columns.
+
+    Every row is a document of its own, whether or not its doc_id is null or
+    repeated. The row with the smallest doc_id stays, one without a doc_id only
+    if the class has no other; among rows of one doc_id a hash decides. A row
+    without shingles links with nothing and stays.
+    """
+    rows = counted_rows(docs)
+    classes = jaccard_classes(rows.select(F.col("__row").alias("doc_id"), "text"), num, den, words)
+    named = classes.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"), (F.col("n_shingles") == 0).alias("empty"))
+    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row", F.col("first.empty").alias("__empty"))
+    return times(rows.join(first, "__row"), F.when(F.col("__empty"), F.col("__n")).otherwise(1), docs.columns)

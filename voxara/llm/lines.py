@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import SPACE, own_columns, stored
+from voxara.llm.common import SPACE, counted_rows, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, components, map_blocks, passes, shared_keys
 
 THRESHOLD = 2
@@ -246,14 +246,21 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEA
     Returns doc_id, n_lines, n_removed, removed (line numbers from 0), one row
     per distinct doc_id that has a line long enough.
     """
-    component = components(near_lines(docs, threshold, least))
-    each = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), least))
-    placed = stored(each.select("doc_id", "line_no", F.xxhash64("line").alias("id")), "places")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    own = docs.where("doc_id is not null").select("doc_id", "text")
+    return _removed(near_lines(docs, threshold, least), own, ["doc_id"], least)
+
+
+def _removed(near: DataFrame, docs: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Lines to remove of each document; ``by`` orders documents, its last column tells them apart and is never null."""
+    key = by[-1]
+    component = components(near)
+    each = docs.where("text is not null").select(*by, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), least))
+    placed = stored(each.select(*by, "line_no", F.xxhash64("line").alias("id")), "places")
+    first = F.min(F.struct(*by, "line_no")).alias("first")
     by_line = placed.groupBy("id").agg(first)  # lines before classes: each distinct line is one row from here on
-    kept = by_line.join(component, "id", "left").groupBy(F.coalesce("component", "id").alias("klass")).agg(F.min("first").alias("first")).select("first.doc_id", "first.line_no", F.lit(True).alias("kept"))
-    marked = placed.join(kept, ["doc_id", "line_no"], "left")
-    return marked.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("kept").isNull(), F.col("line_no")))).alias("removed")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    kept = by_line.join(component, "id", "left").groupBy(F.coalesce("component", "id").alias("klass")).agg(F.min("first").alias("first")).select(f"first.{key}", "first.line_no", F.lit(True).alias("kept"))
+    marked = placed.join(kept, [key, "line_no"], "left")
+    return marked.groupBy(key).agg(F.countDistinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("kept").isNull(), F.col("line_no")))).alias("removed")).select(key, "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def digest(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -266,13 +273,29 @@ def without_repeats(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents without their removed lines; one left without any word goes. n_chars follows the text."""
     cut = removed.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
     joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
+    return _shortened(joined).select(*docs.columns)
+
+
+def _shortened(rows: DataFrame) -> DataFrame:
+    """Texts without the lines of ``__removed`` (null: none); a row left without any word goes."""
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)).where(F.col("__removed").isNull() | F.col("text").rlike(f"[^{SPACE}]"))
-    if "n_chars" in docs.columns:
+    out = rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)).where(F.col("__removed").isNull() | F.col("text").rlike(f"[^{SPACE}]"))
+    if "n_chars" in rows.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    own = own_columns(docs, "doc_id", "text")
-    return without_repeats(docs, repeated_lines(own, threshold, least))
+    """The documents without repeated lines; every row is a document of its own.
+
+    Rows are in the order of doc_id, those without one last; rows of one doc_id
+    are ordered by a hash. Of equal rows, all but one lose every line of
+    ``least`` characters or more.
+    """
+    rows = counted_rows(docs).withColumn("__none", F.col("doc_id").isNull())
+    found = _removed(near_lines(rows.select(F.col("__row").alias("doc_id"), "text"), threshold, least), rows, ["__none", "doc_id", "__row"], least)
+    cut = found.where("n_removed > 0").select("__row", F.col("removed").alias("__removed"))
+    once = _shortened(rows.join(cut, "__row", "left")).select(*docs.columns)
+    places = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(_eligible(x, least), i)), lambda i: i.isNotNull())
+    again = rows.where("__n > 1").withColumn("__removed", F.when(F.col("text").isNotNull() & (F.size(places) > 0), places))
+    return once.unionByName(times(_shortened(again), F.col("__n") - 1, docs.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxara.llm.common import cut, stored, word_count
+from voxara.llm.common import counted_rows, cut, stored, times, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -209,6 +209,15 @@ def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
 
 
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """The rows as often as the mix takes each; every row is a document of its own, also where a doc_id is null or repeated."""
+    rows = counted_rows(docs)
+    # Equal rows are rated one by one; what they take together is dealt out at once.
+    mixed = mix(times(rows.select(F.col("__row").alias("doc_id"), "source", "text", "__n"), F.col("__n"), ["doc_id", "source", "text"]))
+    taken = mixed.groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    return times(rows.join(taken, "__row"), F.col("__copies"), docs.columns)
+
+
 def digest(mixed: DataFrame) -> DataFrame:
     """The columns of the query."""
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
