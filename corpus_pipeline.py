@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxara.llm import jaccard, lines, mixing, toxicity
 from voxara.llm.common import load, stored
-from voxara.llm.pieces import encode_documents
+from voxara.llm.pieces import encode_documents, with_digests
 from voxara.llm.queries import TOKENIZERS
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the digests of ids and decoded text."""
-    return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    return with_digests(encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
 STAGES = [

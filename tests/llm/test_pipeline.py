@@ -1,6 +1,7 @@
 """Contracts of the pipeline's stages on the smallest tables; a brute-force version is still to be written."""
 
 import collections
+import hashlib
 
 import pytest
 
@@ -100,3 +101,25 @@ def test_mix_is_by_row(spark):
         total[r.source] += len(r.text.split())
     assert all(n <= mixing.MAX_COPIES * before[tuple(r)] for r, n in collections.Counter(got).items())
     assert all(abs(total[s] - t) <= max(20, 0.01 * t) for s, t in targets.items())
+
+
+def test_encoded_corpus_holds_the_ids(spark):
+    spm = pytest.importorskip("sentencepiece")
+    model = spm.SentencePieceProcessor(model_file=f"{corpus_pipeline.TOKENIZERS}/piece_bpe_32k.model")
+    texts = ["", None, "some words stand here", "é漢😀 ▁▁  end", _text("word", 400)]
+    got = corpus_pipeline.encode(spark, _rows(spark, enumerate(texts)), SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = model.encode(texts[r.doc_id] or "")
+        assert r.ids == ",".join(map(str, ids)) and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(r.ids.encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+def test_the_query_of_digests_is_the_operators(spark):
+    from voxara.llm import queries
+    from voxara.llm.pieces import encode_documents
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    expected = encode_documents(docs, f"{queries.TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    got = queries.op2_sentencepiece(spark, SMALL)
+    assert got.columns == expected.columns and sorted(got.collect()) == sorted(expected.collect())

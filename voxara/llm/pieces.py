@@ -20,6 +20,7 @@ import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxara.llm.common import own_columns
 
@@ -28,6 +29,8 @@ META = "▁"
 #: while other stages run, so both are small.
 CACHE, PAIRS = 80_000, 250_000
 LONG_CHUNK = 64
+#: Characters of ids and decoded text in a batch that leaves a task, about.
+HELD_CHARS = 1 << 20
 
 
 class PieceModel:
@@ -277,8 +280,13 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
+
+        def flushed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
         for b in batches:
             out: list[tuple] = []
+            held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cache = model.chunk_cache
                 found = [cache.get(c) or model.known(c) for c in model.chunks(text or "")]
@@ -287,8 +295,17 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
                 if not with_ids:
                     ids, decoded = (hashlib.sha256(x.encode("utf-8")).hexdigest() for x in (ids, decoded))
                 out.append((doc_id, sum([f[1] for f in found]), ids, decoded))
+                held += len(ids) + len(decoded)
+                if held > HELD_CHARS:
+                    yield flushed(out)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield flushed(out)
 
     names = ("ids", "decoded") if with_ids else ("ids_sha256", "decoded_sha256")
     return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
+
+
+def with_digests(encoded: DataFrame) -> DataFrame:
+    """What ``encode_documents`` returns, with the SHA-256 digests of ids and decoded in the place of decoded, which repeats the text."""
+    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

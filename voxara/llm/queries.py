@@ -13,9 +13,9 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxara.llm.pieces import encode_documents
+    from voxara.llm.pieces import encode_documents, with_digests
 
-    return encode_documents(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    return with_digests(encode_documents(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")).drop("ids")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
