@@ -235,3 +235,28 @@ def test_dicom_headers(spark, tmp_path):
     assert heads.where("not valid").count() == 1
     row = dicom.series(heads).first()
     assert row.date == "20200102" and len(row.files) == 2 and row.attributes[0].PixelSpacing == "2,3"
+
+
+def test_covariance_harmonisation_keeps_incomplete_subjects(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, f"f{f}", s % 2, float(rng.normal() * (1 + s % 2) + 3 * (s % 2) + f)) for s in range(60) for f in range(4) if (s * 7 + f) % 5]
+    rows.append((0, "f1", 0, 1.5))  # a feature twice
+    df = spark.createDataFrame(rows, "subject long, feature string, batch int, y double")
+    once = harmonize.combat(df).toPandas()
+    scale = once.groupby("feature").y.agg(["mean", lambda y: y.std(ddof=0)]).to_numpy()
+    once["z"] = [(y - scale[int(f[1]), 0]) / scale[int(f[1]), 1] for f, y in zip(once.feature, once.y, strict=True)]
+    means = once.groupby(["subject", "feature"]).z.mean()
+    z = means.unstack().reindex(range(60)).fillna(0.0).to_numpy()
+    values, axes = np.linalg.eigh(np.cov(z.T))
+    axes, share = axes[:, ::-1], np.cumsum(values[::-1]) / values.sum()
+    scores, batch = z @ axes, np.arange(60) % 2
+    for k in range(np.searchsorted(share, 0.95) + 1):
+        grand, sd = scores[:, k].mean(), np.sqrt(np.mean([scores[batch == b, k].var() for b in (0, 1)]))
+        for b in (0, 1):
+            x = (scores[batch == b, k] - grand) / sd
+            scores[batch == b, k] = (x - x.mean()) / x.std(ddof=1) * sd + grand
+    back = scores @ axes.T
+    expected = sorted((r.subject, r.feature, (back[r.subject, int(r.feature[1])] + r.z - means[r.subject, r.feature]) * scale[int(r.feature[1]), 1] + scale[int(r.feature[1]), 0]) for r in once.itertuples())
+    got = sorted((r.subject, r.feature, r.y) for r in harmonize.covbat(df).collect())
+    assert len(got) == len(rows) and [g[:2] for g in got] == [e[:2] for e in expected]
+    assert np.allclose([g[2] for g in got], [e[2] for e in expected])

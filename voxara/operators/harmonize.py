@@ -97,7 +97,9 @@ def apply_estimates(data: DataFrame, estimates: DataFrame) -> DataFrame:
 def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
     """ComBat, then again without shrinking on the leading principal scores, which hold covariance between features.
 
-    Subjects that lack a feature are left out.
+    Every row given comes back. A feature that a subject lacks counts as its
+    mean in the subject's scores; values that repeat a subject's feature enter
+    them by their mean and keep their distance from it.
     """
     import numpy as np
     from pyspark.ml.feature import PCA
@@ -107,8 +109,10 @@ def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
     scale = once.groupBy("feature").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
     z = once.join(F.broadcast(scale), "feature").withColumn("z", F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0)))
     features = [r["feature"] for r in scale.select("feature").orderBy("feature").collect()]
-    rows = z.groupBy("subject", "batch").agg(F.sort_array(F.collect_list(F.struct("feature", "z"))).alias("zs")).where(F.size("zs") == len(features))
-    packed = rows.select("subject", "batch", array_to_vector(F.col("zs.z")).alias("v"))
+    means = z.groupBy("subject", "batch", "feature").agg(F.avg("z").alias("z"))
+    rows = means.groupBy("subject", "batch").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("zs"))
+    filled = F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.coalesce(F.try_element_at("zs", f), F.lit(0.0)))
+    packed = rows.select("subject", "batch", array_to_vector(filled).alias("v"))
     model = PCA(k=len(features), inputCol="v", outputCol="scores").fit(packed)
     kept = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share) + 1)
     axes = model.pc.toArray()
@@ -116,4 +120,5 @@ def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
     again = combat(scores.where(F.col("feature") < kept), eb=False).unionByName(scores.where(F.col("feature") >= kept).select("subject", "feature", "batch", "y"))
     table = data.sparkSession.createDataFrame([(k, f, float(axes[n, k])) for k in range(len(features)) for n, f in enumerate(features)], "k int, feature string, axis double")
     back = again.withColumnRenamed("feature", "k").join(F.broadcast(table), "k").groupBy("subject", "batch", "feature").agg(F.sum(F.col("y") * F.col("axis")).alias("z"))
-    return back.join(F.broadcast(scale), "feature").select("subject", "feature", "batch", (F.col("z") * F.col("s") + F.col("m")).alias("y"))
+    given = z.join(means.withColumnRenamed("z", "mean"), ["subject", "batch", "feature"]).select("subject", "batch", "feature", "m", "s", (F.col("z") - F.col("mean")).alias("off"))
+    return given.join(back, ["subject", "batch", "feature"]).select("subject", "feature", "batch", ((F.col("z") + F.col("off")) * F.col("s") + F.col("m")).alias("y"))
