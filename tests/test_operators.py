@@ -260,3 +260,20 @@ def test_covariance_harmonisation_keeps_incomplete_subjects(spark):
     got = sorted((r.subject, r.feature, r.y) for r in harmonize.covbat(df).collect())
     assert len(got) == len(rows) and [g[:2] for g in got] == [e[:2] for e in expected]
     assert np.allclose([g[2] for g in got], [e[2] for e in expected])
+
+
+def test_permutations_deal_every_label_once(spark):
+    people = spark.createDataFrame([(s, "a" if s % 3 else "b") for s in range(500)], "subject long, group string")
+    dealt = st.deal_labels(people, 20, 16).toPandas()
+    assert len(dealt) == 500 * 20 and len(set(zip(dealt.subject, dealt.perm, strict=True))) == len(dealt)
+    assert (dealt.groupby("perm").new.apply(lambda x: (x == "a").sum()) == sum(1 for s in range(500) if s % 3)).all()
+    assert len({tuple(g.sort_values("subject").new) for _, g in dealt.groupby("perm")}) == 20
+
+
+def test_max_t_takes_a_hundred_permutations(spark):
+    rng = np.random.default_rng(10)
+    rows = [(s, f"f{f}", "ab"[s % 2], float(rng.uniform(1, 2))) for s in range(40) for f in range(3)]
+    edges = spark.createDataFrame(rows, "subject long, feature string, group string, y double")
+    got = {r.feature: r for r in st.max_t_permutation(edges, "a", "b").collect()}
+    assert got == {r.feature: r for r in st.max_t_permutation(edges, "a", "b", permutations=100).collect()}
+    assert got["f0"].critical != st.max_t_permutation(edges, "a", "b", permutations=20).first().critical

@@ -130,14 +130,33 @@ def pooled_t(edges: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("feature", "n0", "n1", t.alias("t")).withColumn("d", 2 * F.col("t") / F.sqrt(F.col("n0") + F.col("n1") - 1)).withColumn("p", t_two_sided(F.col("t"), F.col("n0") + F.col("n1") - 2))
 
 
-def max_t_permutation(edges: DataFrame, a: str, b: str, permutations: int = 20, level: float = 0.95) -> DataFrame:
+def _numbered(rows: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """``rn``: each row's place, from 1, along the column ``hash`` within ``by``.
+
+    Ranges of the hash are counted and their counts summed first, then the rows
+    of each range are numbered, so no task holds a whole group.
+    """
+    ranged = rows.withColumn("part", F.floor(F.shiftrightunsigned("hash", 33) * parts / 2**31))
+    counts = ranged.groupBy(*by, "part").agg(F.count("*").alias("rows"))
+    before = counts.select(*by, "part", (F.sum("rows").over(W.partitionBy(*by).orderBy("part")) - F.col("rows")).alias("before"))
+    within = F.row_number().over(W.partitionBy(*by, "part").orderBy("hash", "subject", "group"))
+    return ranged.withColumn("rn", within).join(before, [*by, "part"]).withColumn("rn", F.col("rn") + F.col("before")).drop("part", "before", "hash")
+
+
+def deal_labels(people: DataFrame, permutations: int, part_rows: int = 4096) -> DataFrame:
+    """(subject, perm, new): in each permutation the groups of (subject, group) are dealt anew by a hash."""
+    parts = people.count() // part_rows + 1
+    perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+    first = _numbered(people.withColumn("hash", F.xxhash64("subject")), [], parts).select("subject", "rn", perms)
+    shuffled = people.select("subject", "group", perms).withColumn("hash", F.xxhash64("subject", "perm"))
+    return first.join(_numbered(shuffled, ["perm"], parts).select("perm", "rn", F.col("group").alias("new")), ["perm", "rn"]).select("subject", "perm", "new")
+
+
+def max_t_permutation(edges: DataFrame, a: str, b: str, permutations: int = 100, level: float = 0.95) -> DataFrame:
     """Max-T test: each permutation deals the subjects' labels anew by a hash; q is the share of larger maxima."""
     held = edges.where(F.col("group").isin(a, b))
     people = held.select("subject", "group").distinct()
-    dealt = people.select("subject", "group", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    first = dealt.withColumn("rn", F.row_number().over(W.partitionBy("perm").orderBy("subject")))
-    shuffled = first.withColumn("rn", F.row_number().over(W.partitionBy("perm").orderBy(F.xxhash64("subject", "perm"), "subject"))).select("perm", "rn", F.col("group").alias("new"))
-    labels = first.join(shuffled, ["perm", "rn"]).select("subject", "perm", "new")
+    labels = deal_labels(people, permutations)
     mixed = held.drop("group").join(labels, "subject").select(F.concat_ws("|", "perm", "feature").alias("feature"), F.col("new").alias("group"), "y")
     maxima = pooled_t(mixed, a, b).groupBy(F.substring_index("feature", "|", 1).alias("perm")).agg(F.max(F.abs("t")).alias("top"))
     # One row: the critical value and the permutations' maxima, as many as were asked for.
