@@ -237,18 +237,50 @@ def _near_copies(seed, n=160):
     return texts
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
-def test_jaccard_matches_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,leaf", [(1024, 512), (4, 3)])
+def test_jaccard_matches_brute_force(spark, monkeypatch, tile, leaf):
     monkeypatch.setattr(links.blocks, "__defaults__", (tile,))
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
     texts = _near_copies(8) + EDGE
     sizes, label = _classes(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(documents(spark, texts)).collect()}
-    assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
     docs = documents(spark, texts)
-    kept = jaccard.one_of_each(docs, jaccard.jaccard_classes(docs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, 85, 100, 4).collect()}
+    assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
+    kept = jaccard.dedup_documents(docs, 85, 100, 4)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(label) if i == c]
 
 
+@pytest.mark.parametrize("num", [85, 80, 50])
+def test_linked_sets_share_a_region(num):
+    rng = np.random.default_rng(num)
+    classes = jaccard.Classes(num, 100)
+    for _ in range(1500):
+        n = int(np.exp(rng.uniform(0, 6.5))) + 1
+        s = rng.integers(0, 1 << 63, 2 * n, np.uint64) * np.uint64(2)
+        cut, more = int(rng.integers(0, n)), int(rng.integers(0, n))
+        x, y = np.unique(s[:n]), np.unique(np.append(s[min(cut, n // 4) : n], s[n : n + more // 3]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= num * (len(x) + len(y) - both) and both < max(len(x), len(y)):
+            assert len(np.intersect1d(jaccard.region_keys(x, classes), jaccard.region_keys(y, classes)))
+
+
+def test_cells_keep_linked_members_together(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 10)
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(0, 1 << 63, 100, np.uint64) for _ in range(30)]
+    sets = [np.unique(np.append(kinds[k % 30][: 100 - k % 7], rng.integers(0, 1 << 63, k % 5, np.uint64))) for k in range(300)]
+    rows = spark.createDataFrame([(1, k, len(s), bytearray(jaccard._parity(s))) for k, s in enumerate(sets)], "key long, id long, n long, parity binary")
+    cells = collections.defaultdict(set)
+    for r in jaccard.voronoi(rows, 85, 100).collect():
+        cells[r.key].add(r.id)
+    assert len(cells) > 1 and max(map(len, cells.values())) < 300
+    for a in range(300):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                assert any(a in c and b in c for c in cells.values())
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.jaccard_classes(documents(spark, EDGE).where("false")).count() == 0
 
@@ -376,8 +408,9 @@ def test_mix_is_near_its_targets(spark):
         total[row.source] += row.taken
     for source, target in {(r.source, r.target) for r in rows}:
         assert abs(total[source] - target) <= max(20, 0.01 * target)
-    taken = mixing.take_copies(docs, mixing.mix(docs))
-    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in rows)
+    taken = mixing.mix_rows(docs)
+    assert taken.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in taken.collect()) == {r.doc_id: r.copies for r in rows if r.copies}
     assert mixing.mix(docs.where("false")).count() == 0
 
 

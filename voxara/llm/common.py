@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -44,17 +45,43 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at files in the shared folder, so that lost executors cost no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut``, but columnar: written as Parquet in the shared folder and read again."""
+    """Cuts the lineage: written as Parquet in the shared folder and read again, so that lost executors cost no rerun.
+
+    ``drop`` deletes the files once nothing reads them any more.
+    """
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _open.append(path)
+    return out
+
+
+#: Folders that ``stored`` has written and nothing has dropped.
+_open: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _open.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables, and lets Spark free the shuffles that made them."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
+    gc.collect()
+    # Shuffle files go when the driver's JVM has collected what refers to them.
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def drop_all_but(docs: DataFrame) -> None:
+    """Deletes every stored table that ``docs`` doesn't read."""
+    read = docs.inputFiles() if _open else []
+    for path in [p for p in _open if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        _delete(docs.sparkSession, path)
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

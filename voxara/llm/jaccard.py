@@ -1,19 +1,25 @@
 """Exact Jaccard join over word shingles (operator 7).
 
-Shingle sets with the Jaccard distance are a metric space, and the join works
-by pivots. Documents on unrelated matters are all at distance 1 from each
-other, so pivot documents cannot part them; the first level's pivots are
-therefore single shingles, in one global order from rare to common. A set of n
-shingles can only link to sets that share one of its first
-n - ceil(t * n) + 1 shingles, so it is replicated to that window of regions,
-and to no other. Within a region the recursion uses a pivot document, the one
-whose shingles are shared most: distances to it give triangle-inequality
-windows, members within the threshold are linked through it, and only members
-of different classes whose windows meet are compared, block by block, exactly.
+Shingle sets with the Jaccard distance are a metric space. Sets of unrelated
+documents are all at distance 1 from each other, so the triangle inequality
+about pivot documents parts none of them (README has figures); a first cut
+deals documents into regions in which pivots can work. Shingles are dealt by
+hash into one class more than linked sets can differ in, so linked sets agree
+in a whole class: a region is a class together with the shingles it must hold,
+and a set stands in the regions of its own classes.
+
+Regions are then joined by pivot documents. First each has one pivot, members
+near it are compared with it exactly, and regions whose members are all of one
+class of links are done. Large regions among the others are parted into the
+Voronoi cells of several pivots; a member is copied to every cell that its
+triangle-inequality window reaches, and cells are parted again until they are
+small. Leaves compare members of different classes exactly.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import counted_rows, own_columns, stored, times
+from voxara.llm.common import counted_rows, drop, own_columns, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
-#: Buckets of the count sketch that orders shingles, and bits of a set's parity signature; both fixed.
-SKETCH_BITS = 20
+#: Bits of a set's parity signature.
 PARITY_BITS = 512
+#: Largest size over smallest size of the sets that share one number of classes, about.
+SPREAD = 1.4
+#: Share of sets that may need another deal, about, and deals at most.
+ANEW, DEALS = 0.05, 40
+#: Members of a region that are compared without further pivots, and pivots of a larger one.
+LEAF, PIVOTS = 512, 8
 WORD_CACHE = 200_000
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -70,10 +81,6 @@ def _raw(b: pa.RecordBatch, column: int) -> list[bytes | None]:
     return b.column(column).cast(pa.binary()).to_pylist()
 
 
-def _prefix(n: int, num: int, den: int) -> int:
-    return n + num * n // -den + 1
-
-
 def _set_hash(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63)
 
@@ -84,58 +91,100 @@ def _parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
-_SLICES = 32
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parity", pa.binary())])
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: set size, set hash and signature; and each task's slices of the count sketch."""
+    """One row per document: set size, set hash and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
+        shingles = Shingler(words)
         for b in batches:
-            ids, ns, hashes, signs = b.column(0).to_pylist(), [], [], []
+            ns, hashes, signs = [], [], []
             for text in _raw(b, 1):
                 s = shingles(text)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 ns.append(len(s))
                 hashes.append(_set_hash(s) if len(s) else None)
                 signs.append(_parity(s) if len(s) else None)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(hashes, pa.int64()), pa.array(signs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_PROFILE)
-        if counts.any():
-            cut = np.minimum(counts, 65535).astype(np.uint16).reshape(_SLICES, -1)
-            empty = [pa.nulls(_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(_SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip((ns, hashes, signs), list(_PROFILE)[1:], strict=True)]], schema=_PROFILE)
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, id long, parity binary, slice int, counts binary")
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, id long, parity binary")
 
 
-def _commonness(profile: DataFrame) -> np.ndarray:
-    """A class of commonness for each bucket of the sketch: 1 MB, whatever the input's size."""
+class Classes:
+    """How many classes of shingles sets of about one size have, so that linked ones agree in a whole class.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(c, np.uint16).astype(np.int64)
-                total[k] = total[k] + x if k in total else x
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+    Sizes are cut into steps. Two linked sets, the larger of at most ``top``
+    shingles, differ in no more than ``differ`` of them. Of ``differ + 1 + spare``
+    classes they agree in ``spare`` + 1 at least, so in one that isn't empty, if
+    one of them has no more than ``spare`` empty classes. A set with more empty
+    ones is dealt by another hash as well, until a deal leaves no more empty:
+    both sets of a pair then take part in the first deal that suits either.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.tops = [1]
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def step(self, n: int) -> int:
+        """The step that sets of size n are in."""
+        while self.tops[-1] < n:
+            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * SPREAD)))
+        return bisect_left(self.tops, n)
+
+    def of_step(self, step: int) -> tuple[int, int]:
+        """(classes, spare) of the pairs whose larger set is in the step; no classes where only equal sets link."""
+        found = self.known.get(step)
+        if found is None:
+            top, below = self.tops[step], self.tops[step - 1] if step else 0
+            differ = 2 * top * (self.den - self.num) // (self.den + self.num)
+            least = -(-(below + 1) * self.num // self.den)
+            spare = 0
+            while differ and spare <= differ:
+                empty = (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** least
+                if sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1)) >= 1 - ANEW:
+                    break
+                spare += 1
+            found = self.known[step] = (differ + 1 + spare if differ else 0, spare)
+        return found
 
-    rows = profile.where("slice is not null").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    counts = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.int64)
-    for r in rows:
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    level = np.log2(1 + counts.ravel()) - np.log2(1 + counts.mean())
-    return np.clip(np.round(2 * level), 0, 200).astype(np.uint8)
+    def steps(self, n: int) -> range:
+        """The steps in which a set of size n may have partners of its size or larger, or be the larger one."""
+        return range(self.step(n), self.step(n * self.den // self.num) + 1)
 
 
-def _regions(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(key, id): each set in the regions of its window; every set once per task."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M[1]
+    return x ^ (x >> np.uint64(29))
+
+
+def region_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
+    """Keys of the regions that a sorted set of shingle hashes stands in."""
+    found = []
+    for step in classes.steps(len(s)):
+        count, spare = classes.of_step(step)
+        if not count:
+            continue
+        dealt = s
+        for deal in range(DEALS):
+            # Classes are ranges of the hash, so each is a run of the sorted set.
+            of = (dealt >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+            start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            found.append(_mixed(np.add.reduceat(_mixed(dealt), start) + (of[start] + np.uint64((step << 40) + (deal << 56))) * _M[2]))
+            if count - len(start) <= spare:
+                break
+            dealt = np.sort(_mixed(dealt * _M[3]))
+        else:
+            found.append(np.array([step + 1], np.uint64))  # what no deal suits meets in one region
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def _regions(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(key, id): each set in its regions; every set once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(words), set()
+        shingles, classes, seen = Shingler(words), Classes(num, den), set()
         for b in batches:
             keys, ids, sizes = [], [], []
             for text in _raw(b, 1):
@@ -143,8 +192,7 @@ def _regions(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                 if not len(s) or (ident := _set_hash(s)) in seen:
                     continue
                 seen.add(ident)
-                order = np.lexsort((s, common[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                keys.append(s[order[: _prefix(len(s), num, den)]])
+                keys.append(region_keys(s, classes))
                 ids.append(ident)
                 sizes.append(len(keys[-1]))
             if ids:
@@ -183,6 +231,71 @@ def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(run, "key long, id long, pivot long, low float, near boolean")
 
 
+def _parted(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """One level of the recursion: rows of regions of more than LEAF members, dealt to the Voronoi cells of pivots.
+
+    The metric is the number of bits in which signatures differ, which is no
+    more than the number of shingles in which sets do. A cell holds the members
+    within a radius of its pivot, the most that a set linked with the pivot may
+    differ in, and copies of those on its boundary: up to the radius and what
+    their own linked sets may differ in. Members outside of all radii make one
+    more region, which further pivots part. Linked members meet in the cell of
+    a pivot that is near either, or outside. Rows get the cell's key and ``from_key``.
+    """
+    salt = F.pmod(F.xxhash64("id", "key"), F.lit(PIVOTS))
+    drawn = rows.groupBy("key", salt.alias("salt")).agg(F.min_by(F.struct("n", F.hex("parity").alias("sign")), F.xxhash64("id")).alias("pivot"))
+    pivots = drawn.groupBy("key").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, sign, n = b.column("key").to_numpy(), _pack(b.column("parity").to_numpy(zero_copy_only=False)), b.column("n").to_numpy()
+            cells, rows_of = [], []
+            for k, first in zip(*np.unique(key, return_index=True), strict=True):
+                at = np.flatnonzero(key == k)
+                pivot = b.column("pivots")[int(first)].as_py()
+                signs = np.frombuffer(bytes.fromhex("".join(p["sign"] for p in pivot)), np.uint64).reshape(-1, PARITY_BITS // 64)
+                radius = (den - num) * np.array([p["n"] for p in pivot]) // num
+                far = np.stack([np.bitwise_count(sign[at] ^ p).sum(1).astype(np.int64) for p in signs], 1)
+                outside = (far > radius).all(1)
+                member = far <= radius + ((den - num) * n[at] // num)[:, None]
+                i, cell = np.nonzero(np.concatenate([outside[:, None], member], 1))
+                rows_of.append(at[i])
+                cells.append(cell)
+            order, cell = np.concatenate(rows_of), np.concatenate(cells)
+            new = _mixed(key[order].view(np.uint64) + (cell.astype(np.uint64) + np.uint64(1)) * _M[3])
+            taken = b.take(pa.array(order)).drop_columns(["pivots"])
+            yield taken.append_column("from_key", taken.column("key")).set_column(0, "key", pa.array(new.view(np.int64)))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.join(pivots, "key").select(*rows.columns, "pivots").mapInArrow(run, f"{kinds}, from_key long")
+
+
+def voronoi(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, id, n, parity, ...) of regions, large ones parted recursively where that spares comparisons.
+
+    A region that pivots part into little smaller cells stays whole.
+    """
+    done, left = [], rows
+    while True:
+        size = left.groupBy("key").agg(F.count("*").alias("size"))
+        large = stored(size.where(F.col("size") > LEAF), "large")
+        if large.isEmpty():
+            break
+        done.append(left.join(large, "key", "left_anti"))
+        inner = left.join(large.select("key"), "key")
+        cells = stored(_parted(inner, num, den), "cells")
+        each = cells.groupBy("from_key", "key").agg(F.count("*").cast("double").alias("n"))
+        gain = each.groupBy("from_key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        parted = stored(large.join(gain, F.col("key") == F.col("from_key")).where("pairs <= 0.7 * size * size").select("from_key"), "gain")
+        done.append(inner.join(parted, F.col("key") == F.col("from_key"), "left_anti"))
+        left = cells.join(parted, "from_key", "left_semi").select(*rows.columns)
+    for d in done:
+        left = left.unionByName(d)
+    return left
+
+
 def _of_several_classes(rows: DataFrame) -> DataFrame:
     """Rows of the regions whose members aren't all of one class; others have nothing left to join."""
     narrow = rows.repartition(F.col("key"))
@@ -254,11 +367,22 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
-    # What else passes the filter, and repeats, meet no pair or the same one again.
-    return stored(placed.mapInArrow(run, "id long, shingles binary"), "sets")
+    # The filter spares work; the join takes out what else passes it. A set that comes twice meets the same pairs again.
+    sets = stored(placed.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi"), "sets")
+    drop(wanted)
+    return sets
 
 
-def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int = 4) -> DataFrame:
+def _checked(pairs: DataFrame, docs: DataFrame, profile: DataFrame, words: int) -> DataFrame:
+    """Exact intersections of stored pairs (a, b), stored."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = _sets_of(docs, profile, ids, words)
+    out = stored(_verify(pairs, sets), "checked")
+    drop(sets)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
     """Connected classes of documents whose shingle sets link at Jaccard num/den or more.
 
     A document with fewer than ``words`` words has its whole word sequence as
@@ -272,15 +396,13 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     """
     eps = 1 - num / den
     profile = stored(_profile(docs, words), "profile")
-    base = profile.where("slice is null").select("doc_id", "n", "id", "parity")
-    region = stored(shared_keys(_regions(docs, words, num, den, _commonness(profile))), "regions")
+    region = stored(shared_keys(_regions(docs, words, num, den)), "regions")
     rank = region.groupBy("id").agg(F.count("*").alias("rank"))
-    node = stored(base.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id"), "nodes")
+    node = stored(profile.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id"), "nodes")
     starred = stored(_star(region.join(node, "id").select("key", "id", "n", "parity", "rank"), num, den), "starred")
-    first = starred.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-
-    ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    checked = stored(_verify(first, _sets_of(docs, base, ids, words)), "checked")
+    drop(region)
+    first = stored(starred.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "first")
+    checked = _checked(first, docs, profile, words)
     linked = F.expr(f"{den} * both >= {num} * (n_a + n_b - both)")
     classes = components(checked.where(linked).select("a", "b"))
 
@@ -292,32 +414,20 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, words: int =
         .select("key", "id", F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", "low")).alias("low"), F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", F.lit(1.0))).alias("high"), F.coalesce("component", "id").alias("klass"))
     )
     # Signatures are wide, so they join only what is left after regions of one class have gone.
-    open_ = _of_several_classes(windows).join(node.select("id", "n", "parity"), "id")
-    crossing = map_blocks(blocks(open_), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
+    open_ = stored(_of_several_classes(windows).join(node.select("id", "n", "parity"), "id").select("key", "id", "n", "parity", "low", "high", "klass"), "open")
+    crossing = map_blocks(blocks(voronoi(open_, num, den)), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
     second = stored(crossing.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
-    more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
-    late = stored(_verify(second, _sets_of(docs, base, more_ids, words)), "late")
+    drop(starred, node, open_, first)
+    late = _checked(second, docs, profile, words)
     linked_all = checked.where(linked).select("a", "b").union(late.where(linked).select("a", "b"))
     component = components(linked_all)
+    drop(checked, late, second)
 
-    placed = base.join(component, "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("klass"))
+    placed = profile.join(component, "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("klass"))
     smallest = placed.where("klass is not null").groupBy("klass").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "klass", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class, with all columns.
-
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay. Where
-    there are such rows, ``dedup_documents`` decides by row instead.
-    """
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
-
-
 def dedup_documents(docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """One row of each class of linked documents, with all columns.
 

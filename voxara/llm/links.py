@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import cut
+from voxara.llm.common import drop, stored
 
 #: Rows of one key that are compared in one piece, about.
 TILE = 1024
@@ -150,9 +150,9 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row per linked id, with the smallest id reachable.
 
     Alternates large-star and small-star steps on distributed edges until they
-    stop changing; the lineage is cut after each round. Returns id, component.
+    stop changing; the edges are written after each round. Returns id, component.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -160,8 +160,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(near, F.col("u") == F.col("u_")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least.withColumnRenamed("u", "u_"), F.col("u") == F.col("u_")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(kept.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, stored(kept.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        drop(last)
         if now == before or not now["n"]:
             break
         before = now

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import cut, stored
+from voxara.llm.common import stored
 from voxara.llm.links import components
 
 COSINE = 0.9
@@ -141,7 +141,7 @@ def _near_blocks(boxes: DataFrame, n: int, eps: float) -> DataFrame:
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"alo{k}") - F.col(f"bhi{k}"), F.col(f"blo{k}") - F.col(f"ahi{k}")), 2) for k in range(AXES)), F.lit(0.0))
         met = pairs.join(sides[0], F.col("a") == F.col("a_")).join(sides[1], F.col("b") == F.col("b_"))
         near = met.where((F.col("a2") <= F.col("b2")) & (F.col("a_length") == F.col("b_length")) & (gap <= eps * eps))
-        pairs = cut(near.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        pairs = stored(near.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "block_pairs")
     return pairs
 
 
