@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet in the shared folder and gives what it reads back to the next one.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. When a stage begins,
+what it reads is written: it deletes whatever else the stages before it stored.
 """
 
 from __future__ import annotations
@@ -10,33 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxara.llm import jaccard, lines, mixing, toxicity
-from voxara.llm.common import load, stored
+from voxara.llm.common import drop_all_but, load, stored
 from voxara.llm.pieces import encode_documents, with_digests
 from voxara.llm.queries import TOKENIZERS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon predicts toxic go."""
+    drop_all_but(docs)
     return toxicity.remove_toxic(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-equal lines the first stays; documents left without words go."""
+    drop_all_but(docs)
     return lines.dedup_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked at 0.8 or more over five words the one with the smallest doc_id stays."""
+    drop_all_but(docs)
     return jaccard.dedup_documents(docs, num=80, den=100, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    drop_all_but(docs)
     return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the digests of ids and decoded text."""
+    drop_all_but(docs)
     return with_digests(encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
