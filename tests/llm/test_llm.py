@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -172,6 +173,54 @@ def test_template_regions():
         licenses.Automaton("<<var:2>> license")
 
 
+def test_template_alternatives():
+    a = licenses.Automaton("<<alt>>a b<<or>>c<</alt>> <<opt>>x<</opt>> <<alt>>d<<or>>e f<</alt>>")
+    accepted = {w for n in range(1, 6) for w in itertools.product("abcdefx", repeat=n) if a.match(list(w), 0) == n}
+    assert accepted == {tuple(x + y + z) for x in ("ab", "c") for y in ("", "x") for z in ("d", "ef")}
+    for wrong in ("a <<or>> b", "<<alt>> a", "<<opt>> a <</alt>>", "<<opt>>a<</opt>>"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(wrong)
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Some One <some@example.org>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def _labels(text):
+    _, _, found = licenses.Scanner(licenses.TEXTS, licenses.NOTICES, licenses.PHRASES).scan(text)
+    return {(label, score) for *_, label, score in found}
+
+
+def test_license_texts_and_notices():
+    assert _labels(MIT) == {("mit", 1.0)}
+    assert not _labels(MIT.replace("tort", "sport").replace("TORT", "SPORT")) and not _labels(MIT[: len(MIT) // 2])
+    assert _labels("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == {("cc-by", 0.9)}
+    assert _labels("licensed under the Creative Commons Attribution 4.0 license") == {("cc-by", 0.9)}
+    assert _labels("Licensed under CC BY 3.0") == _labels("Licensed under CC BY") == {("cc-by", 0.9)}
+    assert ("cc-by-nc", 0.9) in _labels("Licensed under CC BY-NC 4.0.")
+    assert _labels("This project is released under the MIT License.") == {("mit", 0.9)}
+    assert _labels("This work is licensed under the GNU General Public License, version 3.") == {("gpl", 0.9)}
+    assert _labels("under no license at all") == set()
+    # Each template takes its own mandatory wording, and refuses it once a word of it is changed.
+    for label, template in licenses.TEXTS:
+        flat = re.sub(r"<<alt>>((?:(?!<<alt>>).)*?)<<or>>((?:(?!<<alt>>).)*?)<</alt>>", r"\1", template)
+        while "<<opt>>" in flat:
+            flat = re.sub(r"<<opt>>((?!<<opt>>).)*?<</opt>>", " ", flat)
+        words = re.sub(r"<<var:\d+>>", "the holders", flat).split()
+        a = licenses.Automaton(template)
+        assert a.match(words, 0) == len(words), label
+        for k in range(0, len(words), 7):
+            if words[k] not in ("the", "holders"):
+                assert a.match([*words[:k], "changed", *words[k + 1 :]], 0) is None, (label, k)
+
+
 # 6. Toxicity
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(7)
