@@ -2,19 +2,24 @@
 
 Three fixed kinds of spans are found by pattern. Besides, every long run of
 token characters is a candidate. Its encoding is inferred from the characters
-it holds (hex, base32, base64), and three tests ask whether it looks drawn at
-random from that alphabet: chi-squared over the alphabet's parts, a runs test
-over these parts, and the serial correlation of neighbouring characters.
-Fisher's rule combines them into one p-value. In each class of length, the
-share of non-random candidates above a cut of p is estimated from the flat
-part of the p-values, and the lowest cut whose share is within ``fdr`` holds.
+it holds (hex, base32, base64), and four tests ask whether it looks drawn at
+random from that alphabet: chi-squared over the alphabet's symbols and over
+four parts of it, a runs test over these parts, and the serial correlation of
+neighbouring characters. Fisher's rule combines them into one p-value.
+
+False discoveries are tokens that aren't random and are kept. How often the
+battery lets such a token pass is measured, for each class of length, on a
+fixed set of tokens made by rule: syllables, names with numbers, repeated
+motifs, few symbols. A class keeps the candidates above the lowest cut of p at
+which the false ones so expected are no more than ``fdr`` of what is kept; a
+candidate that the battery rejects outright is never kept.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxara.llm.common import stored, texts
@@ -27,9 +32,10 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 #: A candidate run of the method.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Widths of the length classes: lengths 20-31, 32-47, 48-63, ... share a class.
-CLASS_WIDTH, CLASSES = 16, 16
-BINS = 50
+#: Classes of length for each doubling of the length, and bins of p.
+CLASSES, BINS = 4, 50
+#: Tokens of each class that are known not to be random, and their greatest length: longer ones pass less often still.
+NULL_ROWS, NULL_LENGTH = 600, 2048
 
 
 def _let(value: Column, body) -> Column:
@@ -61,8 +67,7 @@ def _labelled(spans: Column, kind: str, order: int, least: int) -> Column:
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal, by the logistic approximation."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1.0 / (1.0 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    return _let(F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0)), lambda z: 1.0 / (1.0 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
 
 
 def _chi_tail(x: Column, df: Column) -> Column:
@@ -78,8 +83,9 @@ def randomness_p(token: Column) -> Column:
     """Combined p-value of the battery: near 0 where the token isn't random over its inferred alphabet."""
     stripped = F.rtrim(F.regexp_replace(token, "=+$", ""))
     # Parts of each alphabet and their shares; the encoding is the smallest alphabet that holds the token.
-    encoding = F.when(stripped.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(0)).when(stripped.rlike("^[A-Z2-7]+$"), F.lit(1)).otherwise(F.lit(2))
+    encoding = lambda t: F.when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(0)).when(t.rlike("^[A-Z2-7]+$"), F.lit(1)).otherwise(F.lit(2))
     code = lambda c: F.ascii(c)
+    symbols = F.array(F.lit(16.0), F.lit(32.0), F.lit(64.0))
     part = lambda c, e: (
         F.when(e == 0, F.when(code(c) < 53, 0).when(code(c) < 58, 1).when(F.lower(c) < "d", 2).otherwise(3))
         .when(e == 1, F.when(code(c) < 65, 0).when(code(c) < 74, 1).when(code(c) < 83, 2).otherwise(3))
@@ -92,23 +98,57 @@ def randomness_p(token: Column) -> Column:
         parts, codes, n = bound["parts"], bound["codes"], F.size(bound["parts"]).cast("double")
         count = [F.size(F.array_remove(F.transform(parts, _equals(i)), 0)).cast("double") for i in range(4)]
         chi = reduce(lambda a, b: a + b, [(count[i] - n * F.get(bound["share"], F.lit(i))) ** 2 / (n * F.get(bound["share"], F.lit(i))) for i in range(4)])
-        p_chi = _chi_tail(chi, F.lit(3.0))
+        p_parts = _chi_tail(chi, F.lit(3.0))
+        # Chi-squared over the symbols, scaled to the variance it has where symbols are rarer than tests of it assume.
+        token, k = bound["token"], bound["symbols"]
+        squares = F.aggregate(F.array_distinct(bound["chars"]), F.lit(0.0), lambda a, c: a + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), 2))
+        x = (k - 1) + (k / n * squares - n - (k - 1)) / F.sqrt(F.greatest(1 - 1 / n, F.lit(0.1)))
+        p_chi = _let(_chi_tail(x, k - 1), lambda p: 2 * F.least(p, 1 - p))
         # Runs of equal parts: changes between neighbours against their expectation under the shares.
         change = F.aggregate(F.zip_with(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
         differ = 1 - reduce(lambda a, b: a + b, [F.get(bound["share"], F.lit(i)) ** 2 for i in range(4)])
         p_runs = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(change - (n - 1) * differ) / F.sqrt((n - 1) * differ * (1 - differ))))
-        mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-        power = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) ** 2)
-        lagged = F.aggregate(F.zip_with(F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1))), F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(1))), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
-        serial = F.when(power > 0, lagged / power).otherwise(F.lit(1.0))
+        # From plain sums, as a lambda would work out the mean anew for every character.
+        whole = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+        pairs = F.greatest(F.size(codes) - 1, F.lit(1))
+        ends = F.get(codes, F.lit(0)) + F.get(codes, F.size(codes) - 1)
+        sums = F.struct(whole(codes).alias("one"), F.aggregate(codes, F.lit(0.0), lambda a, y: a + y * y).alias("two"), whole(F.zip_with(F.slice(codes, 2, pairs), F.slice(codes, 1, pairs), lambda a, b: F.coalesce(a * b, F.lit(0.0)))).alias("lag"), ends.alias("ends"))
+        serial = _let(sums, lambda t: F.when(t["two"] > t["one"] * t["one"] / n, (t["lag"] - t["one"] / n * (2 * t["one"] - t["ends"]) + (n - 1) * t["one"] * t["one"] / (n * n)) / (t["two"] - t["one"] * t["one"] / n)).otherwise(F.lit(1.0)))
         p_serial = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(serial + 1 / n) * F.sqrt(n)))
-        return _chi_tail(-2 * (F.log(p_chi) + F.log(p_runs) + F.log(p_serial)), F.lit(6.0))
+        logs = reduce(lambda a, b: a + b, [F.log(F.greatest(p, F.lit(1e-12))) for p in (p_chi, p_parts, p_runs, p_serial)])
+        return _chi_tail(-2 * logs, F.lit(8.0))
 
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    return _let(
-        F.struct(F.transform(chars(stripped), lambda c: part(c, encoding)).alias("parts"), F.transform(chars(stripped), lambda c: code(c).cast("double")).alias("codes"), F.get(share, encoding).alias("share")),
-        battery,
+    # Each step is bound before the next, so that no character's lambda works out a whole token's values anew.
+    inferred = lambda t: F.struct(t.alias("token"), encoding(t).alias("encoding"), chars(t).alias("chars"))
+    coded = lambda x: F.struct(
+        F.transform(x["chars"], lambda c: part(c, x["encoding"])).alias("parts"),
+        F.transform(x["chars"], lambda c: code(c).cast("double")).alias("codes"),
+        F.get(share, x["encoding"]).alias("share"),
+        F.get(symbols, x["encoding"]).alias("symbols"),
+        x["token"].alias("token"),
+        x["chars"].alias("chars"),
     )
+    return _let(stripped, lambda t: _let(inferred(t), lambda x: _let(coded(x), battery)))
+
+
+def _p_bin(token: Column) -> Column:
+    return F.least(F.floor(randomness_p(token) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def known_words(spark: SparkSession, classes: list[int]) -> DataFrame:
+    """(class, token): NULL_ROWS tokens of each class that aren't random, made by rule from hashes."""
+    of = spark.createDataFrame([(c, min(NULL_LENGTH, int(20 * 2 ** ((c + 0.5) / CLASSES)))) for c in classes], "class int, n int").crossJoin(spark.range(NULL_ROWS))
+    pick = lambda letters, *key: F.substring(F.lit(letters), F.pmod(F.xxhash64(*key), F.lit(len(letters))).cast("int") + 1, F.lit(1))
+    row = F.col("id")
+    syllable = lambda i: F.concat(pick("bcdfghjklmnprstvwz", row, i, F.lit(1)), pick("aeiou", row, i, F.lit(2)))
+    steps = F.sequence(F.lit(1), F.col("n"))
+    syllables = F.array_join(F.transform(steps, syllable), "")
+    names = F.array_join(F.transform(steps, lambda i: F.concat(F.initcap(F.concat(syllable(i), syllable(i + 100_000))), F.when(F.pmod(F.xxhash64(row, i), F.lit(3)) == 0, pick("0123456789", row, i, F.lit(3))).otherwise(""))), "")
+    few = F.array_join(F.transform(steps, lambda i: pick("anoAB01b", row, i, F.lit(4))), "")
+    motif = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: pick("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", row, i, F.lit(5))), "")
+    made = F.get(F.array(syllables, names, few, F.repeat(motif, F.col("n"))), F.pmod(row, F.lit(4)).cast("int"))
+    return of.select("class", F.substring(made, F.lit(1), F.col("n")).alias("token"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -131,30 +171,37 @@ def scan(docs: DataFrame) -> DataFrame:
         lambda x: F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),
-            F.least(F.floor((F.length(x["value"]) - 16) / CLASS_WIDTH), F.lit(CLASSES - 1)).cast("int").alias("class"),
-            F.least(F.floor(randomness_p(x["value"]) * BINS), F.lit(BINS - 1)).cast("int").alias("p_bin"),
+            F.floor(CLASSES * F.log2(F.length(x["value"]) / F.lit(20.0))).cast("int").alias("class"),
+            _p_bin(x["value"]).alias("p_bin"),
         ),
     )
     return texts(docs).select("doc_id", base.alias("base"), candidates.alias("candidates"))
 
 
 def cuts_by_length(scanned: DataFrame, fdr: float) -> dict[int, int]:
-    """Lowest bin of p that is kept in each class of length: at most CLASSES entries.
+    """Lowest bin of p that is kept in each class of length; a few classes for each doubling of the longest length.
 
-    Random candidates have flat p-values, so twice those above one half estimate
-    their number; what else lies above a cut is falsely found.
+    The share of non-random tokens that pass a cut is that of ``known_words``.
+    Their number is judged from the candidates below the cut, never from those
+    above it. The first bin is always rejected.
     """
-    found = scanned.select(F.explode("candidates").alias("c")).groupBy(F.col("c.class").alias("class"), F.col("c.p_bin").alias("p_bin")).agg(F.count("*").alias("n")).collect()
+    count = lambda df: df.groupBy("class", "p_bin").agg(F.count("*").alias("n")).collect()
+    found = count(scanned.select(F.explode("candidates").alias("c")).select("c.class", "c.p_bin"))
+    classes = sorted({r["class"] for r in found})
+    if not classes:
+        return {}
+    null = count(known_words(scanned.sparkSession, classes).select("class", _p_bin(F.col("token")).alias("p_bin")))
     cuts = {}
-    for size in {r["class"] for r in found}:
-        counts = [0] * BINS
-        for r in found:
-            if r["class"] == size:
-                counts[r["p_bin"]] += r["n"]
-        random = 2 * sum(counts[BINS // 2 :])
-        for cut in range(BINS):
-            above = sum(counts[cut:])
-            if above and 1 - random * (1 - cut / BINS) / above <= fdr:
+    for size in classes:
+        counts, words = [0] * BINS, [0] * BINS
+        for rows, into in ((found, counts), (null, words)):
+            for r in rows:
+                if r["class"] == size:
+                    into[r["p_bin"]] += r["n"]
+        for cut in range(1, BINS):
+            passing = (sum(words[cut:]) + 1) / (sum(words) + 1)
+            above, below = sum(counts[cut:]), sum(counts[:cut])
+            if above and passing < 1 and below * passing / (1 - passing) <= fdr * above:
                 cuts[size] = cut
                 break
     return cuts
