@@ -40,7 +40,9 @@ SPREAD = 1.4
 ANEW, DEALS = 0.05, 40
 #: Members of a region that are compared without further pivots, and pivots of a larger one.
 LEAF, PIVOTS = 512, 8
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
+#: Texts or pairs of sets that a task works on at once.
+SLICE = 500
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -77,6 +79,13 @@ class Shingler:
         return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small pieces, as what is made of a text may be larger than the text."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _raw(b: pa.RecordBatch, column: int) -> list[bytes | None]:
     return b.column(column).cast(pa.binary()).to_pylist()
 
@@ -99,7 +108,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             ns, hashes, signs = [], [], []
             for text in _raw(b, 1):
                 s = shingles(text)
@@ -185,7 +194,7 @@ def _regions(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, classes, seen = Shingler(words), Classes(num, den), set()
-        for b in batches:
+        for b in _slices(batches):
             keys, ids, sizes = [], [], []
             for text in _raw(b, 1):
                 s = shingles(text)
@@ -341,7 +350,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             both, one, other = [], [], []
             for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -360,7 +369,7 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             hit = passes(bits, b.column(2).to_numpy())
             found = [s for t in _raw(b.filter(pa.array(hit)), 1) if len(s := shingles(t))]
             if found:
