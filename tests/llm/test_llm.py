@@ -276,7 +276,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert not toxicity.learn(docs, labels.where("false")).weights
 
 
+def test_exceptions_are_learned(spark):
+    r = random.Random(70)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts, toxic = [], []
+    for k in range(900):
+        w = [r.choice(plain) for _ in range(30)]
+        toxic.append(int(k % 4 == 0))
+        if toxic[-1]:
+            w[5] = "grimslur"
+        elif k % 90 == 1:
+            w[5:7] = ["grimslur", "valley"]  # a place of that name
+        texts.append(" ".join(w))
+    docs = documents(spark, texts)
+    x = toxicity.learn(docs, spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int"))
+    assert "grimslur valley" in x.exceptions
+    assert x.weigh("down in grimslur valley")[0] == 0 and x.weigh("you grimslur")[0] > 0
+    assert toxicity.score_documents(docs.where("false"), x).count() == 0
+
+
 def test_folding_and_exceptions():
+    assert toxicity.folded_words("𝐓𝐫𝐚𝐬𝐡 Ｔｒａｓｈ ⓣrash") == ["trash"] * 3
     x = toxicity.Lexicon({"trash ": 2.0, "lowei": 3.0})
     assert x.weigh("TR4SH")[0] == 2.0 and x.weigh("trаsh")[0] == 2.0  # the second has a Cyrillic a
     assert x.weigh("the trash can is full")[0] == 0 and x.weigh("loweichen")[0] == 3.0 and x.weigh("slowei")[0] == 0
@@ -405,10 +425,10 @@ def test_lines_match_brute_force(spark, monkeypatch, tile):
         texts.append("\n".join(picked))
     texts += EDGE
     docs = documents(spark, texts)
-    occurrence = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(x) >= lines.LEAST]
+    occurrence = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     distinct = sorted({x for *_, x in occurrence})
     label = {x: x for x in distinct}
-    near = [(a, b) for a in distinct for b in distinct if a < b and abs(len(a) - len(b)) <= 2 and max(len(a), len(b)) < 100 and _distance(a, b) <= 2]
+    near = [(a, b) for a in distinct for b in distinct if a < b and abs(len(a) - len(b)) <= 2 and lines.LEAST <= min(len(a), len(b)) and max(len(a), len(b)) < 100 and _distance(a, b) <= 2]
     changed = True
     while changed:
         changed = False

@@ -68,20 +68,28 @@ def _delete(spark: SparkSession, path: str) -> None:
     _open.remove(path)
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes the files of stored tables, and lets Spark free the shuffles that made them."""
     for t in tables:
         _delete(t.sparkSession, t.stored_at)
-    gc.collect()
-    # Shuffle files go when the driver's JVM has collected what refers to them.
-    tables[0].sparkSession._jvm.System.gc()
+    if shuffles:
+        gc.collect()
+        # Shuffle files go when the driver's JVM has collected what refers to them.
+        tables[0].sparkSession._jvm.System.gc()
 
 
-def drop_all_but(docs: DataFrame) -> None:
-    """Deletes every stored table that ``docs`` doesn't read."""
-    read = docs.inputFiles() if _open else []
-    for path in [p for p in _open if not any(p.rsplit("/", 1)[1] in f for f in read)]:
-        _delete(docs.sparkSession, path)
+def open_folders() -> list[str]:
+    """The folders of stored tables that nothing has dropped."""
+    return list(_open)
+
+
+def drop_unread(docs: DataFrame, folders: list[str]) -> None:
+    """Deletes those of the folders of stored tables that ``docs`` doesn't read."""
+    left = [p for p in folders if p in _open]
+    read = docs.inputFiles() if left else []
+    for path in left:
+        if not any(path.rsplit("/", 1)[1] in f for f in read):
+            _delete(docs.sparkSession, path)
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

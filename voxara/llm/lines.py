@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join (operator 8).
 
-Every distinct line of ``least`` characters or more is split into
-``threshold`` + 1 segments. Two lines within the threshold share one segment at
+Lines are in one class if they are equal, whatever their length. Besides, every
+distinct line of ``least`` characters or more is split into ``threshold`` + 1
+segments. Two lines within the threshold share one segment at
 nearly the same place, so a line probes, for each length it may be near to, the
 substrings that the multi-match-aware windows allow. Probes and segments meet
 in one shuffle on their hash; a signature of character counts drops most other
@@ -18,10 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import SPACE, counted_rows, stored, times
+from voxara.llm.common import SPACE, counted_rows, drop, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, components, map_blocks, passes, shared_keys
 
 THRESHOLD = 2
+#: Shortest line that is joined with others than equal ones: two edits of a shorter one may leave nothing of it.
 LEAST = 16
 _CLASSES = 15
 #: Rows a task holds before it passes them on.
@@ -128,8 +130,8 @@ def within(a: str, b: str, threshold: int) -> bool:
     return any(x >> (m - n + k) & 1 for x in level)
 
 
-def _eligible(line: Column, least: int) -> Column:
-    return F.length(line) >= least
+def _eligible(line: Column, shortest: int) -> Column:
+    return (F.length(line) >= shortest) & line.rlike(f"[^{SPACE}]")
 
 
 def _probe_rows(docs: DataFrame, threshold: int, least: int) -> DataFrame:
@@ -197,7 +199,7 @@ def _near_pairs(threshold: int):
 def _lines_of(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """(id, line) of the wanted lines."""
     bits = bit_filter(ids, "id")
-    split = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(_eligible(F.col("line"), least))
+    split = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(F.length("line") >= least)
     placed = split.select(F.xxhash64("line").alias("id"), "line").select("id", "line", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,10 @@ def _lines_of(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """All links (a, b) between different lines, by hash, within the edit threshold."""
+    """All links (a, b) between different lines of ``least`` characters or more, by hash, within the edit threshold.
+
+    Null and empty texts have no line; other columns than text aren't looked at.
+    """
     met = stored(shared_keys(_probe_rows(docs, threshold, least)), "segments")
     pairs = stored(map_blocks(blocks(met), _near_pairs(threshold), "a long, b long", ["a", "b"]).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -230,16 +235,18 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
             kept = b.filter(pa.array(hit, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near")
+    drop(met, pairs, lines)
+    return near
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, shortest: int = 1) -> DataFrame:
     """Lines to remove from every document.
 
-    Lines of ``least`` characters or more are in one class if a chain of lines
-    within the edit threshold joins them; the first of each class by (doc_id,
-    line number) stays, the others are removed. Shorter lines, among them empty
-    ones, always stay. A null text has no line and nothing to remove; nor has a
+    Equal lines are in one class, and lines of ``least`` characters or more if a
+    chain of lines within the edit threshold joins them; the first of each class
+    by (doc_id, line number) stays, the others are removed. Lines without a word
+    and those of less than ``shortest`` characters always stay. A null text has no line and nothing to remove; nor has a
     document without a doc_id. Rows of the same doc_id are one document whose
     equally numbered lines count as one. A line is known by its 64-bit hash.
 
@@ -247,14 +254,14 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEA
     per distinct doc_id that has a line long enough.
     """
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    return _removed(near_lines(docs, threshold, least), own, ["doc_id"], least)
+    return _removed(near_lines(docs, threshold, least), own, ["doc_id"], shortest)
 
 
-def _removed(near: DataFrame, docs: DataFrame, by: list[str], least: int) -> DataFrame:
+def _removed(near: DataFrame, docs: DataFrame, by: list[str], shortest: int) -> DataFrame:
     """Lines to remove of each document; ``by`` orders documents, its last column tells them apart and is never null."""
     key = by[-1]
     component = components(near)
-    each = docs.where("text is not null").select(*by, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), least))
+    each = docs.where("text is not null").select(*by, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), shortest))
     placed = stored(each.select(*by, "line_no", F.xxhash64("line").alias("id")), "places")
     first = F.min(F.struct(*by, "line_no")).alias("first")
     by_line = placed.groupBy("id").agg(first)  # lines before classes: each distinct line is one row from here on
@@ -285,17 +292,19 @@ def _shortened(rows: DataFrame) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
     """The documents without repeated lines; every row is a document of its own.
 
     Rows are in the order of doc_id, those without one last; rows of one doc_id
     are ordered by a hash. Of equal rows, all but one lose every line of
-    ``least`` characters or more.
+    ``shortest`` characters or more; shorter lines, such as an answer in one
+    word, stay where they are. Null and empty texts stay as they are; a row that
+    is left without any word goes. An empty table gives an empty one.
     """
     rows = counted_rows(docs).withColumn("__none", F.col("doc_id").isNull())
-    found = _removed(near_lines(rows.select(F.col("__row").alias("doc_id"), "text"), threshold, least), rows, ["__none", "doc_id", "__row"], least)
+    found = _removed(near_lines(rows.select(F.col("__row").alias("doc_id"), "text"), threshold, least), rows, ["__none", "doc_id", "__row"], shortest)
     cut = found.where("n_removed > 0").select("__row", F.col("removed").alias("__removed"))
     once = _shortened(rows.join(cut, "__row", "left")).select(*docs.columns)
-    places = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(_eligible(x, least), i)), lambda i: i.isNotNull())
+    places = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(_eligible(x, shortest), i)), lambda i: i.isNotNull())
     again = rows.where("__n > 1").withColumn("__removed", F.when(F.col("text").isNotNull() & (F.size(places) > 0), places))
     return once.unionByName(times(_shortened(again), F.col("__n") - 1, docs.columns))

@@ -162,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
         kept = large.join(least.withColumnRenamed("u", "u_"), F.col("u") == F.col("u_")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, stored(kept.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        drop(last)
+        drop(last, shuffles=False)
         if now == before or not now["n"]:
             break
         before = now

@@ -28,8 +28,10 @@ SHARE = 1.5
 MAX_COPIES = 2
 NEWTON_STEPS = 40
 #: Places have so many digits of so many bits.
-DIGITS, BITS = 3, 11
+DIGITS, BITS = 2, 16
 PLACES = 1 << DIGITS * BITS
+#: A source is near its target where it lacks this share of it at most.
+NEAR = 1e-3
 
 
 def _source_key() -> Column:
@@ -102,7 +104,7 @@ def newton(sizes: DataFrame, targets: DataFrame, most: int = MAX_COPIES, steps:
         gap = F.col("words") - F.col("target")
         moved = at.join(sums, F.col("key") == F.col("__key"), "left").select(
             *at.columns,
-            (F.col("done") | (F.abs(gap) <= 1e-4 * F.greatest(F.lit(1.0), F.col("target"))) | (F.col("high") - F.col("low") < 1e-6)).alias("near"),
+            (F.col("done") | (F.abs(gap) <= NEAR * F.greatest(F.lit(1.0), F.col("target"))) | (F.col("high") - F.col("low") < 1e-6)).alias("near"),
             F.when(gap > 0, F.least("high", "multiplier")).otherwise(F.col("high")).alias("above"),
             F.when(gap <= 0, F.greatest("low", "multiplier")).otherwise(F.col("low")).alias("below"),
             F.when(F.col("slope") > 0, F.col("multiplier") - gap / F.col("slope")).alias("step"),
@@ -110,7 +112,7 @@ def newton(sizes: DataFrame, targets: DataFrame, most: int = MAX_COPIES, steps:
         inside = (F.col("step") > F.col("below")) & (F.col("step") < F.col("above"))
         new = F.when(F.col("near"), F.col("multiplier")).when(inside, F.col("step")).otherwise((F.col("below") + F.col("above")) / 2)
         last, at = at, stored(moved.select(*targets.columns, "full", "scale", new.alias("multiplier"), F.col("below").alias("low"), F.col("above").alias("high"), F.col("near").alias("done")), "multipliers")
-        drop(last)
+        drop(last, shuffles=False)
     return at
 
 
@@ -150,8 +152,9 @@ def rounded(sizes: DataFrame, at: DataFrame, most: int = MAX_COPIES) -> DataFram
     """The sources' numbers with ``upto`` and ``fills``, from which ``copies`` gives a document's copies.
 
     ``upto`` is the threshold of the first rounding. What is left of a target
-    then is less than one document; each of ``fills`` gives documents that fit
-    into it another copy up to a threshold of its own, until nothing fits.
+    then is less than one document; where that is more than NEAR, each of
+    ``fills`` gives documents that fit into it another copy up to a threshold of
+    its own, until nothing fits.
     """
     sums = sizes.join(at.select(F.col("key").alias("__key"), "full", "scale", "multiplier"), "__key").withColumn("__rate", _rate(most))
     late = stored(sums.select("__key", "__size", "__place", "__rate", _late().alias("late")).where("__size > 0"), "rates")
@@ -160,10 +163,11 @@ def rounded(sizes: DataFrame, at: DataFrame, most: int = MAX_COPIES) -> DataFram
     first = _thresholds(late.where(F.col("__rate") > F.floor("__rate")), room)
     state = at.join(first.select("key", "upto", "left"), "key", "left").withColumn("fills", F.array().cast("array<struct<most:long,upto:long>>"))
     state = stored(state.withColumn("upto", F.coalesce("upto", F.lit(0).cast("long"))), "rounded")
-    while not state.where("left >= 1").isEmpty():
-        again = late.join(state.select(F.col("key").alias("__key"), "full", "upto", "fills", "left"), "__key").withColumn("__copies", _copies(most))
+    lacking = (F.col("left") >= 1) & (F.col("left") > NEAR * F.col("target"))
+    while not state.where(lacking).isEmpty():
+        again = late.join(state.where(lacking).select(F.col("key").alias("__key"), "full", "upto", "fills", "left"), "__key").withColumn("__copies", _copies(most))
         fitting = again.where((F.col("__copies") < most) & (F.col("__size") <= F.floor("left"))).select("__key", "__size", _again(F.size("fills")).alias("late"))
-        fit = _thresholds(stored(fitting, "fitting"), state.where("left >= 1").select("key", F.col("left").alias("room")))
+        fit = _thresholds(stored(fitting, "fitting"), state.where(lacking).select("key", F.col("left").alias("room")))
         taken = fit.where("taken > 0").select(F.col("key").alias("k"), F.col("left").alias("new_left"), F.col("upto").alias("new_upto"))
         more = F.concat("fills", F.array(F.struct(F.floor("left").cast("long").alias("most"), F.col("new_upto").alias("upto"))))
         # A source that took nothing has no document that fits: it is done.
@@ -201,7 +205,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     a source of its own, the last. Rows with the same or no doc_id are documents
     of their own; rows equal in doc_id, source and text are taken alike. A
     source takes no more than its target, but for what the steps leave off, and
-    less only by what no document that is left fits into. Reruns agree. An
+    less by NEAR of it at most, or by what no document that is left fits into. Reruns agree. An
     empty table gives an empty one.
 
     Returns doc_id, source, size, source_size, target, rate, copies, taken.

@@ -3,12 +3,15 @@
 Texts are folded (case, accents, homoglyphs, digits in place of letters) and
 an Aho-Corasick automaton finds the lexicon's entries, which begin at a word's
 start: whole words, or stems. Weights are log-odds learned from a bounded
-sample of labelled documents. Hits within exception phrases don't count. The
-sum of weights is normalised by the text's length.
+sample of labelled documents. Hits within exception phrases don't count: given
+ones, and pairs of words that hold an entry but stand in clean documents of the
+sample rather than in toxic ones. The sum of weights is normalised by the
+text's length.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -25,8 +28,8 @@ from voxara.llm.common import own_columns, stored
 
 #: Labelled documents that a lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Entries of a learned lexicon, at most; candidates it is chosen from.
-LEXICON_ROWS, CANDIDATE_ROWS = 3_000, 20_000
+#: Clean documents of the sample that a learned exception stands in, at least.
+EXCEPTION_ROWS = 4
 #: Entries a task counts before it passes them on.
 HELD_ENTRIES = 150_000
 #: Predicted toxic from this score on.
@@ -49,8 +52,11 @@ def _folding() -> dict[int, str]:
     for c in range(0x370, 0x400):
         low = chr(c).lower()
         table[c] = _LOOKALIKES.get(low, low)
-    for c in range(0xFF21, 0xFF5B):  # full-width letters
-        table[c] = unicodedata.normalize("NFKC", chr(c)).lower()
+    # Letters and digits that are compatible with plain ones: full-width, mathematical, circled, letter-like.
+    for c in [*range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800), *range(0x24B6, 0x24EA), *range(0x2100, 0x2150), *range(0x2070, 0x20A0)]:
+        plain = unicodedata.normalize("NFKC", chr(c)).lower()
+        if plain.isascii() and plain.isalnum():
+            table[c] = "".join(_LOOKALIKES.get(x, x) for x in plain)
     return table | {ord(k): v for k, v in _LOOKALIKES.items()} | {c: chr(c + 32) for c in range(65, 91)}
 
 
@@ -102,6 +108,14 @@ class Lexicon:
                 best[start] = w
         return sum(w for s, w in best.items() if not any(a <= s < b for a, b in excepted)), len(words)
 
+    def hits(self, words: list[str]) -> set[int]:
+        """Places of the words at which an entry begins."""
+        if not words or not self.weights:
+            return set()
+        starts = {at: i for i, at in enumerate(itertools.accumulate((len(w) + 1 for w in words), initial=0))}
+        flat = " " + " ".join(words) + " "
+        return {starts[end + 1 - size] for end, (size, w) in self.automaton().iter(flat) if w is not None}
+
     def normalised(self, text: str) -> float:
         total, n = self.weigh(text)
         return total / math.sqrt(1.0 + n / 100.0)
@@ -113,7 +127,8 @@ class Lexicon:
 
 
 def in_training(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 != 2
+    """Whether labels of the document may be learned from; one without a doc_id has no label, and isn't held out."""
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 4 != 2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -126,7 +141,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from the bounded sample: log-odds of words and stems, by the documents they stand in."""
+    """A lexicon from the bounded sample: log-odds of words and stems, by the documents they stand in.
+
+    Its size is bounded by the sample's. Null texts count as empty; labels that
+    are null or of no document are left out, and of several labels of one
+    document the highest counts. Without labels of both kinds, or documents,
+    the lexicon is empty and scores everything 0.
+    """
     sample = stored(labelled_sample(docs, labels, sample_rows), "sample")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +177,38 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     least = max(3, n_toxic // 400)
     strong = counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("weight", odds)
     # Clean documents hold an entry of the lexicon at a twentieth of the rate of toxic ones, at most.
-    top = strong.where((F.col("toxic") >= least) & (F.col("weight") >= math.log(20))).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry").limit(CANDIDATE_ROWS).collect()
+    top = strong.where((F.col("toxic") >= least) & (F.col("weight") >= math.log(20))).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry").collect()
     chosen: dict[str, tuple[float, int]] = {}
     for r in sorted(top, key=lambda r: (len(r["entry"]), r["entry"])):
         stems = [r["entry"].rstrip(" ")[:k] for k in STEMS]
         if not any(s in chosen and s != r["entry"] and chosen[s][0] >= r["weight"] - 0.5 for s in stems):
             chosen[r["entry"]] = (r["weight"], r["toxic"])
-    kept = sorted(chosen, key=lambda e: (-chosen[e][0] * math.sqrt(chosen[e][1]), e))[:LEXICON_ROWS]
-    found = Lexicon({e: chosen[e][0] for e in kept}, exceptions)
+    found = Lexicon({e: chosen[e][0] for e in sorted(chosen)}, exceptions)
+    found = Lexicon(found.weights, (*exceptions, *_learned_exceptions(sample, found, n_clean, n_toxic)))
     found.middle = _middle(sample, found)
     return found
 
 
+def _learned_exceptions(sample: DataFrame, lexicon: Lexicon, n_clean: int, n_toxic: int) -> list[str]:
+    """Pairs of neighbouring words that hold an entry and are commoner among clean documents than among toxic ones."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, kinds = [], []
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = folded_words(text)
+                hits = lexicon.hits(words)
+                near = {(i + d, i + d + 1) for i in hits for d in (-1, 0) if i + d >= 0 and i + d + 1 < len(words)}
+                phrases = {f"{words[i]} {words[j]}" for i, j in near}
+                found += phrases
+                kinds += [bool(toxic)] * len(phrases)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(kinds, pa.bool_())], names=["phrase", "toxic"])
+
+    counted = sample.select("text", "toxic").mapInArrow(pairs, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
+    rather = (F.col("clean") >= EXCEPTION_ROWS) & (F.col("clean") * n_toxic > 2 * F.col("toxic") * n_clean)
+    return sorted(r["phrase"] for r in counted.where(rather).select("phrase").collect())
+
+
 def _middle(sample: DataFrame, lexicon: Lexicon, per_unit: int = 20) -> float:
     """The normalised weight that parts the sample best, by F1 over a histogram of bounded length."""
 
@@ -210,7 +251,10 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The documents whose predicted label is 0, with all their columns; one pass, no shuffle."""
+    """The documents whose predicted label is 0, with all their columns; one pass, no shuffle.
+
+    Null and empty texts score 0 and stay; every row is decided by its own text.
+    """
     schema = docs.schema
     at = docs.columns.index("text")
 
