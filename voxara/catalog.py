@@ -6,8 +6,6 @@ operator inventory that it covers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,36 +13,13 @@ from voxara.functions import names
 from voxara.operators import harmonize, images, matrices, roi, tensor, tracks, volumes
 from voxara.operators import statistics as st
 from voxara.plans.filters import cohort_filter, design, fit
-from voxara.plans.tables import duck, table
+from voxara.registry import QUERIES, SQL, Query, p_t, p_z, rounded
+from voxara.registry import query as _query
 
 FLAGSHIP = "ols_by_feature"
 SHAPE = {"i": 12, "j": 12, "k": 7}
 A, B = "AUTOMOBILE", "BUILDING"
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None, **base: str):
-    """Registers ``f(**tables)`` under its name; the tables are stand-ins by name, {t:...} in the SQL likewise."""
-
-    def wrap(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(**{k: table(spark, sf_dir, t) for k, t in base.items()})
-        if sql is not None:
-            text = sql
-            for k, t in base.items():
-                text = text.replace("{" + k + "}", duck(t))
-            SQL[f.__name__] = text
-        return f
-
-    return wrap
-
-
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
-
-
 def _image(v: DataFrame, column: str = "value") -> DataFrame:
     return v.select("subject", "i", "j", "k", F.col(column).alias("value"))
 
@@ -353,9 +328,9 @@ def distance_matrix(r):
 
 
 # Statistics: 146, 179-199, 207-214.
-@_query("WITH s AS (SELECT feature, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM {f} GROUP BY 1), r AS (SELECT *, c / vx AS slope, n * (vy - c * c / vx) AS rss FROM s) SELECT feature, n, n - 2 AS df, round(my - slope * mx, 3) AS intercept, round(slope, 6) + 0.0 AS slope, round(sqrt(rss / (n - 2) / (n * vx)), 6) AS se, round(slope / sqrt(rss / (n - 2) / (n * vx)), 6) + 0.0 AS t, round(1 - rss / (n * vy), 6) AS r2 FROM r", f="features")
+@_query(f"WITH s AS (SELECT feature, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM {{f}} GROUP BY 1), r AS (SELECT *, c / vx AS slope, n * (vy - c * c / vx) AS rss FROM s) SELECT feature, n, n - 2 AS df, round(my - slope * mx, 3) AS intercept, round(slope, 6) + 0.0 AS slope, round(sqrt(rss / (n - 2) / (n * vx)), 6) AS se, round(slope / sqrt(rss / (n - 2) / (n * vx)), 6) + 0.0 AS t, round(1 - rss / (n * vy), 6) AS r2, round({p_t('slope / sqrt(rss / (n - 2) / (n * vx))', 'n - 2')}, 6) + 0.0 AS p FROM r", f="features")
 def ols_by_feature(f):
-    return rounded(rounded(st.simple_ols(f, "x").select("feature", "n", "df", "intercept", "slope", "se", "t", "r2"), "intercept", places=3), "slope", "se", "t", "r2")
+    return rounded(rounded(st.simple_ols(f, "x").select("feature", "n", "df", "intercept", "slope", "se", "t", "r2", "p"), "intercept", places=3), "slope", "se", "t", "r2", "p")
 
 
 @_query("WITH s AS (SELECT feature, count(*) AS n, avg(y) AS my, avg(x) AS m1, avg(x2) AS m2, var_pop(x) AS s11, var_pop(x2) AS s22, covar_pop(x, x2) AS s12, covar_pop(y, x) AS a, covar_pop(y, x2) AS b, var_pop(y) AS syy FROM {f} GROUP BY 1), c AS (SELECT *, (a * s22 - b * s12) / (s11 * s22 - s12 * s12) AS b1, (b * s11 - a * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s), r AS (SELECT *, syy - b1 * a - b2 * b AS f, syy - a * a / s11 AS g FROM c) SELECT feature, n, round(my - b1 * m1 - b2 * m2, 3) AS intercept, round(b1, 6) + 0.0 AS b1, round(b2, 4) + 0.0 AS b2, round(1 - f / syy, 6) AS r2, round((g - f) / (f / (n - 3)), 5) AS f, n - 3 AS df FROM r", f="features")
@@ -379,27 +354,31 @@ def zscores_subset(f):
     return rounded(st.zscores(f, "x", f.where(cohort_filter(f, "grp=BUILDING"))), "z")
 
 
-@_query("SELECT feature, count(*) AS n, round(corr(y, x), 6) + 0.0 AS r, round(corr(y, x) * sqrt((count(*) - 2) / (1 - pow(corr(y, x), 2))), 5) + 0.0 AS t FROM {f} GROUP BY 1", f="features")
+@_query(f"SELECT feature, n, round(r, 6) + 0.0 AS r, round(t, 5) + 0.0 AS t, round({p_t('t', 'n - 2')}, 6) + 0.0 AS p FROM (SELECT feature, count(*) AS n, corr(y, x) AS r, corr(y, x) * sqrt((count(*) - 2) / (1 - pow(corr(y, x), 2))) AS t FROM {{f}} GROUP BY 1)", f="features")
 def pearson_by_feature(f):
-    return rounded(rounded(st.pearson(f, "x").drop("p"), "r"), "t", places=5)
+    return rounded(rounded(st.pearson(f, "x"), "r", "p"), "t", places=5)
 
 
 _RANK = "rank() OVER (PARTITION BY feature ORDER BY {0}) + (count(*) OVER (PARTITION BY feature, {0}) - 1) / 2.0"
 
 
-@_query(f"SELECT feature, count(*) AS n, round(corr(ry, rx), 6) + 0.0 AS rho FROM (SELECT feature, {_RANK.format('y')} AS ry, {_RANK.format('x')} AS rx FROM {{f}}) GROUP BY 1", f="features")
+@_query(f"SELECT feature, n, round(r, 6) + 0.0 AS rho, round({p_t('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')}, 6) + 0.0 AS p FROM (SELECT feature, count(*) AS n, corr(ry, rx) AS r FROM (SELECT feature, {_RANK.format('y')} AS ry, {_RANK.format('x')} AS rx FROM {{f}}) GROUP BY 1)", f="features")
 def spearman_by_feature(f):
-    return rounded(st.spearman(f, "x"), "rho")
+    return rounded(st.spearman(f, "x"), "rho", "p")
 
 
-@_query(f"WITH r AS (SELECT feature, grp, {_RANK.format('y')} AS r FROM {{f}} WHERE grp IN ('{A}', '{B}')), s AS (SELECT feature, count(*) FILTER (WHERE grp = '{A}')::DOUBLE AS na, count(*) FILTER (WHERE grp = '{B}')::DOUBLE AS nb, sum(r) FILTER (WHERE grp = '{B}') AS rb FROM r GROUP BY 1) SELECT feature, na, nb, rb - nb * (nb + 1) / 2 AS u, round(1 - 2 * (rb - nb * (nb + 1) / 2) / (na * nb), 6) + 0.0 AS effect FROM s", f="features")
+@_query(
+    f"WITH r AS (SELECT feature, grp, {_RANK.format('y')} AS r, count(*) OVER (PARTITION BY feature, y) AS ties FROM {{f}} WHERE grp IN ('{A}', '{B}')), s AS (SELECT feature, count(*) FILTER (WHERE grp = '{A}')::DOUBLE AS na, count(*) FILTER (WHERE grp = '{B}')::DOUBLE AS nb, sum(r) FILTER (WHERE grp = '{B}') AS rb, sum(ties * ties - 1) AS ties FROM r GROUP BY 1), u AS (SELECT *, rb - nb * (nb + 1) / 2 AS u FROM s), z AS (SELECT *, greatest(0, (abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1))))) AS z FROM u) "
+    f"SELECT feature, na, nb, u, round(1 - 2 * u / (na * nb), 6) + 0.0 AS effect, round(least(1, {p_z('z')}), 5) + 0.0 AS p FROM z",
+    f="features",
+)
 def mann_whitney(f):
-    return rounded(st.mann_whitney(f.withColumnRenamed("grp", "group"), A, B).select("feature", F.col("na").cast("double").alias("na"), F.col("nb").cast("double").alias("nb"), "u", "effect"), "effect")
+    return rounded(rounded(st.mann_whitney(f.withColumnRenamed("grp", "group"), A, B).select("feature", F.col("na").cast("double").alias("na"), F.col("nb").cast("double").alias("nb"), "u", "effect", "p"), "effect"), "p", places=5)
 
 
-@_query(f"WITH s AS (SELECT feature, count(*) FILTER (WHERE grp = '{A}') AS n0, count(*) FILTER (WHERE grp = '{B}') AS n1, avg(ln(y + 1)) FILTER (WHERE grp = '{A}') AS m0, avg(ln(y + 1)) FILTER (WHERE grp = '{B}') AS m1, var_samp(ln(y + 1)) FILTER (WHERE grp = '{A}') AS v0, var_samp(ln(y + 1)) FILTER (WHERE grp = '{B}') AS v1 FROM {{f}} WHERE grp IN ('{A}', '{B}') GROUP BY 1), t AS (SELECT *, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS t FROM s) SELECT feature, n0, n1, round(t, 6) + 0.0 AS t, round(2 * t / sqrt(n0 + n1 - 1), 6) + 0.0 AS d FROM t", f="features")
+@_query(f"WITH s AS (SELECT feature, count(*) FILTER (WHERE grp = '{A}') AS n0, count(*) FILTER (WHERE grp = '{B}') AS n1, avg(ln(y + 1)) FILTER (WHERE grp = '{A}') AS m0, avg(ln(y + 1)) FILTER (WHERE grp = '{B}') AS m1, var_samp(ln(y + 1)) FILTER (WHERE grp = '{A}') AS v0, var_samp(ln(y + 1)) FILTER (WHERE grp = '{B}') AS v1 FROM {{f}} WHERE grp IN ('{A}', '{B}') GROUP BY 1), t AS (SELECT *, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS t FROM s) SELECT feature, n0, n1, round(t, 6) + 0.0 AS t, round(2 * t / sqrt(n0 + n1 - 1), 6) + 0.0 AS d, round({p_t('t', 'n0 + n1 - 2')}, 6) + 0.0 AS p FROM t", f="features")
 def pooled_t(f):
-    return rounded(st.pooled_t(f.withColumnRenamed("grp", "group"), A, B).drop("p"), "t", "d")
+    return rounded(st.pooled_t(f.withColumnRenamed("grp", "group"), A, B), "t", "d", "p")
 
 
 @_query(f="features")
@@ -507,11 +486,6 @@ def track_thin(p):
 
 
 # Names and text functions: 8-14, 24-25, 80.
-@_query("SELECT page_id, 'scan_' || page_id AS prefix, '.nii.gz' AS ext, '/data/scan_' || page_id AS bare, '/data/' || page_id || '/x.csv' AS file, 'r' || lpad(CAST(page_id % 1000 AS VARCHAR), 4, '0') || '_roi' AS roi FROM pages")
-def name_functions():
-    raise NotImplementedError
-
-
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/data/scan_"), F.col("page_id").cast("string"), F.lit(".nii.gz"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -519,6 +493,11 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["name_functions"] = _names
+SQL["name_functions"] = "SELECT page_id, 'scan_' || page_id AS prefix, '.nii.gz' AS ext, '/data/scan_' || page_id AS bare, '/data/' || page_id || '/x.csv' AS file, 'r' || lpad(CAST(page_id % 1000 AS VARCHAR), 4, '0') || '_roi' AS roi FROM pages"
+
+
+# The other modules of queries register theirs as they are imported.
+from voxara import catalog_models, catalog_volumes  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def standardize(data: DataFrame) -> DataFrame:
-    """(feature, subject, batch, y) with batch means as the design: adds s, grand and sd."""
-    batch = data.groupBy("feature", "batch").agg(F.count("*").alias("nb"), F.avg("y").alias("mb"), F.var_pop("y").alias("vb"))
+    """(feature, subject, batch, y) with batch means as the design: adds s, grand and sd; a missing y has no s."""
+    batch = data.groupBy("feature", "batch").agg(F.count("y").alias("nb"), F.avg("y").alias("mb"), F.var_pop("y").alias("vb"))
     pooled = batch.groupBy("feature").agg((F.sum(F.col("nb") * F.col("mb")) / F.sum("nb")).alias("grand"), F.sqrt(F.sum(F.col("nb") * F.col("vb")) / F.sum("nb")).alias("sd"))
-    return data.join(F.broadcast(pooled), "feature").withColumn("s", F.coalesce(F.try_divide(F.col("y") - F.col("grand"), F.col("sd")), F.lit(0.0)))
+    return data.join(pooled, "feature").withColumn("s", F.when(F.col("sd") == 0, F.col("y") - F.col("grand")).otherwise((F.col("y") - F.col("grand")) / F.col("sd")))
+
+
+def _scale(variance: Column) -> Column:
+    """1 where there is no variance, so that a constant feature keeps its values."""
+    return F.when((variance == 0) | variance.isNull(), F.lit(1.0)).otherwise(variance)
 
 
 def batch_effects(standard: DataFrame) -> DataFrame:
     """Location and scale of each batch and feature, with the sums that the loop needs."""
-    return standard.groupBy("batch", "feature").agg(F.count("*").alias("n"), F.avg("s").alias("gamma_hat"), F.var_samp("s").alias("delta_hat"), F.sum("s").alias("sum_s"), F.sum(F.col("s") ** 2).alias("sum_s2"))
+    return standard.groupBy("batch", "feature").agg(F.count("s").alias("n"), F.avg("s").alias("gamma_hat"), _scale(F.var_samp("s")).alias("delta_hat"), F.sum("s").alias("sum_s"), F.sum(F.col("s") ** 2).alias("sum_s2"))
 
 
 def combat(data: DataFrame, eb: bool = True, steps: int = 30) -> DataFrame:
@@ -26,22 +31,107 @@ def combat(data: DataFrame, eb: bool = True, steps: int = 30) -> DataFrame:
     """
     standard = standardize(data)
     effects = batch_effects(standard)
-    if eb:
-        priors = effects.groupBy("batch").agg(F.avg("gamma_hat").alias("g_bar"), F.var_pop("gamma_hat").alias("t2"), F.avg("delta_hat").alias("m"), F.var_samp("delta_hat").alias("s2"))
-        a, b = (2 * F.col("s2") + F.col("m") ** 2) / F.col("s2"), (F.col("m") * F.col("s2") + F.col("m") ** 3) / F.col("s2")
-        effects = effects.join(F.broadcast(priors), "batch").withColumn("a", a).withColumn("b", b)
-
-        def step(acc, _):
-            g = (F.col("t2") * F.col("n") * F.col("gamma_hat") + acc["d"] * F.col("g_bar")) / (F.col("t2") * F.col("n") + acc["d"])
-            squares = F.col("sum_s2") - 2 * g * F.col("sum_s") + F.col("n") * g * g
-            return F.struct(g.alias("g"), ((0.5 * squares + F.col("b")) / (F.col("n") / 2 + F.col("a") - 1)).alias("d"))
-
-        star = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.col("gamma_hat").alias("g"), F.col("delta_hat").alias("d")), step)
-        effects = effects.withColumn("star", star).select("batch", "feature", F.col("star.g").alias("gamma"), F.col("star.d").alias("delta"))
-    else:
-        effects = effects.select("batch", "feature", F.col("gamma_hat").alias("gamma"), F.col("delta_hat").alias("delta"))
+    effects = shrunk(effects, steps) if eb else effects.select("batch", "feature", F.col("gamma_hat").alias("gamma"), F.col("delta_hat").alias("delta"))
     joined = standard.join(effects, ["batch", "feature"])
-    adjusted = F.try_divide(F.col("s") - F.col("gamma"), F.sqrt("delta")) * F.col("sd") + F.col("grand")
+    adjusted = F.try_divide(F.col("s") - F.col("gamma"), F.sqrt("delta")) * F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")) + F.col("grand")
+    return joined.select("subject", "feature", "batch", adjusted.alias("y"))
+
+
+def shrunk(effects: DataFrame, steps: int = 100, near: float = 1e-8) -> DataFrame:
+    """gamma and delta of each batch and feature, shrunk to the batch's priors by the fixed point of their posterior means.
+
+    The steps stop where both change by less than ``near`` of themselves; effects
+    that ``steps`` don't bring so far raise an error. One feature alone has no
+    prior and keeps its effects.
+    """
+    priors = effects.groupBy("batch").agg(F.avg("gamma_hat").alias("g_bar"), F.var_pop("gamma_hat").alias("t2"), F.avg("delta_hat").alias("m"), F.var_samp("delta_hat").alias("s2"))
+    a, b = (2 * F.col("s2") + F.col("m") ** 2) / F.col("s2"), (F.col("m") * F.col("s2") + F.col("m") ** 3) / F.col("s2")
+    known = effects.join(priors, "batch").withColumn("a", F.when(F.col("s2") > 0, a)).withColumn("b", F.when(F.col("s2") > 0, b))
+
+    def step(acc, _):
+        g = (F.col("t2") * F.col("n") * F.col("gamma_hat") + acc["d"] * F.col("g_bar")) / (F.col("t2") * F.col("n") + acc["d"])
+        squares = F.col("sum_s2") - 2 * g * F.col("sum_s") + F.col("n") * g * g
+        d = (0.5 * squares + F.col("b")) / (F.col("n") / 2 + F.col("a") - 1)
+        change = F.greatest(F.abs(g - acc["g"]) / F.greatest(F.abs(acc["g"]), F.lit(1e-8)), F.abs(d - acc["d"]) / acc["d"])
+        return F.when(acc["change"] < near, acc).otherwise(F.struct(g.alias("g"), d.alias("d"), change.alias("change")))
+
+    start = F.struct(F.col("gamma_hat").alias("g"), F.col("delta_hat").alias("d"), F.lit(1.0).alias("change"))
+    star = F.when(F.col("a").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).otherwise(start)
+    found = known.withColumn("star", star)
+    far = F.col("a").isNotNull() & (F.col("star.change") > 1e-4)
+    gamma = F.when(far, F.raise_error(F.lit("batch effects don't converge")).cast("double")).otherwise(F.col("star.g"))
+    return found.select("batch", "feature", gamma.alias("gamma"), F.col("star.d").alias("delta"))
+
+
+_MODEL = "feature string, batch int, n long, gamma_hat double, delta_hat double, sum_s double, sum_s2 double, grand double, sd double, slopes array<double>"
+
+
+def model_effects(data: DataFrame, columns: list[str]) -> DataFrame:
+    """Batch effects of each feature beside covariates: (feature, subject, batch, y, columns).
+
+    y is fitted on batches and covariates together. One aggregation gathers sums
+    and products of every batch and feature, and all else follows from them: the
+    covariates' slopes, the grand mean, the pooled deviation and the batches'
+    effects. Rows with a missing y or covariate don't enter.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(columns)
+    held = data.dropna(subset=["y", *[f"`{c}`" for c in columns]])
+    shape = held.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    x = [F.col(f"`{c}`") - float(shape[f"m{i}"] or 0.0) for i, c in enumerate(columns)]
+    middle = np.array([float(shape[f"m{i}"] or 0.0) for i in range(k)])
+    sums = held.groupBy("feature", "batch").agg(
+        F.count("*").alias("n"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.array(*[F.avg(v) for v in x]).alias("mx"), F.array(*[F.covar_pop(v, "y") for v in x]).alias("cxy"), F.array(*[F.covar_pop(v, w) for v in x for w in x]).alias("cxx")
+    )
+
+    def solve(key, rows):
+        n, my, vy = rows["n"].to_numpy(float), rows["my"].to_numpy(float), rows["vy"].to_numpy(float)
+        mx, cxy, cxx = np.stack(rows["mx"]), np.stack(rows["cxy"]), np.stack([np.reshape(v, (k, k)) for v in rows["cxx"]])
+        slopes = np.linalg.pinv((n[:, None, None] * cxx).sum(0)) @ (n[:, None] * cxy).sum(0)
+        location = my - mx @ slopes
+        squares = np.maximum(0.0, n * (vy - 2 * cxy @ slopes + np.einsum("bij,i,j->b", cxx, slopes, slopes)))
+        grand = (n * location).sum() / n.sum()
+        sd = np.sqrt(squares.sum() / n.sum())
+        sd = sd if sd > 1e-12 * max(1.0, abs(grand)) else 1.0
+        gamma = (location - grand) / sd
+        with np.errstate(invalid="ignore", divide="ignore"):
+            delta = squares / (n - 1) / sd**2
+        delta = np.where((delta > 0) & np.isfinite(delta), delta, 1.0)
+        out = pd.DataFrame({"feature": str(key[0]), "batch": rows["batch"], "n": n.astype(int), "gamma_hat": gamma, "delta_hat": delta, "sum_s": n * gamma, "sum_s2": squares / sd**2 + n * gamma**2, "grand": grand - slopes @ middle, "sd": sd})
+        out["slopes"] = [slopes] * len(out)
+        return out
+
+    return sums.groupBy("feature").applyInPandas(solve, _MODEL)
+
+
+def combat_with_model(data: DataFrame, columns: list[str], eb: bool = True) -> DataFrame:
+    """Values without batch effects that keep what covariates explain; (subject, feature, batch, y, columns).
+
+    Rows with a missing y or covariate come back with a null y. A feature
+    without variance keeps its values. A batch of one subject raises an error.
+    """
+    if not check_batches(data.select("subject", "batch").distinct()).isEmpty():
+        raise ValueError("every batch needs two subjects at least")
+    return apply_model(data, columns, estimates(data, columns, eb))
+
+
+def estimates(data: DataFrame, columns: list[str], eb: bool = True) -> DataFrame:
+    """What the adjustment needs, to store and to apply to other rows: batch, feature, gamma, delta, grand, sd, slopes and the raw effects."""
+    effects = model_effects(data, columns)
+    if not eb:
+        return effects.select("batch", "feature", F.col("gamma_hat").alias("gamma"), F.col("delta_hat").alias("delta"), "grand", "sd", "slopes", "gamma_hat", "delta_hat")
+    return effects.join(shrunk(effects), ["batch", "feature"]).select("batch", "feature", "gamma", "delta", "grand", "sd", "slopes", "gamma_hat", "delta_hat")
+
+
+def apply_model(data: DataFrame, columns: list[str], found: DataFrame) -> DataFrame:
+    """Rows adjusted by estimates."""
+    joined = data.join(found, ["batch", "feature"], "left")
+    part = F.col("grand")
+    for i, c in enumerate(columns):
+        part = part + F.get("slopes", F.lit(i)) * F.col(f"`{c}`")
+    adjusted = ((F.col("y") - part) / F.col("sd") - F.col("gamma")) / F.sqrt("delta") * F.col("sd") + part
     return joined.select("subject", "feature", "batch", adjusted.alias("y"))
 
 
@@ -55,7 +145,7 @@ def combat_mean_only(data: DataFrame) -> DataFrame:
     standard = standardize(data)
     effects = batch_effects(standard)
     priors = effects.groupBy("batch").agg(F.avg("gamma_hat").alias("g_bar"), F.var_samp("gamma_hat").alias("t2"))
-    star = effects.join(F.broadcast(priors), "batch").select("batch", "feature", ((F.col("t2") * F.col("gamma_hat") + F.col("g_bar")) / (F.col("t2") + 1)).alias("gamma"))
+    star = effects.join(priors, "batch").select("batch", "feature", ((F.col("t2") * F.col("gamma_hat") + F.col("g_bar")) / (F.col("t2") + 1)).alias("gamma"))
     joined = standard.join(star, ["batch", "feature"])
     return joined.select("subject", "feature", "batch", ((F.col("s") - F.col("gamma")) * F.col("sd") + F.col("grand")).alias("y"))
 
@@ -63,7 +153,7 @@ def combat_mean_only(data: DataFrame) -> DataFrame:
 def combat_reference(data: DataFrame, reference: int) -> DataFrame:
     """Batches brought to a reference batch, whose own values stay."""
     base = data.where(F.col("batch") == reference).groupBy("feature").agg(F.avg("y").alias("m0"), F.stddev_pop("y").alias("s0"))
-    standard = data.join(F.broadcast(base), "feature").withColumn("s", F.coalesce(F.try_divide(F.col("y") - F.col("m0"), F.col("s0")), F.lit(0.0)))
+    standard = data.join(base, "feature").withColumn("s", F.coalesce(F.try_divide(F.col("y") - F.col("m0"), F.col("s0")), F.lit(0.0)))
     effects = standard.groupBy("batch", "feature").agg(F.avg("s").alias("gamma"), F.stddev_samp("s").alias("scale"))
     joined = standard.join(effects, ["batch", "feature"])
     moved = F.try_divide(F.col("s") - F.col("gamma"), F.col("scale")) * F.col("s0") + F.col("m0")
@@ -88,7 +178,7 @@ def combat_nonparametric(data: DataFrame) -> DataFrame:
 
 def apply_estimates(data: DataFrame, estimates: DataFrame) -> DataFrame:
     """Stored estimates (batch, feature, gamma, delta, grand, sd) on new rows; rows of unknown batches raise."""
-    joined = data.join(F.broadcast(estimates), ["batch", "feature"], "left")
+    joined = data.join(estimates, ["batch", "feature"], "left")
     known = F.when(F.col("gamma").isNull(), F.raise_error(F.concat(F.lit("no estimates for batch "), F.col("batch").cast("string"))).cast("double"))
     adjusted = ((F.col("y") - F.col("grand")) / F.col("sd") - F.col("gamma")) / F.sqrt("delta") * F.col("sd") + F.col("grand")
     return joined.select("subject", "feature", "batch", F.coalesce(known, adjusted).alias("y"))
@@ -107,7 +197,7 @@ def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
 
     once = combat(data)
     scale = once.groupBy("feature").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
-    z = once.join(F.broadcast(scale), "feature").withColumn("z", F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0)))
+    z = once.join(scale, "feature").withColumn("z", F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0)))
     features = [r["feature"] for r in scale.select("feature").orderBy("feature").collect()]
     means = z.groupBy("subject", "batch", "feature").agg(F.avg("z").alias("z"))
     rows = means.groupBy("subject", "batch").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("zs"))

@@ -6,19 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p-value of Student's t with an integer number of degrees, by the finite series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    c2, s = F.cos(theta) ** 2, F.sin(theta)
-    odd = df % 2 == 1
-    # Terms of the series: each is the one before times (k - 1) / k * cos^2.
-    first = F.when(odd, F.when(df > 1, F.cos(theta)).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
-    steps = F.when(odd & (df >= 5), F.sequence(F.lit(3), df.cast("int") - 2, F.lit(2))).when(~odd & (df >= 4), F.sequence(F.lit(2), df.cast("int") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    ratio = lambda k: (k - 1) / k
-    total = F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), lambda a, k: F.struct((a["term"] * ratio(k) * c2).alias("term"), (a["total"] + a["term"] * ratio(k) * c2).alias("total")), lambda a: a["total"])
-    inside = F.when(odd, 2 / F.lit(3.141592653589793) * (theta + s * total)).otherwise(s * total)
-    return F.greatest(F.lit(0.0), 1 - inside)
+from voxara.functions.distributions import t_two_sided
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -104,7 +92,9 @@ def mid_rank(value: str, by: list[str]) -> Column:
 def spearman(data: DataFrame, x: str) -> DataFrame:
     held = data.where(F.col("y").isNotNull() & F.col(x).isNotNull())
     ranked = held.select("feature", mid_rank("y", ["feature"]).alias("ry"), mid_rank(x, ["feature"]).alias("rx"))
-    return ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("ry", "rx").alias("rho"))
+    s = ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("ry", "rx").alias("rho"))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") ** 2))
+    return s.withColumn("p", F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(t_two_sided(t, F.col("n") - 2)))
 
 
 def mann_whitney(data: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,26 +7,35 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens that mean a missing value.
-MISSING = (".", "", " ", "NA", "na", "N/A", "n/a", "NaN", "NAN", "Nan", "nan")
+# Tokens that mean a missing value.
+MISSING = (".", "", " ", "NA", "na", "N/A", "n/a", "#N/A", "NULL", "NaN", "NAN", "Nan", "nan")
+
+
+#: The signs of comparisons; two characters stand before the one they begin with.
+_SIGNS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
 
 def cohort_filter(df: DataFrame, expression: str) -> Column:
-    """``c=v1,v2`` (one of), ``c!v1,v2`` (none of), ``c<u``, ``c>l``, ``l<c<u`` and ``u>c>l``, all strict."""
+    """``c=v1,v2`` (one of; also ``==``), ``c!v1,v2`` (none of; also ``!=``), and comparisons.
+
+    Comparisons are ``c<u``, ``c>l``, ``c<=u``, ``c>=l``, or a chain about the
+    column such as ``l<c<=u`` and ``u>c>l``.
+    """
     kinds = dict(df.dtypes)
     value = lambda column, text: F.lit(text.strip()).cast(kinds[column])
-    for sign, negated in (("=", False), ("!", True)):
-        if sign in expression:
-            name, _, values = expression.partition(sign)
-            inside = F.col(name.strip()).isin([value(name.strip(), v) for v in values.split(",")])
-            return ~inside if negated else inside
-    parts = [p.strip() for p in re.split("[<>]", expression)]
-    less = "<" in expression
-    if len(parts) == 2:
-        name, bound = parts
-        return F.col(name) < value(name, bound) if less else F.col(name) > value(name, bound)
-    low, name, high = parts if less else parts[::-1]
-    return (F.col(name) > value(name, low)) & (F.col(name) < value(name, high))
+    parts = [p.strip() for p in re.split("(<=|>=|<|>|!=|==|=|!)", expression)]
+    names = [p for p in parts[::2] if p in kinds]
+    if len(parts) not in (3, 5) or not names:
+        raise ValueError(f"not a filter on a column of the table: {expression}")
+    if parts[1] in ("=", "==", "!", "!=") and len(parts) == 3:
+        inside = F.col(f"`{parts[0]}`").isin([value(parts[0], v) for v in parts[2].split(",")])
+        return ~inside if parts[1][0] == "!" else inside
+    name = parts[2] if len(parts) == 5 else parts[0] if parts[0] in kinds else parts[2]
+    side = lambda text: F.col(f"`{name}`") if text == name else value(name, text)
+    kept = F.lit(True)
+    for left, sign, right in zip(parts[:-2:2], parts[1::2], parts[2::2], strict=True):
+        kept = kept & _SIGNS[sign](side(left), side(right))
+    return kept
 
 
 def missing_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,11 +53,12 @@ def terms(formula: str) -> list[str]:
     return out
 
 
-def design(cohort: DataFrame, formula: str, reference: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
+def design(cohort: DataFrame, formula: str, reference: dict[str, str] | None = None, centre: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """The cohort with numeric design columns, rows with a missing value left out, and the columns' names.
 
     A string column becomes one indicator per sorted level but the reference
-    (the first by default), named ``c[T.level]``.
+    (the first by default), named ``c[T.level]``. Columns to ``centre`` lose
+    their mean over the rows that stay, before products are made.
     """
     kinds = dict(cohort.dtypes)
     needed = sorted({n for t in terms(formula) for n in t.split(":")})
@@ -60,7 +70,8 @@ def design(cohort: DataFrame, formula: str, reference: dict[str, str] | None = N
             base = (reference or {}).get(n, levels[0] if levels else "")
             columns[n] = [(f"{n}[T.{v}]", (F.col(n) == v).cast("double")) for v in levels if v != base]
         else:
-            columns[n] = [(n, F.col(n).cast("double"))]
+            mean = held.agg(F.avg(n)).first()[0] if n in centre else None
+            columns[n] = [(n, F.col(n).cast("double") - (mean or 0.0))]
     made: dict[str, Column] = {}
     for t in terms(formula):
         product: list[tuple[str, Column]] = [("", F.lit(1.0))]
