@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import counted_rows, drop, own_columns, stored, times
+from voxara.llm.common import counted_rows, drop, lean, own_columns, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -41,7 +41,7 @@ ANEW, DEALS = 0.05, 40
 #: Members of a region that are compared without further pivots, and pivots of a larger one.
 LEAF, PIVOTS = 512, 8
 WORD_CACHE = 100_000
-#: Texts or pairs of sets that a task works on at once.
+#: Texts that a task works on at once.
 SLICE = 500
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -117,7 +117,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 signs.append(_parity(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip((ns, hashes, signs), list(_PROFILE)[1:], strict=True)]], schema=_PROFILE)
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, id long, parity binary")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, id long, parity binary")
 
 
 class Classes:
@@ -207,7 +207,7 @@ def _regions(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["key", "id"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "key long, id long")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "key long, id long")
 
 
 def _pack(parity: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(p), pa.array(low.astype(np.float32)), pa.array(near & (p != ident))], names=["key", "id", "pivot", "low", "near"])
             open_key, pivot, pivot_n, pivot_sign = key[-1], p[-1], pn[-1], ps[-1]
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(run, "key long, id long, pivot long, low float, near boolean")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(lean(run), "key long, id long, pivot long, low float, near boolean")
 
 
 def _parted(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -278,7 +278,7 @@ def _parted(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield taken.append_column("from_key", taken.column("key")).set_column(0, "key", pa.array(new.view(np.int64)))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.join(pivots, "key").select(*rows.columns, "pivots").mapInArrow(run, f"{kinds}, from_key long")
+    return rows.join(pivots, "key").select(*rows.columns, "pivots").mapInArrow(lean(run), f"{kinds}, from_key long")
 
 
 def voronoi(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -348,18 +348,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact intersections of the pairs (a, b)."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            both, one, other = [], [], []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both.append(len(np.intersect1d(u, v, assume_unique=True)))
-                one.append(len(u))
-                other.append(len(v))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64()), pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b", "both", "n_a", "n_b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, both long, n_a long, n_b long")
+    both = F.size(F.array_intersect("left", "right")).cast("long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("left").cast("long").alias("n_a"), F.size("right").cast("long").alias("n_b"))
 
 
 def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -373,11 +363,11 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
             hit = passes(bits, b.column(2).to_numpy())
             found = [s for t in _raw(b.filter(pa.array(hit)), 1) if len(s := shingles(t))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "shingles"])
 
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
     # The filter spares work; the join takes out what else passes it. A set that comes twice meets the same pairs again.
-    sets = stored(placed.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi"), "sets")
+    sets = stored(placed.mapInArrow(lean(run), "id long, shingles array<bigint>").join(ids, "id", "left_semi"), "sets")
     drop(wanted)
     return sets
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxara.llm.common import own_columns
+from voxara.llm.common import lean, own_columns
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -186,4 +186,4 @@ def scan_licenses(docs: DataFrame, license_texts: list[tuple[str, str]] | None =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places string")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import SPACE, counted_rows, drop, stored, times
+from voxara.llm.common import SPACE, counted_rows, drop, lean, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, components, map_blocks, passes, shared_keys
 
 THRESHOLD = 2
@@ -166,7 +166,7 @@ def _probe_rows(docs: DataFrame, threshold: int, least: int) -> DataFrame:
         if keys:
             yield flushed()
 
-    return docs.select("text").mapInArrow(run, "key long, id long, sign long")
+    return docs.select("text").mapInArrow(lean(run), "key long, id long, sign long")
 
 
 def _near_pairs(threshold: int):
@@ -214,7 +214,7 @@ def _lines_of(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
                 kept = b.filter(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("line")], names=["id", "line"])
 
-    return placed.mapInArrow(run, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    return placed.mapInArrow(lean(run), "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
 def near_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -235,7 +235,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
             kept = b.filter(pa.array(hit, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near")
+    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long"), "near")
     drop(met, pairs, lines)
     return near
 

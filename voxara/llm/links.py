@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import drop, stored
+from voxara.llm.common import drop, lean, stored
 
 #: Rows of one key that are compared in one piece, about.
 TILE = 1024
@@ -92,7 +92,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
                 first = b.slice(int(starts[-1]), 1)
             open_key, last_id = key[-1], ident[-1]
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(run, schema).select(*names)
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(lean(run), schema).select(*names)
 
 
 def blocks(rows: DataFrame, tile: int = TILE) -> DataFrame:
@@ -126,7 +126,7 @@ def map_blocks(blocked: DataFrame, function: Callable[[dict[str, np.ndarray], in
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return blocked.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, schema)
+    return blocked.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lean(run), schema)
 
 
 BLOOM_BITS = 1 << 23

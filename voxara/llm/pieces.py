@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import own_columns
+from voxara.llm.common import lean, own_columns
 
 META = "▁"
 #: Chunks held per Python worker in each of two generations, a full one replacing the older; and pairs. Workers stay
@@ -303,7 +303,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
                 yield flushed(out)
 
     names = ("ids", "decoded") if with_ids else ("ids_sha256", "decoded_sha256")
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxara.llm.common import fresh_folder, own_columns, stored
+from voxara.llm.common import fresh_folder, lean, own_columns, stored
 
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, folder: str, make_encoder: Callable[[], C
                 at += n
         store.move(mine, f"{root}/{name}")
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "file string, doc_no long, doc_id long")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "file string, doc_no long, doc_id long")
 
 
 def token_blocks(spark: SparkSession, folder: str, block_bytes: int, width: int) -> DataFrame:
@@ -98,7 +98,7 @@ def separator_scan(spark: SparkSession, folder: str, end: int = END, dtype: str
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(lengths, pa.list_(pa.int64()))], names=["file", "block", "pieces"])
 
     n = spark.sparkContext.defaultParallelism
-    scanned = stored(blocks.repartition(max(n, 4 * n), "file", "block").mapInArrow(scan, "file string, block long, pieces array<bigint>"), "pieces")
+    scanned = stored(blocks.repartition(max(n, 4 * n), "file", "block").mapInArrow(lean(scan), "file string, block long, pieces array<bigint>"), "pieces")
     counts = scanned.select("file", "block", (F.col("block") / GROUP).cast("long").alias("group"), (F.size("pieces") - 1).cast("long").alias("ends"))
     # Exclusive prefix sums: over groups of blocks, then within each group.
     sums = counts.groupBy("file", "group").agg(F.sum("ends").alias("in_group"))

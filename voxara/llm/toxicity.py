@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import own_columns, stored
+from voxara.llm.common import lean, own_columns, stored
 
 #: Labelled documents that a lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
         if counts:
             yield flushed()
 
-    counted = sample.select("text", "toxic").mapInArrow(entries, "entry string, clean long, toxic long")
+    counted = sample.select("text", "toxic").mapInArrow(lean(entries), "entry string, clean long, toxic long")
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
@@ -204,7 +204,7 @@ def _learned_exceptions(sample: DataFrame, lexicon: Lexicon, n_clean: int, n_tox
                 kinds += [bool(toxic)] * len(phrases)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(kinds, pa.bool_())], names=["phrase", "toxic"])
 
-    counted = sample.select("text", "toxic").mapInArrow(pairs, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
+    counted = sample.select("text", "toxic").mapInArrow(lean(pairs), "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
     rather = (F.col("clean") >= EXCEPTION_ROWS) & (F.col("clean") * n_toxic > 2 * F.col("toxic") * n_clean)
     return sorted(r["phrase"] for r in counted.where(rather).select("phrase").collect())
 
@@ -217,7 +217,7 @@ def _middle(sample: DataFrame, lexicon: Lexicon, per_unit: int = 20) -> float:
             bins = [min(2000, math.ceil(per_unit * lexicon.normalised(t))) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), b.column(1).cast(pa.int32())], names=["bin", "toxic"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(weigh, "bin int, toxic int").groupBy("bin").agg(F.count_if(F.col("toxic") != 0).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).collect()
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(weigh), "bin int, toxic int").groupBy("bin").agg(F.count_if(F.col("toxic") != 0).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).collect()
     total = sum(r["toxic"] for r in rows)
     best, middle = -1.0, 1.0
     hit = false = 0
@@ -247,7 +247,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([not in_training(i) for i in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(sizes, pa.int64())], names=["doc_id", "held_out", "score", "predicted", "n_words"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_words long")
+    return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, n_words long")
 
 
 def remove_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -263,4 +263,4 @@ def remove_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             keep = [lexicon.score(t or "") < CUT for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import stored
+from voxara.llm.common import lean, stored
 from voxara.llm.links import components
 
 COSINE = 0.9
@@ -46,7 +46,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
                     dims.append(len(x) if same else -len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "raw", "dim"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, raw binary, dim int")
+    return vectors.select("vec_id", "embedding").mapInArrow(lean(run), "vec_id long, raw binary, dim int")
 
 
 def _units(raws: list[bytes], dims: list[int]) -> np.ndarray:
@@ -85,7 +85,7 @@ def _cells(distinct: DataFrame, axes: dict[int, np.ndarray], eps: float) -> Data
                 cells[at, : y.shape[1]] = np.floor(y / eps)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copies"), b.column("raw"), b.column("dim"), pa.array(np.abs(dims).astype(np.int32)), *[pa.array(cells[:, k]) for k in range(AXES)]], names=["id", "copies", "raw", "dim", "length", *[f"c{k}" for k in range(AXES)]])
 
-    return distinct.select("id", "copies", "raw", "dim").mapInArrow(run, "id long, copies long, raw binary, dim int, length int, " + ", ".join(f"c{k} int" for k in range(AXES)))
+    return distinct.select("id", "copies", "raw", "dim").mapInArrow(lean(run), "id long, copies long, raw binary, dim int, length int, " + ", ".join(f"c{k} int" for k in range(AXES)))
 
 
 _BOX = [f"{side}{k}" for side in ("lo", "hi") for k in range(AXES)]
@@ -125,7 +125,7 @@ def _blocks(cells: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
             yield block(pa.Table.from_batches(held))
 
     schema = "part int, block int, length int, ids array<bigint>, copies array<bigint>, raws array<binary>, dims array<int>, " + ", ".join(f"{c} double" for c in _BOX)
-    return cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut_blocks, schema)
+    return cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(cut_blocks), schema)
 
 
 def _near_blocks(boxes: DataFrame, n: int, eps: float) -> DataFrame:
@@ -229,7 +229,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[label[hit]]), pa.array(links[hit].astype(np.int64))], names=["id", "other", "n"])
 
     side = lambda s: numbered.select(F.col("number").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "copies", "raws", "dims")])
-    joined = stored(pairs.repartition(F.col("a"), F.col("b")).join(side("a"), "a").join(side("b"), "b").mapInArrow(join, "id long, other long, n long"), "joined")
+    joined = stored(pairs.repartition(F.col("a"), F.col("b")).join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(join), "id long, other long, n long"), "joined")
     counts = joined.groupBy("id").agg(F.sum("n").alias("n"))
     component = components(joined.select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = distinct.join(counts, "id", "left").join(component, "id", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
