@@ -1,12 +1,15 @@
 """Operators against plain numpy on small fixtures."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxara.functions import names
-from voxara.operators import harmonize, images, kernels, matrices, tensor, tracks, volumes
+from voxara.operators import harmonize, images, kernels, matrices, regression, tensor, tracks, volumes
 from voxara.operators import statistics as st
+from voxara.plans import filters
 from voxara.plans.filters import cohort_filter, design, fit, missing_to_null, terms
 from voxara.sources import images as files
 from voxara.sources import text
@@ -277,3 +280,106 @@ def test_max_t_takes_a_hundred_permutations(spark):
     got = {r.feature: r for r in st.max_t_permutation(edges, "a", "b").collect()}
     assert got == {r.feature: r for r in st.max_t_permutation(edges, "a", "b", permutations=100).collect()}
     assert got["f0"].critical != st.max_t_permutation(edges, "a", "b", permutations=20).first().critical
+
+
+def test_distributions_keep_their_tails(spark):
+    from voxara.functions import distributions as d
+
+    # Reference values to many digits.
+    cases = [(12.0, 60, 1.5148e-17), (2.0, 10, 0.07338803), (0.0, 5, 1.0), (40.0, 5, 1.8426e-7), (1.96, 1_000_000, 0.04999579)]
+    rows = spark.createDataFrame(cases, "t double, df long, p double").select("t", "df", "p", d.t_two_sided(F.col("t"), F.col("df")).alias("got")).collect()
+    # Symmetry and closed forms: two degrees, and one.
+    for t in (0.3, 1.0, 5.0, 1e3, 1e6):
+        two, one = (spark.range(1).select(d.t_two_sided(F.lit(t), F.lit(k))).first()[0] for k in (2, 1))
+        x = t / math.sqrt(2 + t * t)
+        assert two == pytest.approx(1 / ((1 + x) * (2 + t * t)) * 2, rel=1e-9)  # 1 - x without cancelling
+        assert one == pytest.approx(2 / math.pi * math.atan(1 / t), rel=1e-9)
+    assert all(r.got == pytest.approx(r.p, rel=1e-2) for r in rows)
+    # F with two degrees above has a closed form, down to 1e-30.
+    for f in (0.5, 3.0, 40.0, 150.0):
+        got = spark.range(1).select(d.f_upper(F.lit(f), F.lit(2), F.lit(60))).first()[0]
+        assert got == pytest.approx((60 / (60 + 2 * f)) ** 30, rel=1e-9)
+    q = spark.createDataFrame([(k,) for k in (1, 2, 30, 5000)], "df long").select(d.t_quantile(F.col("df"))).collect()
+    assert [x[0] for x in q] == pytest.approx([12.7062047, 4.30265273, 2.04227246, 1.96043858], rel=1e-7)
+    g = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.5, 30.0, 1e5)], "z double").select("z", d.log_gamma(F.col("z")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.z), rel=1e-11, abs=1e-11) for r in g)
+
+
+def test_cohort_filters(spark):
+    people = spark.createDataFrame([(1, 4.0, "a"), (2, 5.0, "b"), (3, 6.0, "c"), (4, None, None)], "id int, age double, g string")
+    kept = lambda e: [r.id for r in people.where(filters.cohort_filter(people, e)).orderBy("id").collect()]
+    assert kept("age>=5") == [2, 3] and kept("age<=5") == [1, 2] and kept("age>5") == [3] and kept("age<5") == [1]
+    assert kept("g!=a") == kept("g!a") == [2, 3] and kept("g=a,b") == kept("g==a,b") == [1, 2] and kept("g!=a,b") == [3]
+    assert kept("4<age<=6") == [2, 3] and kept("6>age>=4") == [1, 2] and kept("4 <= age < 6") == [1, 2]
+    for wrong in ("nothing", "height>3", "age"):
+        with pytest.raises(ValueError):
+            filters.cohort_filter(people, wrong)
+
+
+def test_free_water_moves_the_fraction(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(30, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    b = np.full(30, 1000.0)
+    x = kernels.design_matrix(b, v)[:, :6]
+    truth = np.array([1.2e-3, 0.0, 0.4e-3, 0.0, 0.0, 0.4e-3])
+    signal = 0.7 * np.exp(x @ truth) + 0.3 * np.exp(-b * 3e-3)
+    start = spark.createDataFrame([(1, 1, signal.tolist(), 0.5, truth.tolist())], "subject long, voxel long, signal array<double>, fraction double, tensor array<double>")
+    assert kernels.free_water(start, b.tolist(), v.tolist()).first().free_water < 0.45
+    nan = spark.createDataFrame([(1, 1, [float("nan")] * 30, 0.5, truth.tolist())], start.schema)
+    assert not math.isnan(kernels.free_water(nan, b.tolist(), v.tolist()).first().xx)
+
+
+def test_harmonised_model_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows, table = [], {}
+    for f in range(4):
+        for s in range(60):
+            batch, x, z = s % 3, float(rng.normal(50, 10)), float(s % 2)
+            y = 10 * f + 0.3 * x - 2 * z + (0, 4, -3)[batch] + float(rng.normal()) * (1, 2, 0.5)[batch]
+            table[f, s] = (batch, x, z, y)
+            rows.append((s, str(f), batch, y if s else None, x, z))
+        rows.append((99, str(f), 0, 1.0, None, 0.0))
+    data = spark.createDataFrame(rows, "subject int, feature string, batch int, y double, x double, z double")
+    got = {(r.feature, r.subject): r.y for r in harmonize.combat_with_model(data, ["x", "z"], eb=False).collect()}
+    assert len(got) == len(rows) and got["0", 0] is None and got["0", 99] is None
+    for f in range(4):
+        held = [table[f, s] for s in range(1, 60)]
+        batch, cov, y = np.array([h[0] for h in held]), np.array([h[1:3] for h in held]), np.array([h[3] for h in held])
+        d = np.column_stack([np.eye(3)[batch], cov])
+        beta = np.linalg.lstsq(d, y, rcond=None)[0]
+        grand = np.bincount(batch) @ beta[:3] / len(y)
+        sd = np.sqrt(((y - d @ beta) ** 2).mean())
+        s = (y - grand - cov @ beta[3:]) / sd
+        out = np.empty(len(y))
+        for k in range(3):
+            out[batch == k] = (s[batch == k] - s[batch == k].mean()) / s[batch == k].std(ddof=1)
+        assert [got[str(f), n] for n in range(1, 60)] == pytest.approx(out * sd + grand + cov @ beta[3:], rel=1e-6)
+    with pytest.raises(ValueError):
+        harmonize.combat_with_model(data.where("batch = 0 or subject = 1"), ["x"])
+    # New rows under stored estimates come out as they did.
+    found = harmonize.estimates(data, ["x", "z"])
+    again = {(r.feature, r.subject): r.y for r in harmonize.apply_model(data.where("subject < 5"), ["x", "z"], found).collect()}
+    first = {(r.feature, r.subject): r.y for r in harmonize.combat_with_model(data, ["x", "z"]).collect()}
+    assert all(first[k] == (pytest.approx(v) if v is not None else None) for k, v in again.items())
+
+
+def test_gamma_of_edges(spark):
+    rng = np.random.default_rng(6)
+    w = rng.gamma(3.0, 2.0, 4000)
+    r = regression.edge_distribution(spark.createDataFrame([(k, 0, 1, float(x)) for k, x in enumerate(w)], "subject int, i int, j int, w double")).first()
+    h = 1e-5
+    digamma = (math.lgamma(r.shape + h) - math.lgamma(r.shape - h)) / (2 * h)
+    assert math.log(r.shape) - digamma == pytest.approx(math.log(w.mean()) - np.log(w).mean(), abs=1e-7)
+    assert r.shape * r.scale == pytest.approx(w.mean()) and abs(r.shape - 3) < 0.3
+
+
+def test_parts_are_of_each_subject(spark):
+    voxels = [(s, i + 20 * p, j, 0, 1.0) for s in (1, 2) for p in range(3) for i in range(3) for j in range(3)]
+    got = images.parts_of(spark.createDataFrame(voxels, "subject long, i int, j int, k int, value double"), 3).collect()
+    for s in (1, 2):
+        parts = {(r.i // 20): set() for r in got}
+        for r in got:
+            if r.subject == s:
+                parts[r.i // 20].add(r.part)
+        assert all(len(p) == 1 for p in parts.values()) and len(set.union(*parts.values())) == 3

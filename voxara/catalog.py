@@ -296,9 +296,9 @@ def matrix_systems(c):
 _SYM = "(SELECT a.subject, a.i, a.j, (a.w + b.w) / 2 AS w FROM {c} a JOIN {c} b ON a.subject = b.subject AND a.i = b.j AND a.j = b.i WHERE a.i <> a.j AND a.w + b.w > 0)"
 
 
-@_query(f"WITH e AS {_SYM}, t AS (SELECT a.subject, sum(cbrt(a.w * b.w * c.w)) AS t FROM e a JOIN e b ON a.subject = b.subject AND a.j = b.i JOIN e c ON b.subject = c.subject AND b.j = c.i AND c.j = a.i GROUP BY 1), k AS (SELECT subject, sum(k * (k - 1)) AS k FROM (SELECT subject, i, count(*) AS k FROM e GROUP BY 1, 2) GROUP BY 1) SELECT k.subject, round(coalesce(t, 0) / nullif(k, 0), 6) AS transitivity FROM k LEFT JOIN t ON k.subject = t.subject", c="connectome")
+@_query(f"WITH r AS (SELECT subject, i, j, sum(w) / 2 AS w FROM (SELECT subject, i, j, w FROM {{c}} UNION ALL SELECT subject, j, i, w FROM {{c}}) GROUP BY 1, 2, 3), x AS (SELECT subject, min(w) AS low, max(w) AS high FROM r GROUP BY 1), e AS (SELECT r.subject, i, j, (w - low) / (high - low) AS w FROM r JOIN x ON r.subject = x.subject WHERE i <> j AND w > low), t AS (SELECT a.subject, sum(cbrt(a.w * b.w * c.w)) AS t FROM e a JOIN e b ON a.subject = b.subject AND a.j = b.i JOIN e c ON b.subject = c.subject AND b.j = c.i AND c.j = a.i GROUP BY 1), k AS (SELECT subject, sum(k * (k - 1)) AS k FROM (SELECT subject, i, count(*) AS k FROM e GROUP BY 1, 2) GROUP BY 1) SELECT k.subject, round(coalesce(t, 0) / nullif(k, 0), 6) AS transitivity FROM k LEFT JOIN t ON k.subject = t.subject", c="connectome")
 def graph_transitivity(c):
-    return rounded(matrices.transitivity(matrices.symmetrise(c)), "transitivity")
+    return rounded(matrices.transitivity(matrices.normalise(matrices.symmetrise(c), 8)), "transitivity")
 
 
 @_query(f"WITH e AS {_SYM}, d AS (SELECT subject, i, sum(w) AS d FROM e GROUP BY 1, 2), x AS (SELECT e.subject, avg(a.d * b.d) AS p, avg((a.d + b.d) / 2) AS m, avg((a.d * a.d + b.d * b.d) / 2) AS q FROM e JOIN d a ON e.subject = a.subject AND e.i = a.i JOIN d b ON e.subject = b.subject AND e.j = b.i WHERE e.i < e.j GROUP BY 1) SELECT subject, round((p - m * m) / nullif(q - m * m, 0), 4) + 0.0 AS assortativity FROM x", c="connectome")
@@ -411,11 +411,6 @@ def combat_plain(f):
     return rounded(harmonize.combat(f.select("subject", "feature", "batch", "y"), eb=False), "y", places=3)
 
 
-@_query(f="features")
-def combat_shrunk(f):
-    return harmonize.combat(f.select("subject", "feature", "batch", "y"))
-
-
 @_query("WITH b AS (SELECT feature, batch, count(*) AS nb, avg(y) AS mb, var_pop(y) AS vb FROM {f} GROUP BY 1, 2), p AS (SELECT feature, sum(nb * mb) / sum(nb) AS grand, sqrt(sum(nb * vb) / sum(nb)) AS sd FROM b GROUP BY 1), s AS (SELECT f.*, (y - grand) / sd AS s, grand, sd FROM {f} f JOIN p ON f.feature = p.feature), e AS (SELECT batch, feature, avg(s) AS g FROM s GROUP BY 1, 2), q AS (SELECT batch, avg(g) AS m, var_samp(g) AS t FROM e GROUP BY 1), r AS (SELECT e.batch, feature, (t * g + m) / (t + 1) AS g FROM e JOIN q ON e.batch = q.batch) SELECT subject, s.feature, s.batch, round((s - g) * sd + grand, 3) AS y FROM s JOIN r ON s.batch = r.batch AND s.feature = r.feature", f="features")
 def combat_mean_only(f):
     return rounded(harmonize.combat_mean_only(f.select("subject", "feature", "batch", "y")), "y", places=3)
@@ -448,7 +443,7 @@ def image_project(v):
 
 @_query(v="voxels")
 def image_parts(v):
-    return images.parts_of(_image(v).where("subject = 0"), 3)
+    return images.parts_of(_image(v), 3)
 
 
 # Tensors: 279-297, 306-311.

@@ -154,3 +154,24 @@ _SHRUNK = (
 @query(_SHRUNK + "SELECT s.subject, s.feature, s.batch, round((s - i.g) / sqrt(i.d) * sd + part, 3) + 0.0 AS y FROM s JOIN i ON s.feature = i.feature AND s.batch = i.batch AND k = 60", f="features")
 def combat_covariates_shrunk(f):
     return rounded(harmonize.combat_with_model(f.select("subject", "feature", "batch", "y", "x"), ["x"], eb=True), "y", places=3)
+
+
+_PLAIN = _SHRUNK.replace("sum(dx * dy) / sum(dx * dx) AS b", "0.0 AS b")
+
+
+@query(_PLAIN + "SELECT s.subject, s.feature, s.batch, round((s - i.g) / sqrt(i.d) * sd + part, 3) + 0.0 AS y FROM s JOIN i ON s.feature = i.feature AND s.batch = i.batch AND k = 60", f="features")
+def combat_shrunk(f):
+    return rounded(harmonize.combat(f.select("subject", "feature", "batch", "y")), "y", places=3)
+
+
+_HOLES = "(SELECT subject, feature, batch, CASE WHEN subject % 11 = 0 THEN NULL WHEN feature = '5-LOW' THEN 7.0 ELSE y END AS y FROM {f})"
+
+
+@query(
+    f"WITH h AS {_HOLES}, g AS (SELECT feature, batch, avg(y) AS m, count(y) AS n, var_pop(y) AS v FROM h GROUP BY 1, 2), p AS (SELECT feature, sum(n * m) / sum(n) AS grand, sqrt(sum(n * v) / sum(n)) AS sd FROM g GROUP BY 1), s AS (SELECT h.*, grand, sd, (y - grand) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS s FROM h JOIN p ON h.feature = p.feature), e AS (SELECT feature, batch, avg(s) AS g, var_samp(s) AS d FROM s GROUP BY 1, 2) SELECT subject, s.feature, s.batch, round((s - g) / sqrt(CASE WHEN d = 0 THEN 1 ELSE d END) * CASE WHEN sd = 0 THEN 1 ELSE sd END + grand, 3) + 0.0 AS y FROM s JOIN e ON s.feature = e.feature AND s.batch = e.batch",
+    f="features",
+)
+def combat_missing(f):
+    """A missing value stays missing, and a constant feature keeps its values."""
+    y = F.when(F.col("subject") % 11 == 0, F.lit(None).cast("double")).when(F.col("feature") == "5-LOW", 7.0).otherwise(F.col("y"))
+    return rounded(harmonize.combat(f.select("subject", "feature", "batch", y.alias("y")), eb=False), "y", places=3)

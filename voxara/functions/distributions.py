@@ -19,7 +19,7 @@ def log_gamma(z: Column) -> Column:
     steps = z
     for k in range(1, 8):
         steps = steps * (z + k)
-    series = 1 / (12 * up) - 1 / (360 * F.pow(up, 3)) + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7))
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, 3)) + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7)) + 1 / (1188 * F.pow(up, 9))
     return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
 
 

@@ -26,6 +26,51 @@ def absolute_threshold(img: DataFrame, value: float = 0.0) -> DataFrame:
     return img.withColumn("value", F.when(F.abs("value") < value, 0.0).otherwise(F.col("value")))
 
 
+def zeros(img: DataFrame) -> DataFrame:
+    """An image of zeros over the same voxels."""
+    return img.withColumn("value", F.lit(0.0))
+
+
+def ones(img: DataFrame) -> DataFrame:
+    """1 where the image is positive, else 0."""
+    return img.withColumn("value", (F.col("value") > 0).cast("int"))
+
+
+def invert(img: DataFrame, shape: dict[str, int]) -> DataFrame:
+    """1 where the image is 0, else 0, over the whole grid: voxels without a row are 0 and come out as 1."""
+    grid = img.select("subject").distinct()
+    for axis, n in shape.items():
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return grid.join(img.select(*VOXEL, "value"), VOXEL, "left").select(*VOXEL, (F.coalesce("value", F.lit(0.0)) == 0).cast("int").alias("value"))
+
+
+def split(img: DataFrame, axis: str, index: int | None = None) -> DataFrame:
+    """Slices along an axis: its place becomes ``part`` and goes from the voxel; one slice alone if an index is given."""
+    rest = [c for c in img.columns if c != axis]
+    parts = img if index is None else img.where(F.col(axis) == index)
+    return parts.select(F.col(axis).alias("part"), *rest)
+
+
+def threshold_fa(fa: DataFrame, brain: DataFrame | None = None, value: float = 0.7, iterations: int = 1) -> DataFrame:
+    """Voxels above the threshold inside the mask, eroded if asked for; without a mask that of non-zero voxels."""
+    inside = brain if brain is not None else fa.where("value <> 0")
+    core = erode(inside, "NN1", iterations) if iterations else inside.where("value > 0")
+    return mask(fa.where(F.col("value") > value), core).select(*VOXEL, F.lit(1).alias("value"))
+
+
+def labels_differ(atlas: DataFrame, labels: list[int]) -> DataFrame:
+    """Labels that only the image or only the list (which always includes 0) has; none where they agree."""
+    wanted = atlas.sparkSession.createDataFrame([(x,) for x in sorted({0, *labels})], "label int")
+    found = atlas.select(F.col("label").cast("int").alias("label")).distinct()
+    both = found.withColumn("image", F.lit(1)).join(wanted.withColumn("list", F.lit(1)), "label", "full")
+    return both.where("image is null or list is null").select("label", F.col("image").isNotNull().alias("in_image"))
+
+
+def target_masks(atlas: DataFrame) -> DataFrame:
+    """One mask per label: the atlas's non-zero voxels by ``label``, to be written partitioned by it."""
+    return atlas.where("label <> 0").select("label", *VOXEL, F.lit(1).alias("value"))
+
+
 def mask(img: DataFrame, by: DataFrame, value: float = 0.0) -> DataFrame:
     """The voxels where the mask exceeds the threshold."""
     return img.join(by.where(F.col("value") > value).select(VOXEL), VOXEL, "left_semi")
@@ -155,11 +200,28 @@ def project(img: DataFrame, matrix: list[float]) -> DataFrame:
     return img.select("subject", *moved, "value", F.struct("i", "j", "k").alias("source")).groupBy(VOXEL).agg(F.max_by("value", "source").alias("value"))
 
 
-def parts_of(binary: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """One subject's region cut in k by k-means on the voxel coordinates."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    packed = binary.where("value > 0").select(*VOXEL, array_to_vector(F.array(*[F.col(a).cast("double") for a in "ijk"])).alias("v"))
-    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="part").fit(packed)
-    return model.transform(packed).select(*VOXEL, "part")
+def parts_of(binary: DataFrame, k: int, seed: int = 1, steps: int = 100) -> DataFrame:
+    """Each subject's region cut in k by k-means on the voxel coordinates; one subject's region is the unit of work."""
+    import numpy as np
+    import pandas as pd
+
+    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["i", "j", "k"])
+        x = rows[["i", "j", "k"]].to_numpy(float)
+        rng = np.random.default_rng(seed)
+        centre = x[[rng.integers(len(x))]]
+        while len(centre) < min(k, len(x)):  # far voxels are likelier starts
+            far = ((x[:, None] - centre) ** 2).sum(2).min(1)
+            if not far.any():
+                break
+            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum())]])
+        part = np.zeros(len(x), int)
+        for _ in range(steps):
+            new = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
+            centre = np.stack([x[new == c].mean(0) if (new == c).any() else centre[c] for c in range(len(centre))])
+            if (new == part).all():
+                break
+            part = new
+        return rows.assign(part=part.astype("int32"))[["subject", "i", "j", "k", "part"]]
+
+    return binary.where("value > 0").select(VOXEL).groupBy("subject").applyInPandas(cut, "subject long, i int, j int, k int, part int")

@@ -46,7 +46,8 @@ def free_water(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], ste
     and holds the fraction and the eigenvalues within bounds.
     """
     x = design_matrix(np.array(bvals, float), np.array(bvecs, float))[:, :6]
-    decay = np.exp(-np.array(bvals, float) * water)
+    b_values = np.array(bvals, float)
+    decay = np.exp(-b_values * water)
 
     def bounded(t: np.ndarray) -> np.ndarray:
         m = t[:, [0, 1, 3, 1, 2, 4, 3, 4, 5]].reshape(-1, 3, 3)
@@ -61,8 +62,9 @@ def free_water(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], ste
             for _ in range(steps):
                 tissue = np.exp(t @ x.T)
                 error = f[:, None] * tissue + (1 - f)[:, None] * decay - s
-                f = np.clip(f - weight * step_size * (error * (tissue - decay)).sum(1), 0.01, 0.99)
-                t = bounded(t - step_size * ((error * f[:, None] * tissue) @ x))
+                slope = (error * f[:, None] * tissue) @ x
+                f = np.clip(f - weight * step_size * (b_values * error * (tissue - decay)).sum(1), 0.01, 0.99)
+                t = bounded(np.nan_to_num(t - step_size * np.nan_to_num(slope, nan=0.0), nan=0.0))
             yield pa.RecordBatch.from_arrays([b.column("subject"), b.column("voxel"), pa.array(1 - f), *[pa.array(t[:, k]) for k in range(6)]], names=["subject", "voxel", "free_water", "xx", "xy", "yy", "xz", "yz", "zz"])
 
     return dwi.select("subject", "voxel", "signal", "fraction", "tensor").mapInArrow(run, "subject long, voxel long, free_water double, xx double, xy double, yy double, xz double, yz double, zz double")

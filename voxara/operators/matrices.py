@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +76,66 @@ def consistent(edges: DataFrame, controls: DataFrame, target: float = 1 / 3) ->
     return edges.join(variation(controls).where(F.col("cv") < target).select("i", "j"), ["i", "j"], "left_semi").select(*CELL, "w")
 
 
+def _finished(m: DataFrame, symmetric: bool, zero_diagonal: bool) -> DataFrame:
+    out = symmetrise(m) if symmetric else m.select(*CELL, "w")
+    return out.withColumn("w", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("w"))) if zero_diagonal else out
+
+
+def volume_normalise(m: DataFrame, volumes: DataFrame, symmetric: bool = True, zero_diagonal: bool = True) -> DataFrame:
+    """Column j divided by its region's volume (subject, node, volume); then symmetric and without diagonal."""
+    by = volumes.select("subject", F.col("node").alias("j"), "volume")
+    return _finished(m.join(by, ["subject", "j"]).select(*CELL, F.try_divide("w", F.nullif("volume", F.lit(0))).alias("w")), symmetric, zero_diagonal)
+
+
+def boundary_normalise(m: DataFrame, boundary: DataFrame, zoom: float = 1.0, symmetric: bool = True, zero_diagonal: bool = True) -> DataFrame:
+    """All cells divided by the volume of a boundary mask (subject, i, j, k, value); then symmetric and without diagonal."""
+    volume = boundary.groupBy("subject").agg((F.count_if(F.col("value") > 0) * F.lit(zoom)).alias("volume"))
+    return _finished(m.join(volume, "subject").select(*CELL, F.try_divide("w", F.nullif("volume", F.lit(0.0))).alias("w")), symmetric, zero_diagonal)
+
+
+def random_cell(mask: DataFrame, seed: int = 1) -> DataFrame:
+    """One set cell (i, j) of a mask, drawn by a seeded hash."""
+    return mask.where("w <> 0").orderBy(F.xxhash64(F.lit(seed), "i", "j"), "i", "j").limit(1).select("i", "j")
+
+
+def graph_measures(m: DataFrame, n: int, densities: list[float], weighted: bool = True) -> DataFrame:
+    """Global measures of each subject's matrix pruned to each density: density, assortativity, transitivity, paths.
+
+    ``m`` is symmetric. Weighted measures use weights scaled to 0 to 1, others
+    the binary matrix; all densities are one table, keyed by (subject, density).
+    Returns subject, density (asked for), reached, assortativity, transitivity,
+    efficiency and path_length.
+    """
+    grid = [_keyed(prune(m.where("i < j"), d), d) for d in densities]
+    edges = from_upper(reduce(lambda a, b: a.unionByName(b), grid))
+    scaled = normalise(edges, n) if weighted else binarize(edges).withColumn("w", F.col("w").cast("double"))
+    held = scaled.where("w > 0")
+    out = density(edges, n).withColumnRenamed("density", "reached")
+    for part in (assortativity(held, weighted), transitivity(held), shortest_paths(held, n, weighted).select("subject", "efficiency", "path_length")):
+        out = out.join(part, "subject", "left")
+    return _unkeyed(out)
+
+
+def node_measures(m: DataFrame, n: int, densities: list[float]) -> DataFrame:
+    """Degree and strength of each node of each subject's matrix pruned to each density."""
+    grid = [_keyed(prune(m.where("i < j"), d), d) for d in densities]
+    edges = from_upper(reduce(lambda a, b: a.unionByName(b), grid))
+    return _unkeyed(degree_strength(edges).withColumnRenamed("i", "node"))
+
+
+#: Densities are kept in the subject's key, as whole ten-thousandths.
+_PARTS = 10_000
+
+
+def _keyed(m: DataFrame, density: float) -> DataFrame:
+    return m.select((F.col("subject") * _PARTS + round(density * _PARTS)).alias("subject"), "i", "j", "w")
+
+
+def _unkeyed(m: DataFrame) -> DataFrame:
+    rest = [c for c in m.columns if c != "subject"]
+    return m.select(F.floor(F.col("subject") / _PARTS).cast("long").alias("subject"), ((F.col("subject") % _PARTS) / _PARTS).alias("density"), *rest)
+
+
 def is_binary(m: DataFrame) -> DataFrame:
     return m.groupBy("subject").agg((F.countDistinct(F.when(F.col("w") != 0, F.col("w"))) == 1).alias("binary"))
 
@@ -87,7 +149,7 @@ def systems(m: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def transitivity(m: DataFrame) -> DataFrame:
-    """Sum of cube roots of triangle weights over the number of connected triples."""
+    """Sum of cube roots of triangle weights over the number of connected triples; weights are scaled by ``normalise`` first."""
     edge = m.where("i <> j and w > 0")
     a, b, c = edge.alias("a"), edge.alias("b"), edge.alias("c")
     closed = (

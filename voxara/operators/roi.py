@@ -39,6 +39,41 @@ def wide(stats: DataFrame, measure: str, labels: list[int]) -> DataFrame:
     return stats.groupBy("subject").pivot("label", labels).agg(F.first(measure))
 
 
+def tensor_roi_stats(scalars: DataFrame, atlas: DataFrame, names: list[str], least: int = 20, nonzero: bool = True) -> DataFrame:
+    """Mean, median and sample deviation of several scalar maps per region: one row per (subject, label, scalar).
+
+    ``scalars`` has one column per map. Regions of fewer voxels than ``least`` are 0.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("scalar"), F.col(n).alias("value")) for n in names]))
+    long = scalars.join(atlas.where("label <> 0").select(*VOXEL, "label"), VOXEL).select("subject", "label", pairs.alias("x")).select("subject", "label", "x.*")
+    held = long.where("value <> 0") if nonzero else long
+    stats = held.groupBy("subject", "label", "scalar").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"))
+    kept = lambda c: F.when(F.col("n") < least, 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c)
+    return stats.select("subject", "label", "scalar", kept("mean"), kept("median"), kept("std"))
+
+
+def registration_report(scalar: DataFrame, atlas: DataFrame, low: float, high: float, bins: int, zoom: float = 1.0) -> DataFrame:
+    """One wide row per subject: background against foreground, moments, and a histogram's densities in columns."""
+    joined = scalar.join(atlas.where("label <> 0").select(VOXEL), VOXEL, "left_semi")
+    out = background(scalar, atlas, zoom).join(moments(joined), "subject", "left")
+    width = (high - low) / bins
+    names = [f"hist{low + k * width:0.2f}-{low + (k + 1) * width:0.2f}" for k in range(bins)]
+    shares = histogram(joined, low, high, bins).groupBy("subject").pivot("bin", list(range(bins))).agg(F.first("density"))
+    shares = shares.select("subject", *[F.coalesce(F.col(f"`{k}`"), F.lit(0.0)).alias(n) for k, n in enumerate(names)])
+    return out.join(shares, "subject", "left")
+
+
+def quality_table(people: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
+    """One row per subject with the columns of all reports, in the order given, as text and named family_column.
+
+    A report that lacks a subject leaves its columns null.
+    """
+    out = people
+    for family, report in families.items():
+        out = out.join(report.select("subject", *[F.col(f"`{c}`").cast("string").alias(f"{family}_{c}") for c in report.columns if c != "subject"]), "subject", "left")
+    return out
+
+
 def background(scalar: DataFrame, atlas: DataFrame, zoom: float = 1.0) -> DataFrame:
     """Labelled volume with a zero and a non-zero scalar, and their ratio."""
     joined = atlas.where("label <> 0").join(scalar, VOXEL, "left").withColumn("zero", F.coalesce("value", F.lit(0.0)) == 0)

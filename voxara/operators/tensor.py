@@ -33,6 +33,51 @@ def scalars(t: DataFrame) -> DataFrame:
     return e.select(*[c for c in t.columns if c not in TENSOR], "l1", "l2", "l3", fa.alias("fa"), (tr / 3).alias("md"), tr.alias("tr"), l1.alias("ax"), ((l2 + l3) / 2).alias("rad"), ratio(l1 - l2).alias("cl"), ratio(2 * (l2 - l3)).alias("cp"), ratio(3 * l3).alias("cs"))
 
 
+def eigenvectors(t: DataFrame) -> DataFrame:
+    """Adds v1, v2, v3, unit vectors of l1 >= l2 >= l3, each with its largest component positive.
+
+    The vector of a single eigenvalue is the longest cross product of two rows
+    of the tensor less that value; where eigenvalues are equal, any vector at
+    right angles to the others serves.
+    """
+    e = eigenvalues(t)
+    xx, xy, yy, xz, yz, zz = (F.col(c) for c in TENSOR)
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    vec = lambda *c: F.array(*c)
+    cross = lambda a, b: vec(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    unit = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / n))
+
+    def signed(v: Column) -> Column:
+        top = F.array_max(F.transform(v, F.abs))
+        return F.when(F.exists(v, lambda x: x == top), v).otherwise(F.transform(v, lambda x: -x))
+
+    def of(l: Column) -> Column:
+        rows = [vec(xx - l, xy, xz), vec(xy, yy - l, yz), vec(xz, yz, zz - l)]
+        products = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
+        longest = F.array_max(F.array(*[F.struct(dot(p, p).alias("n"), p.alias("v")) for p in products]))
+        scale = xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)
+        return let(longest, lambda x: F.when(x["n"] > 1e-24 * scale * scale, unit(x["v"])))
+
+    def beside(v: Column) -> Column:
+        axis = F.when((F.abs(v[0]) <= F.abs(v[1])) & (F.abs(v[0]) <= F.abs(v[2])), vec(*map(F.lit, (1.0, 0.0, 0.0)))).when(F.abs(v[1]) <= F.abs(v[2]), vec(*map(F.lit, (0.0, 1.0, 0.0)))).otherwise(vec(*map(F.lit, (0.0, 0.0, 1.0))))
+        return unit(cross(v, axis))
+
+    first = e.withColumn("v1", of(F.col("l1"))).withColumn("v3", of(F.col("l3")))
+    # Of two equal values either has no vector of its own; three equal ones have none at all.
+    first = first.withColumn("v1", F.coalesce("v1", F.when(F.col("v3").isNotNull(), beside(F.col("v3"))).otherwise(vec(*map(F.lit, (1.0, 0.0, 0.0))))))
+    first = first.withColumn("v3", F.coalesce("v3", beside(F.col("v1"))))
+    out = first.withColumn("v2", unit(cross(F.col("v3"), F.col("v1"))))
+    return out.withColumns({v: signed(F.col(v)) for v in ("v1", "v2", "v3")})
+
+
+def colormap(t: DataFrame) -> DataFrame:
+    """Red, green and blue from 0 to 255: the first eigenvector's absolute components times FA."""
+    v = eigenvectors(t).withColumn("fa", F.sqrt(F.coalesce(F.try_divide(0.5 * ((F.col("l1") - F.col("l2")) ** 2 + (F.col("l2") - F.col("l3")) ** 2 + (F.col("l3") - F.col("l1")) ** 2), F.col("l1") ** 2 + F.col("l2") ** 2 + F.col("l3") ** 2), F.lit(0.0))))
+    shade = lambda n: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fa"))) * F.abs(F.col("v1")[n]) * 255).cast("int")
+    return v.select(*[c for c in t.columns if c not in TENSOR], shade(0).alias("red"), shade(1).alias("green"), shade(2).alias("blue"))
+
+
 def free_water_fraction(signal: Column, b0: Column, md: Column, b: float, wm_b0: float, csf_b0: float, water: float = 3e-3) -> Column:
     """First estimate of the tissue fraction from the b = 0 signal and the mean diffusivity."""
     clip = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))

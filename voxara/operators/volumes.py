@@ -50,6 +50,51 @@ def bval_report(volumes: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("subject").orderBy("b")))
 
 
+def is_valid_dwi(volumes: DataFrame, gradients: DataFrame) -> DataFrame:
+    """Whether a subject has one b-value and one direction for each of its volumes; images by (subject, t)."""
+    n = volumes.groupBy("subject").agg(F.countDistinct("t").alias("n_volumes"))
+    g = gradients.groupBy("subject").agg(F.count("b").alias("n_b"), F.countDistinct("t").alias("n_t"), F.count("bx").alias("n_vec"))
+    ok = (F.col("n_b") == F.col("n_volumes")) & (F.col("n_vec") == F.col("n_volumes")) & (F.col("n_t") == F.col("n_volumes"))
+    return n.join(g, "subject", "left").select("subject", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def adjust_b0(dwi: DataFrame, least: float = 1e-9) -> DataFrame:
+    """b = 0 signals raised to what the weighted volumes allow at the least diffusivity."""
+    weighted = dwi.where("b > 0")
+    low = weighted.groupBy("subject").agg(F.min("b").alias("low"))
+    top = weighted.groupBy("subject", "voxel").agg(F.max("value").alias("top"))
+    joined = dwi.join(top, ["subject", "voxel"], "left").join(low, "subject", "left")
+    floor = F.col("top") / F.exp(-F.col("low") * least)
+    return joined.select("subject", "voxel", "t", "b", F.when(F.col("b") == 0, F.greatest("value", floor)).otherwise(F.col("value")).alias("value"))
+
+
+def group_by_phase(images: DataFrame) -> DataFrame:
+    """Images of one phase encoding and readout time, in order: (idx, name, phase, readout)."""
+    return images.groupBy("phase", "readout").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("held")).select("phase", "readout", F.transform("held", lambda x: x["name"]).alias("names"))
+
+
+def unique_acquisitions(parameters: DataFrame) -> DataFrame:
+    """Number of different directions, the first three fields of the acquisition parameters."""
+    return parameters.agg(F.countDistinct(F.struct("x", "y", "z")).alias("n"))
+
+
+def acquisition_line(phase: Column, readout: Column) -> Column:
+    """Acquisition parameters of a phase-encoding direction (as AP or j-): x, y, z and the readout time."""
+    code = decode_phase(phase)
+    sign = F.when(F.endswith(code, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
+    axis = F.substring(code, 1, 1)
+    return F.array(*[F.when(axis == a, sign).otherwise(F.lit(0)).cast("double") for a in "ijk"], readout.cast("double"))
+
+
+def bvals_conform(report: DataFrame, sites: DataFrame) -> DataFrame:
+    """Whether a subject's report (subject, site, rank, b, n) equals its site's (site, rank, b, n) in every entry."""
+    site = sites.select("site", "rank", F.col("b").alias("site_b"), F.col("n").alias("site_n"))
+    people = report.select("subject", "site").distinct()
+    wanted = people.join(site, "site")
+    both = report.select("subject", "rank", "b", "n").join(wanted, ["subject", "rank"], "full")
+    return both.groupBy("subject").agg(F.bool_and(F.col("b").eqNullSafe(F.col("site_b")) & F.col("n").eqNullSafe(F.col("site_n"))).alias("conforms"))
+
+
 def index_runs(volumes: DataFrame) -> DataFrame:
     """Running group index that grows at each b = 0 volume."""
     return volumes.withColumn("run", F.sum((F.col("b") == 0).cast("int")).over(W.partitionBy("subject").orderBy("t").rowsBetween(W.unboundedPreceding, 0)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_VOXELS = "SELECT l_suppkey % 5 AS subject, CAST(l_partkey % 12 AS INT) AS i, CAST(l_orderkey % 12 AS INT) AS j, CAST(l_linenumber - 1 AS INT) AS k, min(l_discount) AS value, max(l_extendedprice) AS price FROM {lineitem} GROUP BY 1, 2, 3, 4"
+_VOXELS = "SELECT l_suppkey AS subject, CAST(l_partkey % 12 AS INT) AS i, CAST(l_orderkey % 12 AS INT) AS j, CAST(l_linenumber - 1 AS INT) AS k, min(l_discount) AS value, max(l_extendedprice) AS price FROM {lineitem} GROUP BY 1, 2, 3, 4"
 
 TABLES: dict[str, str] = {
     "voxels": _VOXELS,
@@ -31,6 +31,9 @@ DUCK: dict[str, str] = {
 _NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TABLES |= {n: f"SELECT * FROM {{{n}}}" for n in _NAMES}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(TABLES[name].format(**{n: f"parquet.`{sf_dir}/{n}.parquet`" for n in _NAMES}))
 
