@@ -476,7 +476,8 @@ def test_rules_match_plain_counts(spark):
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(filled) - len(set(filled)), len(covered))
         assert row.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (row.base_failed and row.kept)
-    table = {row.rule: row for row in rules.ablations(ledger, "v1").collect()}
+    table = {row.rule: row for row in rules.ablations(ledger, ("v1",)).collect()}
+    assert rules.ablations(ledger.where("false")).count() == 0
     failed = [row.failed for row in got.values()]
     for k, name in enumerate(rules.RULES):
         assert table[name].n_failed == sum(f >> k & 1 for f in failed) and table[name].n_regained == sum(f == 1 << k for f in failed)
@@ -548,3 +549,28 @@ def test_patterns_are_the_tokenizers():
     import public_tokenizers
 
     assert tokens.PATTERN == public_tokenizers.PATTERN and base64
+
+
+# Edge cases of every operator
+def test_rows_that_repeat_a_doc_id(spark):
+    """Each row gives its own row, null ids and all."""
+    texts = ["some words that stand here for a while", "MIT License", None, "", "some words that stand here for a while", "token: abcdef123"]
+    ids = [1, 1, 2, None, None, 1]
+    docs = documents(spark, texts, ids=ids)
+    expected = collections.Counter(ids)
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    empty = docs.where("false")
+    lexicon = toxicity.Lexicon({"words ": 5.0})
+    for run in (
+        lambda d: pieces.encode_documents(d, path),
+        lambda d: secrets.digest(secrets.find_secrets(d)),
+        licenses.scan_licenses,
+        lambda d: toxicity.score_documents(d, lexicon),
+        lambda d: jaccard.jaccard_classes(d),
+        lambda d: rules.digest(rules.ledger(d)),
+        lambda d: mixing.digest(mixing.mix(d)),
+    ):
+        assert collections.Counter(r.doc_id for r in run(docs).collect()) == expected
+        assert run(empty).count() == 0
+    assert tokens.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").count() == len(texts)
+    assert toxicity.remove_toxic(empty, lexicon).count() == 0 and lines.dedup_lines(empty).count() == 0 and mixing.mix_rows(empty).count() == 0 and jaccard.dedup_documents(empty, 80, 100, 5).count() == 0

@@ -43,6 +43,13 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.ledger(load(spark, sf_dir, "documents")))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to the whole of documents."""
+    from voxara.llm import rules
+
+    return rules.ablations(rules.ledger(load(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxara.llm import mixing
 
@@ -75,7 +82,7 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and "_" in k and k[2].isdigit()}
+    return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and "_" in k and k[2].isdigit()} | {"rule_ablations": rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,3 +123,13 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
     """,
 }
+
+_RULES = "['few_words', 'repeated_words', 'many_symbols', 'repeated_lines', 'short_words', 'long_words', 'few_letters', 'capitals']"
+SQL["rule_ablations"] = f"""
+    WITH ledger AS ({SQL["op9_rules"]}),
+    p(version, policy) AS (VALUES ('base', 3), ('v1', 255), ('v2', 79)),
+    r AS (SELECT unnest({_RULES}) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit)
+    SELECT version, rule, count(*) AS n_documents, count(*) FILTER (WHERE failed & policy <> 0) AS n_rejected,
+        count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & policy = bit) AS n_regained
+    FROM ledger, p, r WHERE bit & policy <> 0 GROUP BY 1, 2
+"""

@@ -27,6 +27,7 @@ RULES: dict[str, str] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": tuple(RULES),
+    "v2": ("few_words", "repeated_words", "many_symbols", "repeated_lines", "few_letters"),
 }
 
 
@@ -91,21 +92,24 @@ def apply_policy(ledgered: DataFrame, version: str) -> DataFrame:
     return ledgered.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
 
 
-def ablations(ledgered: DataFrame, version: str) -> DataFrame:
-    """For each rule of a policy: documents it fails, and those that only it rejects.
+def ablations(ledgered: DataFrame, versions: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """What each rule does in each version of the policy.
 
-    One pass over the ledger; each task keeps one counter per rule.
+    The ledger is read once, for how many documents have each combination of
+    bits: 256 rows at most. A policy's mask is laid over these, and the bits
+    left tell which rules fail a document, alone or with others.
+
+    Returns version, rule, n_documents, n_rejected (by the whole policy),
+    n_failed (by the rule) and n_regained (kept if the rule were left out). An
+    empty ledger gives no row.
     """
-    whole = mask(POLICIES[version])
-    failing = F.col("failed").bitwiseAND(F.lit(whole))
-    counts = ledgered.agg(
-        F.count("*").alias("n_documents"),
-        F.bit_or(failing).alias("any_failed"),
-        *[F.count_if(failing.bitwiseAND(F.lit(mask((r,)))) != 0).alias(f"fails_{r}") for r in POLICIES[version]],
-        *[F.count_if(failing == mask((r,))).alias(f"alone_{r}") for r in POLICIES[version]],
+    bits = ledgered.groupBy("failed").agg(F.count("*").alias("n"))
+    rules = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(mask(POLICIES[v])).alias("policy"), F.lit(r).alias("rule"), F.lit(mask((r,))).alias("bit")) for v in versions for r in POLICIES[v]]))
+    each = bits.select("failed", "n", rules.alias("r")).select("n", "r.version", "r.rule", F.col("failed").bitwiseAND(F.col("r.policy")).alias("left"), F.col("r.bit").alias("bit"))
+    counted = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0)))
+    return each.groupBy("version", "rule").agg(
+        F.sum("n").alias("n_documents"), counted(F.col("left") != 0).alias("n_rejected"), counted(F.col("left").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), counted(F.col("left") == F.col("bit")).alias("n_regained")
     )
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"fails_{r}").alias("n_failed"), F.col(f"alone_{r}").alias("n_regained")) for r in POLICIES[version]])
-    return counts.select("n_documents", F.explode(rows).alias("r")).select("r.rule", "n_documents", "r.n_failed", "r.n_regained")
 
 
 def digest(ledgered: DataFrame) -> DataFrame:
