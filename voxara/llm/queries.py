@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxara.llm.common import load
 
-#: Vocabulary files of public tokenizers.
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the vocabulary files of public tokenizers.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,8 @@ def rank_encoder(path: str) -> Callable[[str], list[int]]:
 def write_token_files(docs: DataFrame, folder: str, make_encoder: Callable[[], Callable[[str], list[int]]], end: int = END, dtype: str = "<u2") -> DataFrame:
     """Writes one flat file per partition and returns what it wrote: file, doc_no, doc_id.
 
-    A null or empty text is a lone separator. A file appears under its name
+    A null or empty text is a lone separator. An id that the type can't hold
+    raises an error. A file appears under its name
     only when it is whole, so a task that runs again replaces it.
     """
 
@@ -56,7 +57,10 @@ def write_token_files(docs: DataFrame, folder: str, make_encoder: Callable[[], C
             for b in batches:
                 texts = b.column(1).to_pylist()
                 for text in texts:
-                    out.write(np.array([*encode(text or ""), end], np.int64).astype(dtype).tobytes())
+                    ids = np.array([*encode(text or ""), end], np.int64)
+                    if ids.max() > np.iinfo(dtype).max or (ids[:-1] == end).any():
+                        raise ValueError(f"a token's id doesn't fit into {dtype}, or is the separator's")
+                    out.write(ids.astype(dtype).tobytes())
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), b.column(0).cast(pa.int64())], names=["file", "doc_no", "doc_id"])
                 at += n
