@@ -50,7 +50,7 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
     """system, node from ragged rows: a name, then its nodes."""
     cells = spark.read.text(path).select(F.filter(F.split("value", r"[,\s]+"), lambda x: x != "").alias("cells")).where(F.size("cells") > 1)
-    return cells.select(F.col("cells")[0].alias("system"), F.explode(F.slice("cells", 2, 10_000)).try_cast("int").alias("node")).where("node is not null")
+    return cells.select(F.col("cells")[0].alias("system"), F.explode(F.slice(F.col("cells"), F.lit(2), F.size("cells") - 1)).try_cast("int").alias("node")).where("node is not null")
 
 
 def write_gradients(gradients: DataFrame, folder: str) -> None:
