@@ -21,21 +21,38 @@ def normal_two_sided(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+#: Classes of p for each halving of it, by which tests are ranked in two steps.
+_CLASSES = 64
+
+
 def false_discovery(tests: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg, Bonferroni and Holm; p = 1 marks a test that wasn't made and stays 1."""
+    """Benjamini-Hochberg, Bonferroni and Holm; p = 1 marks a test that wasn't made and stays 1.
+
+    Tests are put into classes of p; numbers and minima of whole classes are
+    carried on first, then each class ranks its own tests, so no task holds all.
+    """
+    keys = [*(by or []), "__class"]
     made = F.col("p") < 1
-    part = W.partitionBy(*(by or []), made)
-    order = part.orderBy("p", "feature")
-    n, rank = F.count("*").over(part), F.row_number().over(order)
-    ranked = tests.select("*", n.alias("__n"), rank.alias("__rank"), made.alias("__made"))
-    back = W.partitionBy(*(by or []), "__made").orderBy("__rank").rowsBetween(0, W.unboundedFollowing)
-    q = lambda c: F.when(F.col("__made"), c).otherwise(F.lit(1.0))
-    return ranked.select(
+    # Ascending in p; p = 0 is a class below all others.
+    place = F.when(F.col("p") > 0, F.floor(F.log2("p") * _CLASSES)).otherwise(F.lit(-1_000_000)).cast("long")
+    held = tests.where(made).withColumn("__class", place)
+    counts = held.groupBy(*keys).agg(F.count("*").alias("__in"))
+    along = W.partitionBy(*(by or [])).orderBy("__class")
+    whole = W.partitionBy(*(by or []))
+    before = counts.select(*keys, (F.sum("__in").over(along) - F.col("__in")).alias("__before"), F.sum("__in").over(whole).alias("__n"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("p", "feature")) + F.col("__before")
+    ranked = held.join(before, keys).withColumn("__rank", rank).withColumn("__step", F.col("__n") / F.col("__rank") * F.col("p"))
+    least = ranked.groupBy(*keys).agg(F.min("__step").alias("__least"))
+    later = least.select(*keys, F.min("__least").over(along.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
+    inner = F.min("__step").over(W.partitionBy(*keys).orderBy("__rank").rowsBetween(0, W.unboundedFollowing))
+    adjusted = ranked.join(later, keys).select(
         *tests.columns,
-        q(F.min(F.col("__n") / F.col("__rank") * F.col("p")).over(back)).alias("q_bh"),
-        q(F.least(F.lit(1.0), F.col("__n") * F.col("p"))).alias("q_bonferroni"),
-        q((F.col("__n") - F.col("__rank") + 1) * F.col("p")).alias("q_holm"),
+        F.least(inner, F.coalesce("__later", inner)).alias("q_bh"),
+        F.least(F.lit(1.0), F.col("__n") * F.col("p")).alias("q_bonferroni"),
+        ((F.col("__n") - F.col("__rank") + 1) * F.col("p")).alias("q_holm"),
     )
+    others = tests.where(~F.coalesce(made, F.lit(False))).select(*tests.columns, *[F.lit(1.0).alias(q) for q in ("q_bh", "q_bonferroni", "q_holm")])
+    return adjusted.unionByName(others)
 
 
 def simple_ols(data: DataFrame, x: str) -> DataFrame:
