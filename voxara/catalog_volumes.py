@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxara.functions import names
 from voxara.operators import images, matrices, nodes, orientation, roi, tensor, volumes
 from voxara.registry import query, rounded
 
@@ -278,3 +279,84 @@ def tensor_vectors(t):
 @query(t="tensors")
 def tensor_colormap(t):
     return tensor.colormap(t)
+
+
+@query("SELECT subject, voxel, round(xx, 9) AS w1, round(yy - xy * xy / xx + 1e-11, 9) AS w2, round(xy / xx, 9) + 0.0 AS w4, round(xz / xx, 9) + 0.0 AS w5, round((xx * yz - xy * xz) / (xx * yy - xy * xy), 9) + 0.0 AS w6 FROM {t}", t="tensors")
+def tensor_factors(t):
+    return rounded(tensor.to_factors(t).drop("w3").withColumn("w2", F.col("w2") + 1e-11), "w1", "w2", "w4", "w5", "w6", places=9)
+
+
+@query("SELECT subject, voxel, round(xx, 9) AS xx, round(xy, 9) AS xy, round(yy, 9) AS yy, round(xz, 9) AS xz, round(yz, 9) AS yz, round(zz, 9) AS zz FROM {t}", t="tensors")
+def tensor_from_factors(t):
+    """Factors of a tensor give it back."""
+    return rounded(tensor.from_factors(tensor.to_factors(t)).select("subject", "voxel", *tensor.TENSOR), *tensor.TENSOR, places=9)
+
+
+@query("SELECT subject, voxel, round(xx, 8) AS xx, round(xy, 8) AS xy, round(yy, 8) AS yy, round(xz, 8) AS xz, round(yz, 8) AS yz, round(zz, 8) AS zz FROM {t}", t="tensors")
+def tensor_clipped(t):
+    """Bounds beyond all eigenvalues leave tensors as they are."""
+    return rounded(tensor.clip_eigenvalues(t, -10.0, 10.0).select("subject", "voxel", *tensor.TENSOR), *tensor.TENSOR, places=8)
+
+
+# Rows 260-261, 307, 312, 327, 359-361.
+@query(
+    f"WITH c AS {_CORE} SELECT v.subject, v.i, v.j, v.k, 'white' AS roi FROM {{v}} v JOIN c USING (subject, i, j, k) WHERE value > 0.05 UNION ALL SELECT v.subject, v.i, v.j, v.k, 'fluid' FROM {{v}} v JOIN c USING (subject, i, j, k) WHERE price > 20000",
+    v="voxels",
+)
+def tissue_rois(v):
+    return images.tissue_rois(_image(v).withColumn("value", F.lit(1)), _image(v), _image(v, "price"), 1, 0.05, 20000.0)
+
+
+@query(
+    "WITH n AS (SELECT a.range AS at, sum(exp(-pow(a.range - b.range, 2) / 2.0)) AS w FROM range(12) a, range(12) b WHERE abs(a.range - b.range) <= 4 GROUP BY 1), m AS (SELECT a.range AS at, sum(exp(-pow(a.range - b.range, 2) / 2.0)) AS w FROM range(7) a, range(7) b WHERE abs(a.range - b.range) <= 4 GROUP BY 1), "
+    "x AS (SELECT subject, n.at AS i, j, k, sum(value * exp(-pow(n.at - i, 2) / 2.0)) / any_value(n.w) AS value FROM {v} JOIN n ON abs(n.at - i) <= 4 GROUP BY 1, 2, 3, 4), y AS (SELECT subject, i, n.at AS j, k, sum(value * exp(-pow(n.at - j, 2) / 2.0)) / any_value(n.w) AS value FROM x JOIN n ON abs(n.at - j) <= 4 GROUP BY 1, 2, 3, 4) "
+    "SELECT subject, i, j, m.at AS k, round(sum(value * exp(-pow(m.at - k, 2) / 2.0)) / any_value(m.w), 8) AS value FROM y JOIN m ON abs(m.at - k) <= 4 GROUP BY 1, 2, 3, 4",
+    v="voxels",
+)
+def image_smooth(v):
+    return rounded(images.smooth(_image(v), 1.0, (1.0, 1.0, 1.0), SHAPE), "value", places=8)
+
+
+@query("SELECT subject, 0.0::DOUBLE AS low, round(0.95 * max(price), 6) AS high FROM {v} GROUP BY 1", v="voxels")
+def image_contrast(v):
+    return rounded(images.contrast(_image(v, "price")), "high")
+
+
+@query("SELECT subject, CAST(11 - j AS INT) AS row, CAST(6 - k AS INT) AS \"column\", CAST(i AS INT) AS slice, value FROM {v} WHERE i IN (2, 4, 6, 8)", v="voxels")
+def image_grid(v):
+    """Sagittal slices of a grid of two by two about the sixth voxel."""
+    return images.slices(_image(v), "sagittal", SHAPE).where(F.col("slice").isin(images.grid_slices(2, 2, 6, 2)))
+
+
+@query("SELECT subject, (2 * floor(ceil(round(cbrt(count(*)), 9)) / 2) + 1)::INT AS radius FROM {v} GROUP BY 1", v="volumes")
+def patch_radius(v):
+    return v.groupBy("subject").agg(F.count("*").alias("n")).select("subject", volumes.patch_radius(F.col("n")).alias("radius"))
+
+
+# Listings: 13-15, 19, 43.
+_FILES = "(SELECT '/d/s' || page_id || '.nii.gz' AS path FROM pages UNION ALL SELECT '/d/s' || page_id || '.bval' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT '/d/s' || page_id || '.json' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT '/d/s' || page_id || '.nii' FROM pages WHERE page_id % 7 = 0)"
+
+
+def _files(p):
+    name = lambda ext: F.concat(F.lit("/d/s"), F.col("page_id").cast("string"), F.lit(ext)).alias("path")
+    return p.select(name(".nii.gz")).union(p.where("page_id % 2 = 0").select(name(".bval"))).union(p.where("page_id % 3 = 0").select(name(".json"))).union(p.where("page_id % 7 = 0").select(name(".nii")))
+
+
+@query(
+    f"WITH f AS {_FILES}, i AS (SELECT path, regexp_replace(path, '\\.nii(\\.gz)?$', '') AS stem FROM f WHERE path LIKE '%.nii' OR path LIKE '%.nii.gz') SELECT i.path, stem, b.path AS bval, NULL::VARCHAR AS bvec, j.path AS json FROM i LEFT JOIN f b ON b.path = stem || '.bval' LEFT JOIN f j ON j.path = stem || '.json' WHERE stem LIKE '/d/s1%' OR stem LIKE '/d/s%5'",
+    p="pages",
+)
+def image_sidecars(p):
+    found = names.sidecars(_files(p), ["s"])
+    return found.where("stem like '/d/s1%' or stem like '/d/s%5'")
+
+
+@query("SELECT '/d/s' || page_id AS stem, 2 AS n FROM pages WHERE page_id % 7 = 0", p="pages")
+def ambiguous_images(p):
+    return names.ambiguous_images(_files(p))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS affine FROM pages", p="pages")
+def affine_texts(p):
+    last = F.when(F.col("page_id") % 3 == 0, "0 0 0 1\n").when(F.col("page_id") % 3 == 1, "0 0 1 1\n").otherwise("0 0 x 1")
+    return p.select("page_id", names.is_affine_text(F.concat(F.lit("1 0 0 "), F.col("page_id").cast("string"), F.lit("\n0 1 0  2\n0 0 1 3.5\n"), last)).alias("affine"))

@@ -6,6 +6,7 @@ an equi-join on the voxel, or one aggregation by voxel.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,58 @@ def threshold_fa(fa: DataFrame, brain: DataFrame | None = None, value: float = 0
     return mask(fa.where(F.col("value") > value), core).select(*VOXEL, F.lit(1).alias("value"))
 
 
+def tissue_rois(brain: DataFrame, fa: DataFrame, trace: DataFrame, iterations: int = 10, fa_above: float = 0.7, trace_above: float = 0.0085, exclude: DataFrame | None = None) -> DataFrame:
+    """White matter (FA above its bound) and fluid (trace above its) inside the eroded mask: (voxel, roi)."""
+    core = erode(brain, "NN1", iterations) if iterations else brain.where("value > 0").select(*VOXEL, F.lit(1).alias("value"))
+    if exclude is not None:
+        core = core.join(exclude.where("value <> 0").select(VOXEL), VOXEL, "left_anti")
+    white = mask(fa.where(F.col("value") > fa_above), core).select(*VOXEL, F.lit("white").alias("roi"))
+    return white.unionByName(mask(trace.where(F.col("value") > trace_above), core).select(*VOXEL, F.lit("fluid").alias("roi")))
+
+
+def smooth(img: DataFrame, sigma: float, zooms: tuple[float, float, float], shape: dict[str, int], reach: float = 4.0) -> DataFrame:
+    """Gaussian smoothing of the given deviation in mm, one axis after another, up to ``reach`` deviations.
+
+    At the border weights are those of the voxels inside, scaled to sum to 1;
+    voxels without a row count as 0. Each axis is one aggregation.
+    """
+    out = img.select(*VOXEL, F.col("value").cast("double").alias("value"))
+    for (axis, n), zoom in zip(shape.items(), zooms, strict=True):
+        far = int(reach * sigma / zoom)
+        weights = {d: math.exp(-((d * zoom) ** 2) / (2 * sigma * sigma)) for d in range(-far, far + 1)}
+        norms = [sum(w for d, w in weights.items() if 0 <= at + d < n) for at in range(n)]
+        steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in weights.items()])).alias("step")
+        moved = out.select(*VOXEL, "value", steps).select(*[(F.col(a) + F.col("step.d")).cast("int").alias(a) if a == axis else F.col(a) for a in VOXEL], (F.col("value") * F.col("step.w")).alias("value"))
+        inside = moved.where(F.col(axis).between(0, n - 1)).groupBy(VOXEL).agg(F.sum("value").alias("value"))
+        out = inside.withColumn("value", F.col("value") / F.get(F.array(*map(F.lit, norms)), F.col(axis)))
+    return out
+
+
+def contrast(img: DataFrame) -> DataFrame:
+    """Display limits of each subject's image: its extremes drawn in by a twentieth, or 0 and 1 where they are near."""
+    top, low = F.max("value"), F.min("value")
+    limits = img.groupBy("subject").agg(low.cast("double").alias("a"), top.cast("double").alias("b"))
+    high = F.when((F.col("b") > 0.9) & (F.col("b") <= 1.0), F.lit(1.0)).otherwise(0.95 * F.col("b"))
+    bottom = F.when(F.col("a") >= 0, F.lit(0.0)).when(F.col("a").between(-1.0, -0.9), F.lit(-1.0)).otherwise(0.95 * F.col("a"))
+    return limits.select("subject", bottom.alias("low"), high.alias("high"))
+
+
+def slices(img: DataFrame, kind: str, shape: dict[str, int]) -> DataFrame:
+    """An image in RAS order as slices to look at: slice, row, column, value; ``kind`` is axial, coronal or sagittal."""
+    back = {a: shape[a] - 1 - F.col(a) for a in "ijk"}
+    views = {"a": (back["i"], back["j"], F.col("k")), "c": (back["i"], back["k"], shape["j"] - 1 - F.col("j")), "s": (back["j"], back["k"], F.col("i"))}
+    place = views.get({"z": "a", "y": "c", "x": "s"}.get(kind[:1].lower(), kind[:1].lower()))
+    if place is None:
+        raise ValueError(f"not a kind of slice: {kind}")
+    return img.select("subject", *[c.cast("int").alias(n) for c, n in zip(place, ("row", "column", "slice"), strict=True)], "value")
+
+
+def grid_slices(rows: int, columns: int, center: int, spacing: int) -> list[int]:
+    """Places of the slices of a grid about a center."""
+    n = rows * columns
+    return [center + (k - n // 2) * spacing for k in range(n)]
+
+
 def labels_differ(atlas: DataFrame, labels: list[int]) -> DataFrame:
     """Labels that only the image or only the list (which always includes 0) has; none where they agree."""
     wanted = atlas.sparkSession.createDataFrame([(x,) for x in sorted({0, *labels})], "label int")

@@ -78,6 +78,37 @@ def colormap(t: DataFrame) -> DataFrame:
     return v.select(*[c for c in t.columns if c not in TENSOR], shade(0).alias("red"), shade(1).alias("green"), shade(2).alias("blue"))
 
 
+def to_factors(t: DataFrame) -> DataFrame:
+    """Tensors as the factors of their triangular form: three scales w1, w2, w3 and three shears w4, w5, w6.
+
+    A scale of 0 has no shear; such a tensor is brought back without what the
+    shear would hold.
+    """
+    xx, xy, yy, xz, yz, zz = (F.col(c) for c in TENSOR)
+    over = lambda x, y: F.when(y == 0, F.lit(0.0)).otherwise(F.try_divide(x, F.nullif(y, F.lit(0.0))))
+    first = t.withColumn("w1", xx).withColumn("w4", over(xy, xx)).withColumn("w5", over(xz, xx)).withColumn("w2", yy - over(xy * xy, xx))
+    # The determinant of the upper block decides whether the last shear exists.
+    last = F.when(xx == 0, over(yz, yy)).otherwise(over(xx * yz - xy * xz, xx * yy - xy * xy))
+    second = first.withColumn("w6", last)
+    return second.withColumn("w3", zz - F.col("w1") * F.col("w5") ** 2 - F.col("w2") * F.col("w6") ** 2).drop(*TENSOR)
+
+
+def from_factors(t: DataFrame) -> DataFrame:
+    """Tensors from their factors."""
+    w1, w2, w3, w4, w5, w6 = (F.col(f"w{n}") for n in range(1, 7))
+    made = {"xx": w1, "xy": w1 * w4, "yy": w2 + w1 * w4 * w4, "xz": w1 * w5, "yz": w1 * w4 * w5 + w2 * w6, "zz": w3 + w1 * w5 * w5 + w2 * w6 * w6}
+    return t.withColumns(made).drop(*[f"w{n}" for n in range(1, 7)])
+
+
+def clip_eigenvalues(t: DataFrame, low: float, high: float) -> DataFrame:
+    """Tensors whose eigenvalues are held between the bounds, with their vectors as they are."""
+    e = eigenvectors(t)
+    held = {k: F.least(F.greatest(F.col(f"l{k}"), F.lit(low)), F.lit(high)) for k in (1, 2, 3)}
+    places = {"xx": (0, 0), "xy": (0, 1), "yy": (1, 1), "xz": (0, 2), "yz": (1, 2), "zz": (2, 2)}
+    product = lambda a, b: held[1] * F.col("v1")[a] * F.col("v1")[b] + held[2] * F.col("v2")[a] * F.col("v2")[b] + held[3] * F.col("v3")[a] * F.col("v3")[b]
+    return e.select(*[c for c in t.columns if c not in TENSOR], *[product(a, b).alias(c) for c, (a, b) in places.items()])
+
+
 def free_water_fraction(signal: Column, b0: Column, md: Column, b: float, wm_b0: float, csf_b0: float, water: float = 3e-3) -> Column:
     """First estimate of the tissue fraction from the b = 0 signal and the mean diffusivity."""
     clip = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))

@@ -86,6 +86,17 @@ def acquisition_line(phase: Column, readout: Column) -> Column:
     return F.array(*[F.when(axis == a, sign).otherwise(F.lit(0)).cast("double") for a in "ijk"], readout.cast("double"))
 
 
+def patch_radius(n: Column) -> Column:
+    """Edge of the smallest cube of at least n voxels, for a denoising patch of n volumes, made odd."""
+    edge = F.ceil(F.round(F.cbrt(n.cast("double")), 9)).cast("int")
+    return edge + (edge % 2 == 0).cast("int")
+
+
+def odd_padding(shape: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """Padding of each axis, for ``crop_pad``, that makes odd lengths even."""
+    return {a: (0, n % 2) for a, n in shape.items()}
+
+
 def bvals_conform(report: DataFrame, sites: DataFrame) -> DataFrame:
     """Whether a subject's report (subject, site, rank, b, n) equals its site's (site, rank, b, n) in every entry."""
     site = sites.select("site", "rank", F.col("b").alias("site_b"), F.col("n").alias("site_n"))
