@@ -209,6 +209,6 @@ def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
     scores = model.transform(packed).select("subject", "batch", F.posexplode(vector_to_array("scores")).alias("feature", "y"))
     again = combat(scores.where(F.col("feature") < kept), eb=False).unionByName(scores.where(F.col("feature") >= kept).select("subject", "feature", "batch", "y"))
     table = data.sparkSession.createDataFrame([(k, f, float(axes[n, k])) for k in range(len(features)) for n, f in enumerate(features)], "k int, feature string, axis double")
-    back = again.withColumnRenamed("feature", "k").join(F.broadcast(table), "k").groupBy("subject", "batch", "feature").agg(F.sum(F.col("y") * F.col("axis")).alias("z"))
+    back = again.withColumnRenamed("feature", "k").join(table, "k").groupBy("subject", "batch", "feature").agg(F.sum(F.col("y") * F.col("axis")).alias("z"))
     given = z.join(means.withColumnRenamed("z", "mean"), ["subject", "batch", "feature"]).select("subject", "batch", "feature", "m", "s", (F.col("z") - F.col("mean")).alias("off"))
     return given.join(back, ["subject", "batch", "feature"]).select("subject", "feature", "batch", ((F.col("z") + F.col("off")) * F.col("s") + F.col("m")).alias("y"))

@@ -144,7 +144,7 @@ def systems(m: DataFrame, membership: DataFrame) -> DataFrame:
     """Mean weight within (strict upper triangle) and between systems; a node may be in several."""
     a = membership.select(F.col("node").alias("i"), F.col("system").alias("sa"))
     b = membership.select(F.col("node").alias("j"), F.col("system").alias("sb"))
-    both = m.join(F.broadcast(a), "i").join(F.broadcast(b), "j").where("sa < sb or (sa = sb and i < j)")
+    both = m.join(a, "i").join(b, "j").where("sa < sb or (sa = sb and i < j)")
     return both.groupBy("subject", "sa", "sb").agg(F.avg("w").alias("w"))
 
 

@@ -83,16 +83,16 @@ def two_covariates(data: DataFrame, x1: str, x2: str) -> DataFrame:
 def residuals(data: DataFrame, x: str) -> DataFrame:
     """y without its linear part in x, per feature."""
     fit = simple_ols(data, x).select("feature", "intercept", "slope")
-    return data.join(F.broadcast(fit), "feature").select("subject", "feature", (F.col("y") - F.col("intercept") - F.col("slope") * F.col(x)).alias("y"))
+    return data.join(fit, "feature").select("subject", "feature", (F.col("y") - F.col("intercept") - F.col("slope") * F.col(x)).alias("y"))
 
 
 def zscores(data: DataFrame, x: str, subset: DataFrame) -> DataFrame:
     """Residuals of a fit on the subset, for all, scaled by the subset's mean and population deviation."""
     inside = data.join(subset.select("subject").distinct(), "subject", "left_semi")
     fit = simple_ols(inside, x).select("feature", "intercept", "slope")
-    left = data.join(F.broadcast(fit), "feature").select("subject", "feature", (F.col("y") - F.col("intercept") - F.col("slope") * F.col(x)).alias("r"))
+    left = data.join(fit, "feature").select("subject", "feature", (F.col("y") - F.col("intercept") - F.col("slope") * F.col(x)).alias("r"))
     scale = left.join(subset.select("subject").distinct(), "subject", "left_semi").groupBy("feature").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
-    return left.join(F.broadcast(scale), "feature").select("subject", "feature", F.try_divide(F.col("r") - F.col("m"), F.col("s")).alias("z"))
+    return left.join(scale, "feature").select("subject", "feature", F.try_divide(F.col("r") - F.col("m"), F.col("s")).alias("z"))
 
 
 def pearson(data: DataFrame, x: str) -> DataFrame:
