@@ -108,16 +108,7 @@ def _crossings(keyed: DataFrame, order: int, buckets: int) -> DataFrame:
 def _totals(rows: DataFrame, buckets: int) -> np.ndarray:
     """Sum of n over the features of each bucket: one row a bucket comes to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
-        for b in batches:
-            column = b.column("buckets")
-            lengths = np.diff(column.offsets.to_numpy())
-            np.add.at(total, column.flatten().to_numpy(), np.repeat(b.column("n").to_numpy(), lengths))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    summed = rows.select("n", "buckets").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.select("n", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(buckets, np.int64)
     total[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     return total
