@@ -128,16 +128,6 @@ def test_tensor_fit_and_free_water(spark):
     assert r.free_water == pytest.approx(0.3, abs=1e-3)
 
 
-def test_denoise_keeps_rank_one(spark):
-    rng = np.random.default_rng(4)
-    clean = np.ones((4, 4, 3, 1)) * np.linspace(1, 2, 12)
-    noisy = clean + rng.normal(size=clean.shape) * 0.05
-    df = spark.createDataFrame([(0, 0, list(noisy.shape), noisy.ravel().tolist(), [0, 2])], "subject long, slab int, shape array<int>, values array<double>, keep array<int>")
-    r = kernels.patch_denoise(df).first()
-    out = np.array(r["values"]).reshape(r["shape"])
-    assert np.abs(out - clean).mean() < np.abs(noisy - clean).mean()
-
-
 def test_image_files(spark, tmp_path):
     rng = np.random.default_rng(5)
     v = rng.integers(0, 3, (4, 5, 6)).astype(np.int16)

@@ -39,6 +39,91 @@ def fit_tensors(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], we
     return dwi.select("subject", "voxel", "signal").mapInArrow(run, "subject long, voxel long, " + ", ".join(f"{n} double" for n in names))
 
 
+def _descended(x: np.ndarray, s: np.ndarray, w: np.ndarray, beta: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weighted least squares of exp(x beta) against the signals, all voxels at once: damped steps, each voxel with its own damping until it settles."""
+    beta, damp = beta.copy(), np.full(len(s), 1e-3)
+    cost = (w * (s - np.exp(beta @ x.T)) ** 2).sum(1)
+    open_ = np.arange(len(s))
+    for _ in range(rounds):
+        if not len(open_):
+            break
+        fit = np.exp(beta[open_] @ x.T)
+        pull = np.einsum("vn,np->vp", w[open_] * fit * (s[open_] - fit), x)
+        curve = np.einsum("vn,np,nq->vpq", w[open_] * fit * fit, x, x)
+        spine = np.einsum("vpp->vp", curve)
+        held = curve + damp[open_][:, None, None] * np.einsum("vp,pq->vpq", np.maximum(spine, 1e-12 * spine.max(1, keepdims=True) + 1e-300), np.eye(x.shape[1]))
+        step = np.linalg.solve(held, pull[..., None])[..., 0]
+        tried = beta[open_] + step
+        new = (w[open_] * (s[open_] - np.exp(np.clip(tried @ x.T, -700, 700))) ** 2).sum(1)
+        better = new <= cost[open_]
+        settled = better & (cost[open_] - new <= 1e-12 * cost[open_]) | (damp[open_] > 1e12)
+        beta[open_[better]] = tried[better]
+        cost[open_[better]] = new[better]
+        damp[open_] = np.where(better, np.maximum(damp[open_] / 10, 1e-12), damp[open_] * 10)
+        open_ = open_[~settled]
+    return beta
+
+
+def robust_fits(x: np.ndarray, s: np.ndarray, sigma: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Fits of the signals that leave outliers out, and which signals those are.
+
+    A voxel with no residual beyond three deviations keeps its first fit. The
+    others are fitted with Geman-McClure weights, from their residuals' median
+    deviation, until they settle; what is then beyond three deviations goes, and
+    the rest is fitted with equal weights.
+    """
+    log = np.log(np.maximum(s, 1e-6))
+    start = log @ np.linalg.pinv(x).T
+    beta = _descended(x, s, np.ones_like(s), start)
+    gap = s - np.exp(beta @ x.T)
+    out = np.zeros(s.shape, bool)
+    odd = np.flatnonzero((np.abs(gap) > 3 * sigma[:, None]).any(1))
+    active = odd
+    for _ in range(rounds):
+        if not len(active):
+            break
+        r = s[active] - np.exp(beta[active] @ x.T)
+        spread = 1.4826 * np.median(np.abs(r - np.median(r, axis=1, keepdims=True)), axis=1)
+        w = 1 / (np.maximum(spread, 1e-6 * np.abs(s[active]).max(1) + 1e-300)[:, None] ** 2 + r * r)
+        new = _descended(x, s[active], w / w.max(1, keepdims=True), beta[active])
+        still = np.abs(new - beta[active]).max(1) > 1e-8 * np.abs(beta[active]).max(1)
+        beta[active] = new
+        active = active[still]
+    if len(odd):
+        out[odd] = np.abs(s[odd] - np.exp(beta[odd] @ x.T)) > 3 * sigma[odd][:, None]
+        few = (~out[odd]).sum(1) < x.shape[1]  # too few left to fit
+        out[odd[few]] = False
+        beta[odd] = _descended(x, s[odd], (~out[odd]).astype(float), beta[odd])
+    return beta, out
+
+
+def fit_tensors_nonlinear(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], sigma: float | None = None) -> DataFrame:
+    """Tensor of each voxel (subject, voxel, signal array) by least squares on the signal itself; robust against outliers where ``sigma`` is given.
+
+    ``sigma`` is the deviation of the noise; a column ``sigma`` of ``dwi``, where
+    there is one, holds a voxel's own. Signals that are null or not finite count
+    as outliers. Returns subject, voxel, xx to zz, s0, outliers.
+    """
+    x = design_matrix(np.array(bvals, float), np.array(bvecs, float))
+    scale = np.r_[np.full(6, 1e-3), 1.0]  # diffusivities as large as the log of the signal
+    own = "sigma" in dwi.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = _matrix(b, "signal")
+            s = np.where(np.isfinite(s), s, 0)
+            if own or sigma is not None:
+                level = b.column("sigma").to_numpy(zero_copy_only=False).astype(float) if own else np.full(len(s), float(sigma))
+                beta, out = robust_fits(x * scale, s, level)
+            else:
+                beta, out = _descended(x * scale, s, np.ones_like(s), np.log(np.maximum(s, 1e-6)) @ np.linalg.pinv(x * scale).T), np.zeros(s.shape, bool)
+            beta = beta * scale
+            yield pa.RecordBatch.from_arrays([b.column("subject"), b.column("voxel"), *[pa.array(beta[:, k]) for k in range(6)], pa.array(np.exp(beta[:, 6])), pa.array(out.sum(1).astype(np.int32))], names=["subject", "voxel", "xx", "xy", "yy", "xz", "yz", "zz", "s0", "outliers"])
+
+    columns = ["subject", "voxel", "signal", *(["sigma"] if own else [])]
+    return dwi.select(*columns).mapInArrow(run, "subject long, voxel long, xx double, xy double, yy double, xz double, yz double, zz double, s0 double, outliers int")
+
+
 def free_water(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], steps: int = 50, weight: float = 100.0, step_size: float = 1e-7, water: float = 3e-3, low: float = 1e-4, high: float = 2.5e-3) -> DataFrame:
     """Descent on the two-compartment model from (subject, voxel, signal / b0, fraction, tensor array).
 
@@ -68,36 +153,3 @@ def free_water(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]], ste
             yield pa.RecordBatch.from_arrays([b.column("subject"), b.column("voxel"), pa.array(1 - f), *[pa.array(t[:, k]) for k in range(6)]], names=["subject", "voxel", "free_water", "xx", "xy", "yy", "xz", "yz", "zz"])
 
     return dwi.select("subject", "voxel", "signal", "fraction", "tensor").mapInArrow(run, "subject long, voxel long, free_water double, xx double, xy double, yy double, xz double, yz double, zz double")
-
-
-def patch_denoise(slabs: DataFrame, radius: int = 1) -> DataFrame:
-    """Local principal components below the Marchenko-Pastur edge go.
-
-    ``slabs`` has a row per slab with its halo: subject, slab, shape, values
-    (flattened i, j, k, t) and keep (first and last k that belong to the slab).
-    A slab is bounded by its size; slabs are independent.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                v = np.array(r["values"], float).reshape(r["shape"])
-                out = v.copy()
-                n_t = v.shape[3]
-                for i in range(v.shape[0]):
-                    for j in range(v.shape[1]):
-                        for k in range(r["keep"][0], r["keep"][1] + 1):
-                            sl = tuple(slice(max(0, c - radius), c + radius + 1) for c in (i, j, k))
-                            p = v[sl].reshape(-1, n_t)
-                            mean = p.mean(0)
-                            u, s, w = np.linalg.svd(p - mean, full_matrices=False)
-                            m = min(p.shape)
-                            lam = s**2 / max(p.shape)
-                            noise = next((c for c in range(m) if lam[c:].mean() * 4 * np.sqrt((m - c) / max(p.shape)) >= lam[c] - lam[-1]), m)
-                            s[noise:] = 0
-                            at = np.ravel_multi_index([c - x.start for c, x in zip((i, j, k), sl, strict=True)], v[sl].shape[:3])
-                            out[i, j, k] = (u[at] * s) @ w + mean
-                kept = out[:, :, r["keep"][0] : r["keep"][1] + 1]
-                yield pa.RecordBatch.from_arrays([pa.array([r["subject"]], pa.int64()), pa.array([r["slab"]], pa.int32()), pa.array([list(kept.shape)], pa.list_(pa.int32())), pa.array([kept.ravel().tolist()], pa.list_(pa.float64()))], names=["subject", "slab", "shape", "values"])
-
-    return slabs.select("subject", "slab", "shape", "values", "keep").mapInArrow(run, "subject long, slab int, shape array<int>, values array<double>")
