@@ -234,8 +234,12 @@ def shortest_paths(m: DataFrame, n: int, weighted: bool = True) -> DataFrame:
     return m.groupBy("subject").applyInPandas(measure, _PATHS)
 
 
-def communities(m: DataFrame, n: int, restarts: int = 10) -> DataFrame:
-    """Modules of each subject's positive weights: nodes move to the neighbour module of most gain, modules merge, best of seeded restarts."""
+def communities(m: DataFrame, n: int, restarts: int = 100) -> DataFrame:
+    """Modules of each subject's positive weights: nodes move to the neighbour module of most gain, modules merge, best of seeded restarts.
+
+    One subject's matrix is the unit of work; all its restarts go together, a
+    step for the next node of each.
+    """
     import numpy as np
     import pandas as pd
 
@@ -244,33 +248,36 @@ def communities(m: DataFrame, n: int, restarts: int = 10) -> DataFrame:
         held = edges[(edges.w > 0) & (edges.i != edges.j)]
         w[held.i, held.j] = held.w
         total = w.sum()
-        best, best_q = np.arange(n), -1.0
-        for seed in range(restarts if total else 0):
-            rng = np.random.default_rng(seed)
-            label, level = np.arange(n), w
-            while True:
-                size = len(level)
-                own, k = np.arange(size), level.sum(1)
-                moved = True
-                while moved:
-                    moved = False
-                    for v in rng.permutation(size):
-                        others = np.arange(size) != v
-                        link = np.bincount(own[others], level[v, others], size)
-                        mass = np.bincount(own[others], k[others], size)
-                        gain = link - k[v] * mass / total
-                        to = int(gain.argmax())
-                        if gain[to] > gain[own[v]] + 1e-12:
-                            own[v], moved = to, True
-                _, own = np.unique(own, return_inverse=True)
-                label = own[label]
-                if own.max() + 1 == size:
-                    break
-                member = np.eye(own.max() + 1)[own]
-                level = member.T @ level @ member
-            q = np.trace(level) / total - (level.sum(1) ** 2).sum() / total**2
-            if q > best_q + 1e-12:
-                best, best_q = label, q
-        return pd.DataFrame({"subject": key[0], "node": np.arange(n), "module": best, "modularity": best_q})
+        if not total:
+            return pd.DataFrame({"subject": key[0], "node": np.arange(n), "module": np.arange(n), "modularity": -1.0})
+        rng, rows = np.random.default_rng(0), np.arange(restarts)
+        level, label = np.broadcast_to(w, (restarts, n, n)), np.broadcast_to(np.arange(n), (restarts, n))
+        while True:
+            k = level.sum(2)
+            own, mass, moved = np.broadcast_to(np.arange(n), (restarts, n)).copy(), k.copy(), True
+            while moved:
+                moved = False
+                turns = rng.permuted(np.broadcast_to(np.arange(n), (restarts, n)), axis=1)
+                for v in turns.T:
+                    mine, heavy = own[rows, v], k[rows, v]
+                    link = np.bincount((rows[:, None] * n + own).ravel(), level[rows, v].ravel(), restarts * n).reshape(restarts, n)
+                    link[rows, mine] -= level[rows, v, v]
+                    mass[rows, mine] -= heavy
+                    gain = link - heavy[:, None] * mass / total
+                    to = gain.argmax(1)
+                    to = np.where(gain[rows, to] > gain[rows, mine] + 1e-12, to, mine)
+                    moved |= bool((to != mine).any())
+                    own[rows, v] = to
+                    mass[rows, to] += heavy
+            # Modules become nodes; emptied ones stay as nodes without weight.
+            label = own[rows[:, None], label]
+            if (own == np.arange(n)).all():
+                break
+            member = np.zeros((restarts, n, n))
+            member[rows[:, None], np.arange(n), own] = 1
+            level = member.transpose(0, 2, 1) @ level @ member
+        q = np.trace(level, axis1=1, axis2=2) / total - (level.sum(2) ** 2).sum(1) / total**2
+        best = int(np.argmax(q > q.max() - 1e-12))
+        return pd.DataFrame({"subject": key[0], "node": np.arange(n), "module": np.unique(label[best], return_inverse=True)[1], "modularity": q[best]})
 
     return m.groupBy("subject").applyInPandas(search, "subject long, node int, module int, modularity double")

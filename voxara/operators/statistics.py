@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,6 +129,83 @@ def mann_whitney(data: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("feature", "na", "nb", "u", (1 - F.try_divide(2 * F.col("u"), na * nb)).alias("effect"), F.least(F.lit(1.0), normal_two_sided(F.greatest(z, F.lit(0.0)))).alias("p"))
 
 
+def _exact_upper(na: int, nb: int) -> np.ndarray:
+    """P(U >= u) for every u, from the numbers of orders with each U; whole numbers, exact up to 2^53."""
+    small, large = sorted((na, nb))
+    counts = np.zeros(small * large + 1)
+    counts[0] = 1
+    for k in range(1, small + 1):  # from k - 1 of the smaller group to k of them
+        for start in range(k):
+            counts[start::k] = np.cumsum(counts[start::k])
+        gone = counts[: len(counts) - large - k].copy()
+        counts[large + k :] -= gone
+    return np.cumsum(counts[::-1])[::-1] / counts.sum()
+
+
+def exact_u(tests: DataFrame) -> DataFrame:
+    """Adds ``p_exact`` to (na, nb, u) of tests without ties: twice the upper tail, 1 at most.
+
+    The distribution is made once for each pair of group sizes in a batch; only
+    the distinct (na, nb, u) go through it.
+    """
+
+    def run(batches):
+        for b in batches:
+            na, nb, u = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb", "u"))
+            p = np.empty(len(u))
+            for x, y in {*zip(na.tolist(), nb.tolist(), strict=True)}:
+                at = (na == x) & (nb == y)
+                p[at] = np.minimum(1, 2 * _exact_upper(x, y)[np.maximum(u[at], x * y - u[at])])
+            yield pa.RecordBatch.from_arrays([b.column("na"), b.column("nb"), b.column("u"), pa.array(p)], names=["na", "nb", "u", "p_exact"])
+
+    keys = [F.col(c).cast("double").alias(c) for c in ("na", "nb", "u")]
+    table = tests.select(*keys).distinct().mapInArrow(run, "na double, nb double, u double, p_exact double")
+    return tests.join(table, ["na", "nb", "u"])
+
+
+#: Groups of so many at most, without ties, have exact probabilities.
+EXACT_GROUP = 8
+
+
+def mann_whitney_full(data: DataFrame, a: str, b: str, level: float = 0.05) -> DataFrame:
+    """Mann-Whitney tests of every feature with exact p where a group is small and nothing ties, and q.
+
+    Returns feature, na, nb, u, effect, p, q, and the effect where p or q is not
+    above the level, else 0 (effect_trend, effect_fdr).
+    """
+    ties = data.where(F.col("group").isin(a, b) & F.col("y").isNotNull()).groupBy("feature").agg((F.count("*") > F.countDistinct("y")).alias("tied"))
+    rough = mann_whitney(data, a, b).join(ties, "feature")
+    small = ~F.col("tied") & (F.least("na", "nb") <= EXACT_GROUP) & (F.least("na", "nb") > 0)
+    exact = exact_u(rough.where(small)).withColumn("p", F.col("p_exact")).select(*rough.columns)
+    return with_q(rough.where(~small).unionByName(exact).drop("tied"), "effect", level)
+
+
+def with_q(tests: DataFrame, effect: str, level: float = 0.05) -> DataFrame:
+    """Adds q, and the effect where p or q is at most the level, else 0; a test without p has q 1."""
+    corrected = false_discovery(tests).drop("q_bonferroni", "q_holm").withColumnRenamed("q_bh", "q")
+    kept = lambda c: F.when(F.coalesce(F.col(c), F.lit(1.0)) <= level, F.col(effect)).otherwise(0.0)
+    return corrected.withColumn(f"{effect}_trend", kept("p")).withColumn(f"{effect}_fdr", kept("q"))
+
+
+#: Critical values of A-squared with estimated mean and deviation, and their levels.
+NORMAL_CRITICAL = ((0.576, 0.15), (0.656, 0.10), (0.787, 0.05), (0.918, 0.025), (1.092, 0.01))
+
+
+def normality(data: DataFrame) -> DataFrame:
+    """A-squared of every feature with the smallest level whose critical value it reaches as p, else 1.
+
+    Critical values are adjusted to the number of values and rounded to three
+    digits. ``log_p`` is -log10 p where p is below 0.05, else 0.
+    """
+    n = data.where("y is not null").groupBy("feature").agg(F.count("*").cast("double").alias("n"))
+    p = F.lit(1.0)
+    for critical, level in NORMAL_CRITICAL:
+        reached = F.col("a2") >= F.round(critical / (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))), 3)
+        p = F.when(reached, F.lit(level)).otherwise(p)
+    out = anderson_darling(data).join(n, "feature").select("feature", "n", "a2", p.alias("p"))
+    return out.withColumn("log_p", F.when(F.col("p") < 0.05, -F.log10("p")).otherwise(0.0))
+
+
 def pooled_t(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Pooled t of ln(y + 1) between two groups per feature, and d = 2 t / sqrt(n - 1)."""
     y = F.log1p("y")

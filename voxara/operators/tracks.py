@@ -70,6 +70,33 @@ def thin(points: DataFrame, percent: float) -> DataFrame:
     return points.join(ranked.where(F.col("place") * 100 < percent), ["subject", "streamline"], "left_semi")
 
 
+def coreset(points: DataFrame, percent: float, draws: int = 15, seed: int = 1) -> DataFrame:
+    """Of ``draws`` weighted draws of ``percent`` of each subject's streamlines, the one that visits the fewest voxels.
+
+    A streamline weighs as the mean inverse density of its points' voxels. A
+    draw without replacement takes the smallest of -ln(u) / weight, with u made
+    from seed, draw and streamline. Of equal draws the last holds. Returns
+    subject, draw, streamline, weight and covered, the share of the subject's
+    voxels that the draw visits.
+    """
+    dense = density(points)
+    at = _voxel(points)
+    weight = at.join(dense, ["subject", "i", "j", "k"]).groupBy("subject", "streamline").agg(F.avg(1.0 / F.col("n")).alias("weight"))
+    whole = W.partitionBy("subject")
+    shares = weight.withColumn("weight", F.col("weight") / F.sum("weight").over(whole)).withColumn("m", F.floor(F.count("*").over(whole) * percent / 100))
+    tried = shares.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("subject").cast("string"), F.col("streamline").cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    place = F.row_number().over(W.partitionBy("subject", "draw").orderBy(-F.log(u) / F.col("weight"), "streamline"))
+    drawn = tried.withColumn("place", place).where(F.col("place") <= F.col("m")).select("subject", "draw", "streamline", "weight")
+    visited = at.select("subject", "streamline", "i", "j", "k").distinct()
+    seen = visited.join(drawn, ["subject", "streamline"]).groupBy("subject", "draw").agg(F.countDistinct("i", "j", "k").alias("seen"))
+    every = dense.groupBy("subject").agg(F.count("*").alias("voxels"))
+    best = seen.join(every, "subject").select("subject", "draw", (F.col("seen") / F.col("voxels")).alias("covered"), F.struct("seen", (-F.col("draw")).alias("late")).alias("key"))
+    chosen = best.groupBy("subject").agg(F.min_by("draw", "key").alias("draw"), F.min_by("covered", "key").alias("covered"))
+    return drawn.join(chosen, ["subject", "draw"]).select("subject", "draw", "streamline", "weight", "covered")
+
+
 def curvature(angle: Column, step: Column) -> Column:
     return step / (2 * F.sin(angle / 2))
 
