@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxara.lineage import shared_folder
 from voxara.operators import denoise, fernet, kernels, slabs, tensor
 from voxara.registry import query, rounded
+from voxara.sources import images, nifti, tracks
 
 #: The grid of the stand-in series.
 GRID = {"i": 6, "j": 6, "k": 5, "t": 4}
@@ -126,3 +130,33 @@ def free_water_maps(f):
     dwi = f.select("subject", "i", "j", "k", F.posexplode(F.array(*[F.expr(_signal(t)) for t in range(len(BVALS))])).alias("t", "value"))
     brain = f.select("subject", "i", "j", "k", F.lit(1).alias("value"))
     return fernet.run_fernet(dwi, brain, BVALS, BVECS, erode=0, fa_above=0.3, trace_above=0.002)
+
+
+# Files: 1-7, 22, 30-33, 67-68, 322. Written to the shared folder and read back.
+@query("SELECT CAST(subject AS VARCHAR) AS subject, i, j, k, t, value, 1000.0 * t AS b, CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END AS bx, CASE WHEN t = 2 THEN 1.0 ELSE 0.0 END AS by, CASE WHEN t = 3 THEN 1.0 ELSE 0.0 END AS bz FROM {s} WHERE value <> 0", s="series")
+def series_files(s):
+    """Every series with gradients as image, bval and bvec files, and as one table again."""
+    along = lambda n: F.when(F.col("t") == n, 1.0).otherwise(0.0)
+    dwi = s.select("*", (F.col("t") * 1000.0).alias("b"), along(1).alias("bx"), along(2).alias("by"), along(3).alias("bz"))
+    folder = f"{shared_folder(s.sparkSession)}/series-{uuid.uuid4().hex}"
+    nifti.write_dwi(dwi, folder, (6, 6, 5, 4), dtype="f8").count()
+    return nifti.read_dwi(s.sparkSession, folder)
+
+
+@query("SELECT CAST(subject AS VARCHAR) AS subject, 6 AS i, 6 AS j, 5 AS k, 4 AS t, false AS tensor, 'f4' AS dtype FROM {s} GROUP BY subject", s="series")
+def series_headers(s):
+    """Headers of every series, written in single precision."""
+    folder = f"{shared_folder(s.sparkSession)}/series-{uuid.uuid4().hex}"
+    images.write_images(s, folder, (6, 6, 5, 4)).count()
+    nifti.register(s.sparkSession)
+    heads = s.sparkSession.read.format("nifti").option("path", folder).option("headers", "true").load()
+    return heads.select(nifti.subject_of().alias("subject"), *[F.col("shape")[n].alias(a) for n, a in enumerate("ijkt")], images.is_tensor(F.col("intent"), F.col("shape")).alias("tensor"), "dtype")
+
+
+@query("SELECT CAST(subject AS VARCHAR) AS subject, CAST(dense_rank() OVER (PARTITION BY subject ORDER BY streamline) - 1 AS BIGINT) AS streamline, CAST(row_number() OVER (PARTITION BY subject, streamline ORDER BY seq) - 1 AS BIGINT) AS seq, round(x, 3) + 0.0 AS x, y, round(z, 3) + 0.0 AS z FROM {p}", p="points")
+def track_files(p):
+    """Every subject's streamlines as a trk file, and as points again."""
+    folder = f"{shared_folder(p.sparkSession)}/tracks-{uuid.uuid4().hex}"
+    tracks.write_tracks(p, folder).count()
+    back = tracks.read_points(p.sparkSession, folder)
+    return rounded(back.select(F.regexp_extract("path", r"([^/]*)\.trk$", 1).alias("subject"), "streamline", "seq", "x", "y", "z"), "x", "z", places=3)

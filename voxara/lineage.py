@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterations."""
+"""The folder that the cluster shares, and cutting the lineage of iterations there."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table as it is written in the folder that the cluster shares (``spark.checkpoint.dir``), so that lost executors cost no rerun.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``).
 
     Only a local master (tests) may go without that setting; it gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -24,4 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             where = f"file://{own}"
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table as it is written in the shared folder, so that lost executors cost no rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

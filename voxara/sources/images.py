@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The format's data type codes.
@@ -21,10 +22,10 @@ _CODES = {v: k for k, v in TYPES.items()}
 _HEADER = 348
 
 
-def decode(raw: bytes) -> tuple[dict, np.ndarray]:
-    """Header fields and values of a NIfTI-1 file; gzip is undone, scaling applied."""
+def decode_header(raw: bytes) -> dict:
+    """Fields of a NIfTI-1 header from its first 352 bytes, or from the first part of a gzip file."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+        raw = zlib.decompressobj(31).decompress(raw, 352)
     order = "<" if len(raw) >= 4 and struct.unpack_from("<i", raw)[0] == _HEADER else ">"
     if len(raw) < _HEADER or struct.unpack_from(order + "i", raw)[0] != _HEADER or raw[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
@@ -34,10 +35,23 @@ def decode(raw: bytes) -> tuple[dict, np.ndarray]:
     zooms = struct.unpack_from(order + "8f", raw, 76)[1 : dim[0] + 1]
     offset, slope, inter = struct.unpack_from(order + "3f", raw, 108)
     affine = [*struct.unpack_from(order + "12f", raw, 280), 0.0, 0.0, 0.0, 1.0]
-    values = np.frombuffer(raw, order + TYPES[code], int(np.prod(shape)), int(offset)).astype(np.float64).reshape(shape, order="F")
-    if slope:
-        values = values * slope + inter
-    return {"shape": shape, "zooms": [float(z) for z in zooms], "affine": affine, "intent": intent, "dtype": TYPES[code]}, values
+    return {"shape": shape, "zooms": [float(z) for z in zooms], "affine": affine, "intent": intent, "dtype": TYPES[code], "order": order, "offset": int(offset), "slope": slope, "inter": inter}
+
+
+def is_tensor(intent: Column, shape: Column) -> Column:
+    """Whether an image holds tensors: the intent of symmetric matrices, five dimensions, six values."""
+    return (intent == 1005) & (F.size(shape) == 5) & (F.get(shape, F.lit(4)) == 6)
+
+
+def decode(raw: bytes) -> tuple[dict, np.ndarray]:
+    """Header fields and values of a NIfTI-1 file; gzip is undone, scaling applied."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    head = decode_header(raw[:352])
+    values = np.frombuffer(raw, head["order"] + head["dtype"], int(np.prod(head["shape"])), head["offset"]).astype(np.float64).reshape(head["shape"], order="F")
+    if head["slope"]:
+        values = values * head["slope"] + head["inter"]
+    return {k: head[k] for k in ("shape", "zooms", "affine", "intent", "dtype")}, values
 
 
 def encode(values: np.ndarray, affine: list[float] | None = None, zooms: list[float] | None = None, intent: int = 0, compress: bool = True) -> bytes:
@@ -70,9 +84,9 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    head, _ = decode(raw.as_py())
+                    head = decode_header(raw.as_py())
                     rows.append((name, True, head["shape"], head["zooms"], head["affine"], head["intent"], head["dtype"]))
-                except (ValueError, KeyError, struct.error, OSError):
+                except (ValueError, KeyError, struct.error, OSError, zlib.error):
                     rows.append((name, False, None, None, None, None, None))
             kinds = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "valid", "shape", "zooms", "affine", "intent", "dtype"])
@@ -97,19 +111,31 @@ def read_voxels(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("path", "content").mapInArrow(run, "path string, i int, j int, k int, t int, value double")
 
 
-def write_images(voxels: DataFrame, folder: str, shape: tuple[int, int, int], zooms: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """One file per subject in the folder; returns subject and path. An image is held by one task."""
+def write_images(voxels: DataFrame, folder: str, shape: tuple[int, ...], zooms: tuple[float, ...] = (1.0, 1.0, 1.0), affine: list[float] | None = None, dtype: str = "f4", intent: int = 0) -> DataFrame:
+    """One file per subject in the folder; returns subject and path. An image is held by one task.
+
+    ``voxels`` has t where the shape has four dimensions; then volumes are
+    written along the last. ``affine`` has sixteen numbers by rows. A file
+    appears under its name only when it is whole, so a task that runs again
+    leaves no half of one.
+    """
     from pyarrow import fs
 
+    axes = ["i", "j", "k", "t"][: len(shape)]
+
     def write(key, rows):
+        import uuid
+
         import pandas as pd
 
-        v = np.zeros(shape, np.float32)
-        v[rows.i, rows.j, rows.k] = rows.value
+        v = np.zeros(shape, dtype)
+        v[tuple(rows[a].to_numpy() for a in axes)] = rows.value.to_numpy()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{key[0]}.nii.gz", compression=None) as out:
-            out.write(encode(v, zooms=list(zooms)))
+        part = f"{root}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(part, compression=None) as out:
+            out.write(encode(v, affine, [*zooms, *[1.0] * (len(shape) - len(zooms))], intent))
+        store.move(part, f"{root}/{key[0]}.nii.gz")
         return pd.DataFrame({"subject": [str(key[0])], "path": [f"{folder}/{key[0]}.nii.gz"]})
 
-    return voxels.groupBy("subject").applyInPandas(write, "subject string, path string")
+    return voxels.select("subject", *axes, "value").groupBy("subject").applyInPandas(write, "subject string, path string")

@@ -42,16 +42,69 @@ def decode_trk(raw: bytes) -> list[np.ndarray]:
     return found
 
 
+def encode_trk(streamlines: list[np.ndarray], shape: tuple[int, int, int] = (1, 1, 1), zooms: tuple[float, float, float] = (1.0, 1.0, 1.0), affine: list[float] | None = None) -> bytes:
+    """A trk file of the streamlines in its own mm coordinates; ``affine`` (sixteen numbers by rows) takes voxels to the world."""
+    head = bytearray(1000)
+    head[:5] = b"TRACK"
+    struct.pack_into("<3h3f", head, 6, *shape, *zooms)
+    struct.pack_into("<16f", head, 440, *(affine or [zooms[0], 0, 0, 0, 0, zooms[1], 0, 0, 0, 0, zooms[2], 0, 0, 0, 0, 1]))
+    head[948:951] = b"RAS"
+    struct.pack_into("<3i", head, 988, len(streamlines), 2, 1000)
+    return bytes(head) + b"".join(struct.pack("<i", len(s)) + np.asarray(s, "<f4").tobytes() for s in streamlines)
+
+
+#: Points of a batch, about.
+_POINTS = 1 << 16
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """path, streamline, seq, x, y, z of all tck and trk files."""
+    """path, streamline, seq, x, y, z of all tck and trk files; many streamlines to a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 lines = (decode_tck if name.endswith(".tck") else decode_trk)(raw.as_py())
-                for s, p in enumerate(lines):
-                    n = len(p)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, s)), pa.array(np.arange(n)), *[pa.array(p[:, k]) for k in range(3)]], names=["path", "streamline", "seq", "x", "y", "z"])
+                ends = np.cumsum([len(p) for p in lines])
+                first = 0
+                while first < len(lines):
+                    begun = ends[first] - len(lines[first])
+                    last = max(first + 1, int(np.searchsorted(ends, begun + _POINTS, "right")))
+                    held = lines[first:last]
+                    p = np.concatenate(held)
+                    sizes = [len(x) for x in held]
+                    seq = np.concatenate([np.arange(n) for n in sizes])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(p)), pa.array(np.repeat(np.arange(first, last), sizes)), pa.array(seq), *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(3)]], names=["path", "streamline", "seq", "x", "y", "z"])
+                    first = last
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("path rlike '[.](tck|trk)$'").select("path", "content").mapInArrow(run, "path string, streamline long, seq long, x double, y double, z double")
+
+
+def write_tracks(points: DataFrame, folder: str, kind: str = "trk", shape: tuple[int, int, int] = (1, 1, 1), zooms: tuple[float, float, float] = (1.0, 1.0, 1.0), affine: list[float] | None = None) -> DataFrame:
+    """One tck or trk file per subject: its streamlines by number, points by seq. Returns subject, path and streamlines.
+
+    A subject's points are held by one task; a file appears under its name only
+    when it is whole.
+    """
+    from pyarrow import fs
+
+    if kind not in ("tck", "trk"):
+        raise ValueError(f"not a kind of track file: {kind}")
+
+    def write(key, rows):
+        import uuid
+
+        import pandas as pd
+
+        rows = rows.sort_values(["streamline", "seq"])
+        at = np.flatnonzero(np.diff(rows.streamline.to_numpy())) + 1
+        lines = np.split(rows[["x", "y", "z"]].to_numpy(), at)
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        part = f"{root}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(encode_tck(lines) if kind == "tck" else encode_trk(lines, shape, zooms, affine))
+        store.move(part, f"{root}/{key[0]}.{kind}")
+        return pd.DataFrame({"subject": [str(key[0])], "path": [f"{folder}/{key[0]}.{kind}"], "streamlines": [len(lines)]})
+
+    return points.select("subject", "streamline", "seq", "x", "y", "z").groupBy("subject").applyInPandas(write, "subject string, path string, streamlines long")
