@@ -175,3 +175,24 @@ def combat_missing(f):
     """A missing value stays missing, and a constant feature keeps its values."""
     y = F.when(F.col("subject") % 11 == 0, F.lit(None).cast("double")).when(F.col("feature") == "5-LOW", 7.0).otherwise(F.col("y"))
     return rounded(harmonize.combat(f.select("subject", "feature", "batch", y.alias("y")), eb=False), "y", places=3)
+
+
+_HOLED = "(SELECT subject, feature, batch, CASE WHEN subject % 11 = 0 THEN NULL WHEN feature LIKE '5%' THEN 7.0 ELSE y END AS y FROM {f})"
+
+
+@query(
+    f"WITH h AS {_HOLED}, b AS (SELECT feature, avg(y) AS m, CASE WHEN stddev_pop(y) > 1e-9 THEN stddev_pop(y) ELSE 1 END AS s FROM h WHERE batch = 0 GROUP BY 1), e AS (SELECT batch, h.feature, avg((y - m) / s) AS g, CASE WHEN var_samp(y) > 1e-9 THEN stddev_samp((y - m) / s) ELSE 1 END AS d FROM h JOIN b ON h.feature = b.feature WHERE y IS NOT NULL GROUP BY 1, 2) "
+    "SELECT subject, h.feature, h.batch, round(CASE WHEN h.batch = 0 THEN y ELSE ((y - m) / s - g) / d * s + m END, 3) + 0.0 AS y FROM h LEFT JOIN b ON h.feature = b.feature LEFT JOIN e ON h.batch = e.batch AND h.feature = e.feature",
+    f="features",
+)
+def combat_reference_holes(f):
+    """Batches brought to the first one where values are missing and one feature is constant."""
+    y = F.when(F.col("subject") % 11 == 0, F.lit(None)).when(F.col("feature").startswith("5"), 7.0).otherwise(F.col("y"))
+    return rounded(harmonize.combat_reference(f.select("subject", "feature", "batch", y.cast("double").alias("y")), 0), "y", places=3)
+
+
+@query(f="features")
+def covbat_covariates(f):
+    """Covariance harmonised beside a covariate, where values are missing."""
+    y = F.when(F.col("subject") % 11 != 0, F.col("y"))
+    return harmonize.covbat(f.select("subject", "feature", "batch", y.alias("y"), "x"), columns=["x"])

@@ -66,24 +66,26 @@ def shrunk(effects: DataFrame, steps: int = 100, near: float = 1e-8) -> DataFram
 _MODEL = "feature string, batch int, n long, gamma_hat double, delta_hat double, sum_s double, sum_s2 double, grand double, sd double, slopes array<double>"
 
 
-def model_effects(data: DataFrame, columns: list[str]) -> DataFrame:
+def model_effects(data: DataFrame, columns: list[str], reference: int | None = None) -> DataFrame:
     """Batch effects of each feature beside covariates: (feature, subject, batch, y, columns).
 
     y is fitted on batches and covariates together. One aggregation gathers sums
     and products of every batch and feature, and all else follows from them: the
     covariates' slopes, the grand mean, the pooled deviation and the batches'
-    effects. Rows with a missing y or covariate don't enter.
+    effects. Rows with a missing y or covariate don't enter. With a reference
+    batch the mean and deviation are those of that batch, and features that it
+    lacks have no effects.
     """
     import numpy as np
     import pandas as pd
 
     k = len(columns)
     held = data.dropna(subset=["y", *[f"`{c}`" for c in columns]])
-    shape = held.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shape = held.agg(F.count("*"), *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
     x = [F.col(f"`{c}`") - float(shape[f"m{i}"] or 0.0) for i, c in enumerate(columns)]
     middle = np.array([float(shape[f"m{i}"] or 0.0) for i in range(k)])
     sums = held.groupBy("feature", "batch").agg(
-        F.count("*").alias("n"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.array(*[F.avg(v) for v in x]).alias("mx"), F.array(*[F.covar_pop(v, "y") for v in x]).alias("cxy"), F.array(*[F.covar_pop(v, w) for v in x for w in x]).alias("cxx")
+        F.count("*").alias("n"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), *[F.array(*a).cast("array<double>").alias(n) for n, a in (("mx", [F.avg(v) for v in x]), ("cxy", [F.covar_pop(v, "y") for v in x]), ("cxx", [F.covar_pop(v, w) for v in x for w in x]))]
     )
 
     def solve(key, rows):
@@ -92,8 +94,11 @@ def model_effects(data: DataFrame, columns: list[str]) -> DataFrame:
         slopes = np.linalg.pinv((n[:, None, None] * cxx).sum(0)) @ (n[:, None] * cxy).sum(0)
         location = my - mx @ slopes
         squares = np.maximum(0.0, n * (vy - 2 * cxy @ slopes + np.einsum("bij,i,j->b", cxx, slopes, slopes)))
-        grand = (n * location).sum() / n.sum()
-        sd = np.sqrt(squares.sum() / n.sum())
+        own = np.ones(len(n), bool) if reference is None else rows["batch"].to_numpy() == reference
+        if not own.any():
+            return pd.DataFrame({"feature": pd.Series(dtype=str), "batch": pd.Series(dtype="int32"), "n": pd.Series(dtype="int64"), **{c: pd.Series(dtype=float) for c in ("gamma_hat", "delta_hat", "sum_s", "sum_s2", "grand", "sd")}, "slopes": pd.Series(dtype=object)})
+        grand = (n * location)[own].sum() / n[own].sum()
+        sd = np.sqrt(squares[own].sum() / n[own].sum())
         sd = sd if sd > 1e-12 * max(1.0, abs(grand)) else 1.0
         gamma = (location - grand) / sd
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -150,14 +155,28 @@ def combat_mean_only(data: DataFrame) -> DataFrame:
     return joined.select("subject", "feature", "batch", ((F.col("s") - F.col("gamma")) * F.col("sd") + F.col("grand")).alias("y"))
 
 
-def combat_reference(data: DataFrame, reference: int) -> DataFrame:
-    """Batches brought to a reference batch, whose own values stay."""
-    base = data.where(F.col("batch") == reference).groupBy("feature").agg(F.avg("y").alias("m0"), F.stddev_pop("y").alias("s0"))
-    standard = data.join(base, "feature").withColumn("s", F.coalesce(F.try_divide(F.col("y") - F.col("m0"), F.col("s0")), F.lit(0.0)))
-    effects = standard.groupBy("batch", "feature").agg(F.avg("s").alias("gamma"), F.stddev_samp("s").alias("scale"))
-    joined = standard.join(effects, ["batch", "feature"])
-    moved = F.try_divide(F.col("s") - F.col("gamma"), F.col("scale")) * F.col("s0") + F.col("m0")
-    return joined.select("subject", "feature", "batch", F.when(F.col("batch") == reference, F.col("y")).otherwise(moved).alias("y"))
+def combat_reference(data: DataFrame, reference: int, columns: list[str] | None = None, eb: bool = False, mean_only: bool = False) -> DataFrame:
+    """Batches brought to a reference batch, whose own values stay, beside covariates.
+
+    With ``eb`` effects are shrunk to each batch's priors; ``mean_only`` leaves
+    scales as they are. A missing y stays missing, as does one with a missing
+    covariate outside the reference. A constant feature keeps its values; one
+    that the reference batch lacks has null elsewhere.
+    """
+    columns = columns or []
+    effects = model_effects(data, columns, reference)
+    names = ["batch", "feature", "gamma", "delta", "grand", "sd", "slopes"]
+    one = F.lit(1.0)
+    if mean_only and eb:
+        priors = effects.groupBy("batch").agg(F.avg("gamma_hat").alias("g_bar"), F.var_samp("gamma_hat").alias("t2"))
+        gamma = F.coalesce((F.col("t2") * F.col("gamma_hat") + F.col("g_bar")) / (F.col("t2") + 1), F.col("gamma_hat"))
+        found = effects.join(priors, "batch").withColumn("gamma", gamma).withColumn("delta", one)
+    elif eb:
+        found = effects.join(shrunk(effects.where(F.col("batch") != reference)), ["batch", "feature"], "left").withColumns({"gamma": F.coalesce("gamma", F.lit(0.0)), "delta": F.coalesce("delta", one)})
+    else:
+        found = effects.withColumn("gamma", F.col("gamma_hat")).withColumn("delta", one if mean_only else F.col("delta_hat"))
+    moved = apply_model(data.where(F.coalesce(F.col("batch") != reference, F.lit(True))), columns, found.select(*names))
+    return data.where(F.col("batch") == reference).select("subject", "feature", "batch", "y").unionByName(moved)
 
 
 def combat_nonparametric(data: DataFrame) -> DataFrame:
@@ -184,20 +203,23 @@ def apply_estimates(data: DataFrame, estimates: DataFrame) -> DataFrame:
     return joined.select("subject", "feature", "batch", F.coalesce(known, adjusted).alias("y"))
 
 
-def covbat(data: DataFrame, share: float = 0.95) -> DataFrame:
+def covbat(data: DataFrame, share: float = 0.95, columns: list[str] | None = None) -> DataFrame:
     """ComBat, then again without shrinking on the leading principal scores, which hold covariance between features.
 
-    Every row given comes back. A feature that a subject lacks counts as its
-    mean in the subject's scores; values that repeat a subject's feature enter
-    them by their mean and keep their distance from it.
+    Every row given comes back, with null where y (or a covariate) is missing. A
+    feature that a subject lacks counts as its mean in the subject's scores;
+    values that repeat a subject's feature enter them by their mean and keep
+    their distance from it. What ``columns`` explain is kept in the first step.
     """
     import numpy as np
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    once = combat(data)
-    scale = once.groupBy("feature").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
-    z = once.join(scale, "feature").withColumn("z", F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0)))
+    once = combat_with_model(data, columns) if columns else combat(data)
+    # What only rounding sets apart is constant.
+    spread = F.when(F.stddev_pop("y") > 1e-10 * F.max(F.abs("y")), F.stddev_pop("y")).otherwise(0.0)
+    scale = once.groupBy("feature").agg(F.avg("y").alias("m"), spread.alias("s"))
+    z = once.join(scale, "feature").withColumn("z", F.when(F.col("y").isNotNull(), F.coalesce(F.try_divide(F.col("y") - F.col("m"), F.col("s")), F.lit(0.0))))
     features = [r["feature"] for r in scale.select("feature").orderBy("feature").collect()]
     means = z.groupBy("subject", "batch", "feature").agg(F.avg("z").alias("z"))
     rows = means.groupBy("subject", "batch").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("zs"))
