@@ -492,7 +492,7 @@ SQL["name_functions"] = "SELECT page_id, 'scan_' || page_id AS prefix, '.nii.gz'
 
 
 # The other modules of queries register theirs as they are imported.
-from voxara import catalog_graphs, catalog_kernels, catalog_models, catalog_volumes  # noqa: E402, F401
+from voxara import catalog_graphs, catalog_kernels, catalog_models, catalog_volumes, catalog_whole  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

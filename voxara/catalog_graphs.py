@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxara.operators import clustering, matrices, topology, tracks
 from voxara.operators import statistics as st
-from voxara.registry import p_z, query, rounded
+from voxara.registry import p_t, p_z, query, rounded
 
 # Node topology: 167-168, 173-178.
 _LINKS = "(SELECT a.subject, a.i, a.j FROM {c} a JOIN {c} b ON a.subject = b.subject AND a.i = b.j AND a.j = b.i WHERE a.i <> a.j AND a.w + b.w > 0)"
@@ -140,10 +140,10 @@ def normality(f):
 
 
 @query(
-    "WITH t AS (SELECT feature, count(*) AS n, corr(y, x) AS r FROM {f} GROUP BY 1) SELECT feature, n, round(r, 6) AS r FROM t",
+    f"WITH t AS (SELECT feature, count(*) AS n, corr(y, x) AS r FROM {{f}} GROUP BY 1), p AS (SELECT *, {p_t('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')} AS p FROM t), q AS (SELECT *, min(s) OVER (ORDER BY p, feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM (SELECT *, count(*) OVER () * p / row_number() OVER (ORDER BY p, feature) AS s FROM p)) "
+    "SELECT feature, n, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q, round(CASE WHEN p <= 0.05 THEN r ELSE 0 END, 6) + 0.0 AS r_trend, round(CASE WHEN q <= 0.05 THEN r ELSE 0 END, 6) + 0.0 AS r_fdr FROM q",
     f="features",
 )
 def pearson_corrected(f):
-    """Correlations with q beside p; p and q are held against SQL in other queries."""
-    found = st.with_q(st.pearson(f, "x"), "r")
-    return rounded(found.where("q >= p").select("feature", "n", "r"), "r")
+    """Correlations with q, and what of them stays at the level."""
+    return rounded(st.with_q(st.pearson(f, "x").drop("t"), "r"), "r", "p", "q", "r_trend", "r_fdr")
