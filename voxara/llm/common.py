@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -98,6 +99,17 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def safely_named(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The function of documents, for tables whose other columns have any names: they go in by place and come out by name."""
+
+    @wraps(function)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        names = docs.columns
+        return function(docs.toDF(*[n if n in ("doc_id", "text", "n_chars") else f"column{i}" for i, n in enumerate(names)]), *args, **options).toDF(*names)
+
+    return run
+
+
 def counted_rows(docs: DataFrame) -> DataFrame:
     """The distinct rows, with ``__row``, a 64-bit hash of all columns, and ``__n``, how many rows are equal to it.
 

@@ -10,10 +10,11 @@ and a set stands in the regions of its own classes.
 
 Regions are then joined by pivot documents. First each has one pivot, members
 near it are compared with it exactly, and regions whose members are all of one
-class of links are done. Large regions among the others are parted into the
-Voronoi cells of several pivots; a member is copied to every cell that its
-triangle-inequality window reaches, and cells are parted again until they are
-small. Leaves compare members of different classes exactly.
+class of links are done. Large regions among the others are parted by several
+pivots into balls of signatures' distance, not into cells of nearest pivots: a
+ball holds what may link with its pivot, and copies of what may link with that;
+the rest makes one more part. Parts are parted again until they are small, or
+until that spares little. Leaves compare members of different classes exactly.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import counted_rows, drop, lean, own_columns, stored, times
+from voxara.llm.common import counted_rows, drop, lean, own_columns, safely_named, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -427,6 +428,7 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     return placed.join(smallest, "klass", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+@safely_named
 def dedup_documents(docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """One row of each class of linked documents, with all columns.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import SPACE, counted_rows, drop, lean, stored, times
+from voxara.llm.common import SPACE, counted_rows, drop, lean, safely_named, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, components, map_blocks, passes, shared_keys
 
 THRESHOLD = 2
@@ -292,6 +292,7 @@ def _shortened(rows: DataFrame) -> DataFrame:
     return out
 
 
+@safely_named
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
     """The documents without repeated lines; every row is a document of its own.
 

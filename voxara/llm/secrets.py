@@ -43,17 +43,27 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Matches of a run.
+_RUN = 64
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, value): leftmost non-overlapping matches, in code points, end exclusive."""
-    places = lambda parts, found, values: F.aggregate(
-        F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")),
+    kind = "array<struct<start:int,end:int,value:string>>"
+    # Spans within a run of matches are counted from its start; arrays that grow are as short as a run, or have a number a run.
+    within = lambda run: F.aggregate(
+        run,
+        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
             F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["value"].alias("value")))).alias("spans"),
         ),
-        lambda acc: acc["spans"],
     )
+    starts = lambda runs: F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+    placed = lambda runs: _let(starts(runs), lambda at: F.flatten(F.transform(runs, lambda r, n: F.transform(r["spans"], lambda x: F.struct((x["start"] + F.get(at, n)).alias("start"), (x["end"] + F.get(at, n)).alias("end"), x["value"].alias("value"))))))
+    zipped = lambda parts, found, values: F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _RUN).cast("int")), lambda n: within(F.slice(all_, n * _RUN + 1, F.lit(_RUN))))
+    places = lambda parts, found, values: _let(zipped(parts, found, values), lambda all_: _let(cut(all_), placed))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = places(F.split(text, pattern, -1), whole, value)

@@ -16,6 +16,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,6 +69,17 @@ def folded_words(text: str) -> list[str]:
     return _WORDS.findall(text.translate(_FOLD))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places in order, in spans that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 @dataclass
 class Lexicon:
     """Entries: a folded word followed by a space, or a stem without one; all begin at a word."""
@@ -106,7 +118,10 @@ class Lexicon:
                 excepted.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
-        return sum(w for s, w in best.items() if not any(a <= s < b for a, b in excepted)), len(words)
+        spans = merged(excepted)
+        starts = [a for a, _ in spans]
+        outside = lambda s: (k := bisect_right(starts, s)) == 0 or s >= spans[k - 1][1]
+        return sum(w for s, w in best.items() if outside(s)), len(words)
 
     def hits(self, words: list[str]) -> set[int]:
         """Places of the words at which an entry begins."""
