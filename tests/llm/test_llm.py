@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxara.llm import jaccard, licenses, lines, links, mixing, pieces, rules, secrets, tokens, toxicity, vectors
+from voxara.llm import common, jaccard, licenses, lines, links, mixing, pieces, rules, secrets, tokens, toxicity, vectors
 
 TOKENIZERS = "/opt/tokenizers"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -367,8 +367,9 @@ def test_cells_keep_linked_members_together(spark, monkeypatch):
     kinds = [rng.integers(0, 1 << 63, 100, np.uint64) for _ in range(30)]
     sets = [np.unique(np.append(kinds[k % 30][: 100 - k % 7], rng.integers(0, 1 << 63, k % 5, np.uint64))) for k in range(300)]
     rows = spark.createDataFrame([(1, k, len(s), bytearray(jaccard._parity(s))) for k, s in enumerate(sets)], "key long, id long, n long, parity binary")
+    table = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in enumerate(sets)], "id long, shingles array<bigint>")
     cells = collections.defaultdict(set)
-    for r in jaccard.voronoi(rows, 85, 100).collect():
+    for r in jaccard.voronoi(rows, lambda ids: common.stored(table.join(ids, "id", "left_semi"), "sets"), 85, 100).collect():
         cells[r.key].add(r.id)
     assert len(cells) > 1 and max(map(len, cells.values())) < 300
     for a in range(300):

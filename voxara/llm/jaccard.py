@@ -10,18 +10,18 @@ and a set stands in the regions of its own classes.
 
 Regions are then joined by pivot documents. First each has one pivot, members
 near it are compared with it exactly, and regions whose members are all of one
-class of links are done. Large regions among the others are parted by several
-pivots into balls of signatures' distance, not into cells of nearest pivots: a
-ball holds what may link with its pivot, and copies of what may link with that;
-the rest makes one more part. Parts are parted again until they are small, or
-until that spares little. Leaves compare members of different classes exactly.
+class of links are done. Large regions among the others are parted into the
+Voronoi cells of several pivot documents by exact distance, with copies where a
+triangle-inequality window reaches another cell; what is far from all pivots
+makes one more cell. Cells are parted again until they are small, or until that
+spares little. Leaves compare members of different classes exactly.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,53 +241,71 @@ def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(lean(run), "key long, id long, pivot long, low float, near boolean")
 
 
-def _parted(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """One level of the recursion: rows of regions of more than LEAF members, dealt to the Voronoi cells of pivots.
+#: Share of a link's similarity beyond which a member is outside of a pivot's cell.
+RADIUS = 0.6
 
-    The metric is the number of bits in which signatures differ, which is no
-    more than the number of shingles in which sets do. A cell holds the members
-    within a radius of its pivot, the most that a set linked with the pivot may
-    differ in, and copies of those on its boundary: up to the radius and what
-    their own linked sets may differ in. Members outside of all radii make one
-    more region, which further pivots part. Linked members meet in the cell of
-    a pivot that is near either, or outside. Rows get the cell's key and ``from_key``.
-    """
-    salt = F.pmod(F.xxhash64("id", "key"), F.lit(PIVOTS))
-    drawn = rows.groupBy("key", salt.alias("salt")).agg(F.min_by(F.struct("n", F.hex("parity").alias("sign")), F.xxhash64("id")).alias("pivot"))
-    pivots = drawn.groupBy("key").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+
+def _near_pivots(rows: DataFrame, pivots: DataFrame, reach: float) -> DataFrame:
+    """(key, id, pivot): the pivots of its region that a member's signature doesn't put beyond ``reach``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, sign, n = b.column("key").to_numpy(), _pack(b.column("parity").to_numpy(zero_copy_only=False)), b.column("n").to_numpy()
-            cells, rows_of = [], []
+            key, ident, n = (b.column(c).to_numpy() for c in ("key", "id", "n"))
+            sign, found = _pack(b.column("parity").to_numpy(zero_copy_only=False)), []
             for k, first in zip(*np.unique(key, return_index=True), strict=True):
                 at = np.flatnonzero(key == k)
-                pivot = b.column("pivots")[int(first)].as_py()
-                signs = np.frombuffer(bytes.fromhex("".join(p["sign"] for p in pivot)), np.uint64).reshape(-1, PARITY_BITS // 64)
-                radius = (den - num) * np.array([p["n"] for p in pivot]) // num
-                far = np.stack([np.bitwise_count(sign[at] ^ p).sum(1).astype(np.int64) for p in signs], 1)
-                outside = (far > radius).all(1)
-                member = far <= radius + ((den - num) * n[at] // num)[:, None]
-                i, cell = np.nonzero(np.concatenate([outside[:, None], member], 1))
-                rows_of.append(at[i])
-                cells.append(cell)
-            order, cell = np.concatenate(rows_of), np.concatenate(cells)
-            new = _mixed(key[order].view(np.uint64) + (cell.astype(np.uint64) + np.uint64(1)) * _M[3])
-            taken = b.take(pa.array(order)).drop_columns(["pivots"])
-            yield taken.append_column("from_key", taken.column("key")).set_column(0, "key", pa.array(new.view(np.int64)))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.join(pivots, "key").select(*rows.columns, "pivots").mapInArrow(lean(run), f"{kinds}, from_key long")
-
-
-def voronoi(rows: DataFrame, num: int, den: int) -> DataFrame:
+                for p in b.column("pivots")[int(first)].as_py():
+                    other = np.frombuffer(bytes.fromhex(p["sign"]), np.uint64)
+                    differ = np.maximum(np.bitwise_count(sign[at] ^ other).sum(1).astype(np.int64), np.abs(n[at] - p["n"]))
+                    near = at[2 * differ <= reach * (n[at] + p["n"] + differ)]
+                    found.append((key[near], ident[near], np.full(len(near), p["id"])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "id", "pivot"])
+
+    return rows.select("key", "id", "n", "parity").join(pivots, "key").mapInArrow(lean(run), "key long, id long, pivot long")
+
+
+def _parted(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """One level of the recursion: rows of regions of more than LEAF members, dealt to the Voronoi cells of pivot documents.
+
+    A member's home is the cell of its nearest pivot by exact Jaccard distance,
+    if that is within a radius, else the cell of what is far from all pivots.
+    Copies go where the triangle inequality allows a partner's home: to cells
+    whose pivot is at most two link distances farther than the nearest one and
+    within the radius and one, and to the far cell from a link distance below
+    the radius on. So linked members meet in the home of either. Distances are
+    computed where signatures leave a pivot in reach, others decide nothing.
+    Rows get the cell's key and ``from_key``, and are stored.
+    """
+    eps, slack = 1 - num / den, 1e-9
+    radius = RADIUS * (1 - eps)
+    salt = F.pmod(F.xxhash64("id", "key"), F.lit(PIVOTS))
+    drawn = rows.groupBy("key", salt.alias("salt")).agg(F.min_by(F.struct("id", "n", F.hex("parity").alias("sign")), F.xxhash64("id")).alias("pivot"))
+    pivots = drawn.groupBy("key").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    near = stored(_near_pivots(rows, pivots, radius + eps + slack), "near")
+    pairs = near.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    exact = _verify(pairs, sets).select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
+    found = near.join(exact, ["id", "pivot"]).groupBy("key", "id").agg(F.min("d").alias("home"), F.collect_set(F.struct("pivot", "d")).alias("each"))  # PIVOTS at most
+    placed = rows.join(found, ["key", "id"], "left")
+    reached = F.filter("each", lambda p: (p["d"] <= radius + eps + slack) & (p["d"] <= F.col("home") + 2 * eps + slack))
+    cells = F.coalesce(F.transform(reached, lambda p: p["pivot"]), F.array().cast("array<bigint>"))
+    far = F.when(F.coalesce(F.col("home") > radius - eps - slack, F.lit(True)), F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    dealt = placed.withColumn("cell", F.explode(F.concat(cells, far)))
+    # A hash passes over nulls: the far cell's key is that of the region alone.
+    out = stored(dealt.select(F.xxhash64("key", "cell").alias("key"), *[c for c in rows.columns if c != "key"], F.col("key").alias("from_key")), "cells")
+    drop(near)
+    return out
+
+
+def voronoi(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Rows (key, id, n, parity, ...) of regions, large ones parted recursively where that spares comparisons.
 
-    A region that pivots part into little smaller cells stays whole.
+    ``sets_of`` gives the shingles (id, shingles) of ids, stored; it is asked
+    once, for the members of all large regions. A region that pivots part into
+    little smaller cells stays whole.
     """
-    done, left = [], rows
+    done, left, sets = [], rows, None
     while True:
         size = left.groupBy("key").agg(F.count("*").alias("size"))
         large = stored(size.where(F.col("size") > LEAF), "large")
@@ -295,7 +313,8 @@ def voronoi(rows: DataFrame, num: int, den: int) -> DataFrame:
             break
         done.append(left.join(large, "key", "left_anti"))
         inner = left.join(large.select("key"), "key")
-        cells = stored(_parted(inner, num, den), "cells")
+        sets = sets_of(inner.select("id").distinct()) if sets is None else sets
+        cells = _parted(inner, sets, num, den)
         each = cells.groupBy("from_key", "key").agg(F.count("*").cast("double").alias("n"))
         gain = each.groupBy("from_key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
         parted = stored(large.join(gain, F.col("key") == F.col("from_key")).where("pairs <= 0.7 * size * size").select("from_key"), "gain")
@@ -303,6 +322,8 @@ def voronoi(rows: DataFrame, num: int, den: int) -> DataFrame:
         left = cells.join(parted, "from_key", "left_semi").select(*rows.columns)
     for d in done:
         left = left.unionByName(d)
+    if sets is not None:
+        drop(sets)
     return left
 
 
@@ -415,7 +436,7 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     )
     # Signatures are wide, so they join only what is left after regions of one class have gone.
     open_ = stored(_of_several_classes(windows).join(node.select("id", "n", "parity"), "id").select("key", "id", "n", "parity", "low", "high", "klass"), "open")
-    crossing = map_blocks(blocks(voronoi(open_, num, den)), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
+    crossing = map_blocks(blocks(voronoi(open_, lambda ids: _sets_of(docs, profile, ids, words), num, den)), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
     second = stored(crossing.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
     drop(starred, node, open_, first)
     late = _checked(second, docs, profile, words)
