@@ -10,7 +10,8 @@ from voxara.functions import names
 from voxara.operators import harmonize, images, kernels, matrices, regression, tensor, tracks, volumes
 from voxara.operators import statistics as st
 from voxara.plans import filters
-from voxara.plans.filters import cohort_filter, design, fit, missing_to_null, terms
+from voxara.operators.regression import ols_terms
+from voxara.plans.filters import cohort_filter, design, missing_to_null, terms
 from voxara.sources import images as files
 from voxara.sources import text
 from voxara.streaming import quality
@@ -37,7 +38,7 @@ def test_formula(spark):
     df = spark.createDataFrame([(int(i), "f", float(a), "ab"[b], float(c)) for i, (a, b, c) in enumerate(zip(x, g, y, strict=True))], "subject long, feature string, x double, g string, y double")
     planned, columns = design(df, "x + g")
     assert columns == ["x", "g[T.b]"]
-    got = {r.term: r.coefficient for r in fit(planned, columns).collect()}
+    got = {r.term: r.coefficient for r in ols_terms(planned, columns).collect()}
     expected = np.linalg.lstsq(np.column_stack([np.ones(n), x, g]), y, rcond=None)[0]
     assert np.allclose([got["Intercept"], got["x"], got["g[T.b]"]], expected)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from voxara.functions import names
 from voxara.operators import harmonize, images, matrices, roi, tensor, tracks, volumes
 from voxara.operators import statistics as st
-from voxara.plans.filters import cohort_filter, design, fit
+from voxara.operators.regression import ols_terms
+from voxara.plans.filters import cohort_filter, design
 from voxara.registry import QUERIES, SQL, Query, p_t, p_z, rounded
 from voxara.registry import query as _query
 
@@ -341,7 +342,7 @@ def ols_two_covariates(f):
 @_query("SELECT feature, 'Intercept' AS term, round(regr_intercept(y, x), 3) + 0.0 AS coefficient, count(*) - 2 AS df FROM {f} GROUP BY 1 UNION ALL SELECT feature, 'x', round(regr_slope(y, x), 3) + 0.0, count(*) - 2 FROM {f} GROUP BY 1", f="features")
 def ols_formula(f):
     planned, columns = design(f.select("subject", "feature", "y", "x"), "x")
-    return rounded(fit(planned, columns).select("feature", "term", "coefficient", "df"), "coefficient", places=3)
+    return rounded(ols_terms(planned, columns).select("feature", "term", "coefficient", "df"), "coefficient", places=3)
 
 
 @_query("SELECT subject, f.feature, round(y - i - s * x, 3) + 0.0 AS y FROM {f} f JOIN (SELECT feature, regr_intercept(y, x) AS i, regr_slope(y, x) AS s FROM {f} GROUP BY 1) r ON f.feature = r.feature", f="features")

@@ -77,7 +77,7 @@ def model_effects(data: DataFrame, columns: list[str], reference: int | None = N
     lacks have no effects.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     k = len(columns)
     held = data.dropna(subset=["y", *[f"`{c}`" for c in columns]])
@@ -88,27 +88,37 @@ def model_effects(data: DataFrame, columns: list[str], reference: int | None = N
         F.count("*").alias("n"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), *[F.array(*a).cast("array<double>").alias(n) for n, a in (("mx", [F.avg(v) for v in x]), ("cxy", [F.covar_pop(v, "y") for v in x]), ("cxx", [F.covar_pop(v, w) for v in x for w in x]))]
     )
 
-    def solve(key, rows):
-        n, my, vy = rows["n"].to_numpy(float), rows["my"].to_numpy(float), rows["vy"].to_numpy(float)
-        mx, cxy, cxx = np.stack(rows["mx"]), np.stack(rows["cxy"]), np.stack([np.reshape(v, (k, k)) for v in rows["cxx"]])
-        slopes = np.linalg.pinv((n[:, None, None] * cxx).sum(0)) @ (n[:, None] * cxy).sum(0)
-        location = my - mx @ slopes
-        squares = np.maximum(0.0, n * (vy - 2 * cxy @ slopes + np.einsum("bij,i,j->b", cxx, slopes, slopes)))
-        own = np.ones(len(n), bool) if reference is None else rows["batch"].to_numpy() == reference
-        if not own.any():
-            return pd.DataFrame({"feature": pd.Series(dtype=str), "batch": pd.Series(dtype="int32"), "n": pd.Series(dtype="int64"), **{c: pd.Series(dtype=float) for c in ("gamma_hat", "delta_hat", "sum_s", "sum_s2", "grand", "sd")}, "slopes": pd.Series(dtype=object)})
-        grand = (n * location)[own].sum() / n[own].sum()
-        sd = np.sqrt(squares[own].sum() / n[own].sum())
-        sd = sd if sd > 1e-12 * max(1.0, abs(grand)) else 1.0
-        gamma = (location - grand) / sd
-        with np.errstate(invalid="ignore", divide="ignore"):
-            delta = squares / (n - 1) / sd**2
-        delta = np.where((delta > 0) & np.isfinite(delta), delta, 1.0)
-        out = pd.DataFrame({"feature": str(key[0]), "batch": rows["batch"], "n": n.astype(int), "gamma_hat": gamma, "delta_hat": delta, "sum_s": n * gamma, "sum_s2": squares / sd**2 + n * gamma**2, "grand": grand - slopes @ middle, "sd": sd})
-        out["slopes"] = [slopes] * len(out)
-        return out
-
-    return sums.groupBy("feature").applyInPandas(solve, _MODEL)
+    def solve(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            each = b.column("each")
+            rows, counts = each.flatten(), np.diff(each.offsets.to_numpy())
+            n, my, vy, mx, cxy, cxx = (rows.field(c) for c in ("n", "my", "vy", "mx", "cxy", "cxx"))
+            n, my, vy = (v.to_numpy().astype(float) for v in (n, my, vy))
+            mx, cxy, cxx = (v.flatten().to_numpy().reshape(len(n), *to) for v, to in ((mx, (k,)), (cxy, (k,)), (cxx, (k, k))))
+            # Each feature's batches are a run of rows; all features are solved at once.
+            start, of = np.append(0, np.cumsum(counts)[:-1]), np.repeat(np.arange(len(counts)), counts)
+            slopes = np.einsum("fij,fj->fi", np.linalg.pinv(np.add.reduceat(n[:, None, None] * cxx, start)), np.add.reduceat(n[:, None] * cxy, start))
+            slope = slopes[of]
+            location = my - (mx * slope).sum(1)
+            squares = np.maximum(0.0, n * (vy - 2 * (cxy * slope).sum(1) + np.einsum("bij,bi,bj->b", cxx, slope, slope)))
+            own = np.ones(len(n), bool) if reference is None else rows.field("batch").to_numpy() == reference
+            inside = np.add.reduceat(np.where(own, n, 0.0), start)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                grand = np.add.reduceat(np.where(own, n * location, 0.0), start) / inside
+                sd = np.sqrt(np.add.reduceat(np.where(own, squares, 0.0), start) / inside)
+                sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(grand)), sd, 1.0)
+                gamma, delta = (location - grand[of]) / sd[of], squares / (n - 1) / sd[of] ** 2
+            delta = np.where((delta > 0) & np.isfinite(delta), delta, 1.0)
+            held_by = inside[of] > 0
+            columns_of = [n * gamma, squares / sd[of] ** 2 + n * gamma**2, (grand - slopes @ middle)[of], sd[of]]
+            out = [b.column("feature").take(pa.array(of)), rows.field("batch"), pa.array(n.astype(np.int64)), *[pa.array(v) for v in (gamma, delta, *columns_of)], pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * k, pa.int32()), pa.array(slope.ravel()))]
+            yield pa.RecordBatch.from_arrays(out, names=fields).filter(pa.array(held_by))
+
+    fields = [f.strip().split()[0] for f in _MODEL.split(",")]
+    packed = sums.groupBy(F.col("feature").cast("string").alias("feature")).agg(F.sort_array(F.collect_list(F.struct(F.col("batch").cast("int").alias("batch"), "n", "my", "vy", "mx", "cxy", "cxx"))).alias("each"))
+    return packed.mapInArrow(solve, _MODEL)
 
 
 def combat_with_model(data: DataFrame, columns: list[str], eb: bool = True) -> DataFrame:

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from voxara.functions.distributions import f_upper, t_quantile, t_two_sided
 from voxara.operators.statistics import false_discovery
 
-_FIT = "feature string, n long, df long, rss double, tss double, rss_reduced double, df_reduced long, terms array<struct<term:string,coefficient:double,error:double,sd_x:double>>, sd_y double"
+_FIT = "feature string, n long, df long, rss double, tss double, rss_reduced double, df_reduced long, coefficient array<double>, error array<double>, sd_x array<double>, sd_y double"
 
 
 def _solved(data: DataFrame, columns: list[str], reduced: list[str] | None) -> DataFrame:
     """One row per feature: sums of squares of the full and the reduced model, and the full model's terms."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     held = data.dropna(subset=["y", *[f"`{c}`" for c in columns]])
     # Columns are centred and scaled by figures of the whole table, so that cross products keep their digits.
@@ -35,26 +35,28 @@ def _solved(data: DataFrame, columns: list[str], reduced: list[str] | None) -> D
 
     def solve(batches):
         for b in batches:
-            rows = []
-            for feature, n, xx, xy, yy, vy in b.itertuples(index=False):
-                gram, cross = np.asarray(xx, float).reshape(p, p), np.asarray(xy, float)
-                inverse = np.linalg.pinv(gram)
-                beta, tss = inverse @ cross, n * vy
-                rank = np.linalg.matrix_rank(gram)
-                rss = max(0.0, yy - beta @ cross)
-                part = np.linalg.pinv(gram[np.ix_(inner, inner)]) @ cross[inner]
-                less = max(0.0, yy - part @ cross[inner])
-                df = int(n - rank)
-                s2 = rss / df if df > 0 else np.nan
-                # Back to the columns as they came.
-                own, cov = back @ beta, back @ inverse @ back.T
-                sd = np.sqrt(np.maximum(0.0, np.diag(gram) / n - (gram[0] / n) ** 2) * n / max(1, n - 1)) * np.array([1.0, *scale])
-                error = np.sqrt(s2 * np.maximum(0.0, np.diag(cov)))
-                terms = [{"term": t, "coefficient": float(c), "error": float(e), "sd_x": float(v)} for t, c, e, v in zip(names, own, error, sd, strict=True)]
-                rows.append((str(feature), int(n), df, rss, tss, less, int(n - np.linalg.matrix_rank(gram[np.ix_(inner, inner)])), terms, float(np.sqrt(vy))))
-            yield pd.DataFrame(rows, columns=["feature", "n", "df", "rss", "tss", "rss_reduced", "df_reduced", "terms", "sd_y"])
-
-    return sums.withColumn("feature", F.col("feature").cast("string")).mapInPandas(solve, _FIT)
+            if not b.num_rows:
+                continue
+            # The systems of all features of a batch are solved at once.
+            n, yy, vy = (b.column(c).to_numpy().astype(float) for c in ("n", "yy", "vy"))
+            gram, cross = b.column("xx").flatten().to_numpy().reshape(-1, p, p), b.column("xy").flatten().to_numpy().reshape(-1, p)
+            inverse, less = np.linalg.pinv(gram), gram[:, inner][:, :, inner]
+            beta, part = np.einsum("fij,fj->fi", inverse, cross), np.einsum("fij,fj->fi", np.linalg.pinv(less), cross[:, inner])
+            rss, rss_less = np.maximum(0.0, yy - (beta * cross).sum(1)), np.maximum(0.0, yy - (part * cross[:, inner]).sum(1))
+            df, df_less = n - np.linalg.matrix_rank(gram), n - np.linalg.matrix_rank(less)
+            s2 = np.divide(rss, df, out=np.full(len(n), np.nan), where=df > 0)
+            # Back to the columns as they came.
+            own, spread = beta @ back.T, np.einsum("ij,fjk,ik->fi", back, inverse, back)
+            sd = np.sqrt(np.maximum(0.0, np.diagonal(gram, 0, 1, 2) / n[:, None] - (gram[:, 0] / n[:, None]) ** 2) * (n / np.maximum(1, n - 1))[:, None]) * np.array([1.0, *scale])
+            error = np.sqrt(s2[:, None] * np.maximum(0.0, spread))
+            offsets = pa.array(np.arange(len(n) + 1) * p, pa.int32())
+            listed = [pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (own, error, sd)]
+            whole = [pa.array(v.astype(np.int64)) for v in (df, df_less)]
+            yield pa.RecordBatch.from_arrays([b.column("feature"), b.column("n"), whole[0], pa.array(rss), pa.array(n * vy), pa.array(rss_less), whole[1], *listed, pa.array(np.sqrt(vy))], names=fields)
+
+    fields = [f.strip().split()[0] for f in _FIT.split(",")]
+    solved = sums.withColumn("feature", F.col("feature").cast("string")).mapInArrow(solve, _FIT)
+    return solved.withColumn("term", F.array(*[F.lit(t) for t in names])).withColumn("terms", F.arrays_zip("term", "coefficient", "error", "sd_x")).drop("term", "coefficient", "error", "sd_x")
 
 
 def ols_terms(data: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
@@ -62,12 +64,13 @@ def ols_terms(data: DataFrame, columns: list[str], alpha: float = 0.05) -> DataF
 
     Rows with a missing value are left out feature by feature. b is the
     coefficient in deviations of x (sample) and y (population), d is
-    2 t / sqrt(df). A term that can't be told apart has t null and p 1.
+    2 t / sqrt(df). A term that can't be told apart has t null and p 1, as has
+    every term of a feature with no more rows than terms; its error is null.
     """
-    each = _solved(data, columns, None).withColumn("critical", t_quantile(F.col("df"), alpha)).select("*", F.explode("terms").alias("x"))
-    t = F.try_divide("x.coefficient", F.nullif(F.col("x.error"), F.lit(0.0)))
-    rows = each.select("feature", "x.term", "n", "df", "x.coefficient", "x.error", t.alias("t"), (F.col("critical") * F.col("x.error")).alias("half_width"), F.try_divide(F.col("x.coefficient") * F.col("x.sd_x"), F.nullif("sd_y", F.lit(0.0))).alias("b"))
-    tested = rows.withColumn("d", 2 * F.col("t") / F.sqrt("df")).withColumn("p", F.coalesce(t_two_sided(F.col("t"), F.col("df")), F.lit(1.0)))
+    each = _solved(data, columns, None).withColumn("critical", t_quantile(F.col("df"), alpha)).select("*", F.explode("terms").alias("x")).withColumn("error", F.nullif("x.error", F.lit(float("nan"))))
+    t = F.try_divide("x.coefficient", F.nullif("error", F.lit(0.0)))
+    rows = each.select("feature", "x.term", "n", "df", "x.coefficient", "error", t.alias("t"), (F.col("critical") * F.col("error")).alias("half_width"), F.try_divide(F.col("x.coefficient") * F.col("x.sd_x"), F.nullif("sd_y", F.lit(0.0))).alias("b"))
+    tested = rows.withColumn("d", F.try_divide(2 * F.col("t"), F.sqrt("df"))).withColumn("p", F.coalesce(t_two_sided(F.col("t"), F.col("df")), F.lit(1.0)))
     return false_discovery(tested, ["term"]).drop("q_bonferroni", "q_holm").withColumnRenamed("q_bh", "q")
 
 
@@ -79,7 +82,7 @@ def ols_models(data: DataFrame, columns: list[str], reduced: list[str] | None =
     df_model, df_less = F.col("n") - 1 - F.col("df"), F.col("df_reduced") - F.col("df")
     full = F.try_divide(F.try_divide(F.col("tss") - F.col("rss"), F.nullif(df_model, F.lit(0))), F.nullif(mean, F.lit(0.0)))
     nested = F.try_divide(F.try_divide(F.col("rss_reduced") - F.col("rss"), F.nullif(df_less, F.lit(0))), F.nullif(mean, F.lit(0.0)))
-    out = s.select("feature", "n", "df", r2.alias("r2"), (1 - (1 - r2) * (F.col("n") - 1) / F.col("df")).alias("r2_adj"), full.alias("f"), df_model.alias("df_model"), nested.alias("f_reduced"), df_less.alias("df_terms"))
+    out = s.select("feature", "n", "df", r2.alias("r2"), (1 - F.try_divide((1 - r2) * (F.col("n") - 1), F.col("df"))).alias("r2_adj"), full.alias("f"), df_model.alias("df_model"), nested.alias("f_reduced"), df_less.alias("df_terms"))
     return out.withColumn("p", f_upper(F.col("f"), F.col("df_model"), F.col("df"))).withColumn("p_reduced", f_upper(F.col("f_reduced"), F.col("df_terms"), F.col("df")))
 
 
@@ -87,7 +90,7 @@ def compare_models(data: DataFrame, columns: list[str], reduced: list[str]) -> D
     """One F test of the full against the reduced model, residual squares summed over all features."""
     s = _solved(data, columns, reduced).agg(F.sum("rss").alias("rss"), F.sum("rss_reduced").alias("less"), F.max("df").alias("df"), F.max("df_reduced").alias("df_reduced"))
     terms = F.col("df_reduced") - F.col("df")
-    return s.withColumn("f", F.try_divide((F.col("less") - F.col("rss")) / terms, F.col("rss") / F.col("df"))).select("f", terms.alias("df_terms"), "df", f_upper(F.col("f"), terms, F.col("df")).alias("p"))
+    return s.withColumn("f", F.try_divide(F.try_divide(F.col("less") - F.col("rss"), terms), F.nullif(F.try_divide("rss", "df"), F.lit(0.0)))).select("f", terms.alias("df_terms"), "df", f_upper(F.col("f"), terms, F.col("df")).alias("p"))
 
 
 def _predicted(coefficients: DataFrame, columns: list[str], without: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:

@@ -79,34 +79,3 @@ def design(cohort: DataFrame, formula: str, reference: dict[str, str] | None = N
             product = [(f"{a}:{b}".lstrip(":"), x * y) for a, x in product for b, y in columns[n]]
         made |= dict(product)
     return held.withColumns(made), list(made)
-
-
-def fit(data: DataFrame, design_columns: list[str]) -> DataFrame:
-    """Least squares of y on an intercept and the columns, per feature: coefficients, errors and t.
-
-    One aggregation gathers the cross products of the columns for all features;
-    each feature's small system is then solved in an Arrow batch.
-    """
-    import numpy as np
-    import pandas as pd
-
-    x = [F.lit(1.0), *[F.col(f"`{c}`") for c in design_columns]]
-    names = ["Intercept", *design_columns]
-    p = len(x)
-    held = data.dropna(subset=["y", *[f"`{c}`" for c in design_columns]])
-    sums = held.groupBy("feature").agg(F.count("*").alias("n"), F.array(*[F.sum(x[a] * x[b]) for a in range(p) for b in range(p)]).alias("xx"), F.array(*[F.sum(x[a] * F.col("y")) for a in range(p)]).alias("xy"), F.sum(F.col("y") ** 2).alias("yy"))
-
-    def solve(batches):
-        for b in batches:
-            rows = []
-            for feature, n, xx, xy, yy in b.itertuples(index=False):
-                m, v = np.asarray(xx, float).reshape(p, p), np.asarray(xy, float)
-                inverse = np.linalg.pinv(m)
-                beta = inverse @ v
-                df = n - p
-                s2 = max(0.0, yy - beta @ v) / df if df > 0 else np.nan
-                se = np.sqrt(s2 * np.diag(inverse))
-                rows += [(feature, t, be, e, be / e if e > 0 else np.nan, df) for t, be, e in zip(names, beta, se, strict=True)]
-            yield pd.DataFrame(rows, columns=["feature", "term", "coefficient", "error", "t", "df"])
-
-    return sums.mapInPandas(solve, "feature string, term string, coefficient double, error double, t double, df long")
