@@ -70,14 +70,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     _open.remove(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark free the shuffles that no plan refers to any more."""
+    gc.collect()
+    # Shuffle files go when the driver's JVM has collected what refers to them.
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes the files of stored tables, and lets Spark free the shuffles that made them."""
     for t in tables:
         _delete(t.sparkSession, t.stored_at)
-    if shuffles:
-        gc.collect()
-        # Shuffle files go when the driver's JVM has collected what refers to them.
-        tables[0].sparkSession._jvm.System.gc()
+    if shuffles and tables:
+        free_shuffles(tables[0].sparkSession)
 
 
 def open_folders() -> list[str]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import counted_rows, drop, lean, own_columns, safely_named, stored, times
+from voxara.llm.common import counted_rows, drop, free_shuffles, lean, own_columns, safely_named, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -298,21 +298,24 @@ def _parted(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return out
 
 
-def voronoi(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def voronoi(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, read: list[DataFrame] | None = None) -> DataFrame:
     """Rows (key, id, n, parity, ...) of regions, large ones parted recursively where that spares comparisons.
 
     ``sets_of`` gives the shingles (id, shingles) of ids, stored; it is asked
     once, for the members of all large regions. A region that pivots part into
-    little smaller cells stays whole.
+    little smaller cells stays whole. The stored tables that the rows are read
+    from go to ``read``, to be dropped after them.
     """
-    done, left, sets = [], rows, None
+    done, left, sets, read = [], rows, None, [] if read is None else read
     while True:
         size = left.groupBy("key").agg(F.count("*").alias("size"))
         large = stored(size.where(F.col("size") > LEAF), "large")
+        read.append(large)
         if large.isEmpty():
             break
         done.append(left.join(large, "key", "left_anti"))
-        inner = left.join(large.select("key"), "key")
+        # Written once: each step of the parting reads these rows.
+        inner = stored(left.join(large.select("key"), "key"), "inner")
         sets = sets_of(inner.select("id").distinct()) if sets is None else sets
         cells = _parted(inner, sets, num, den)
         each = cells.groupBy("from_key", "key").agg(F.count("*").cast("double").alias("n"))
@@ -320,6 +323,7 @@ def voronoi(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int
         parted = stored(large.join(gain, F.col("key") == F.col("from_key")).where("pairs <= 0.7 * size * size").select("from_key"), "gain")
         done.append(inner.join(parted, F.col("key") == F.col("from_key"), "left_anti"))
         left = cells.join(parted, "from_key", "left_semi").select(*rows.columns)
+        read += [inner, cells, parted]
     for d in done:
         left = left.unionByName(d)
     if sets is not None:
@@ -418,6 +422,7 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     eps = 1 - num / den
     profile = stored(_profile(docs, words), "profile")
     region = stored(shared_keys(_regions(docs, words, num, den)), "regions")
+    free_shuffles(docs.sparkSession)  # the widest one is not needed beside the next
     rank = region.groupBy("id").agg(F.count("*").alias("rank"))
     node = stored(profile.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id"), "nodes")
     starred = stored(_star(region.join(node, "id").select("key", "id", "n", "parity", "rank"), num, den), "starred")
@@ -436,9 +441,11 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     )
     # Signatures are wide, so they join only what is left after regions of one class have gone.
     open_ = stored(_of_several_classes(windows).join(node.select("id", "n", "parity"), "id").select("key", "id", "n", "parity", "low", "high", "klass"), "open")
-    crossing = map_blocks(blocks(voronoi(open_, lambda ids: _sets_of(docs, profile, ids, words), num, den)), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
+    read: list[DataFrame] = []
+    cells = voronoi(open_, lambda ids: _sets_of(docs, profile, ids, words), num, den, read)
+    crossing = map_blocks(blocks(cells), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
     second = stored(crossing.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
-    drop(starred, node, open_, first)
+    drop(starred, node, open_, first, *read)
     late = _checked(second, docs, profile, words)
     linked_all = checked.where(linked).select("a", "b").union(late.where(linked).select("a", "b"))
     component = components(linked_all)
