@@ -131,6 +131,11 @@ def counted_rows(docs: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+def shuffled(right: DataFrame) -> DataFrame:
+    """The right side of a join of tables that grow alike: shuffled at any size, as a broadcast goes through the driver."""
+    return right.hint("merge")
+
+
 def times(rows: DataFrame, n: Column, names: list[str]) -> DataFrame:
     """The named columns of each row, n times."""
     return rows.withColumn("__time", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in names])

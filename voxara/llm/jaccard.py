@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import counted_rows, drop, free_shuffles, lean, own_columns, safely_named, stored, times
+from voxara.llm.common import counted_rows, drop, free_shuffles, lean, own_columns, safely_named, shuffled, stored, times
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -263,7 +263,7 @@ def _near_pivots(rows: DataFrame, pivots: DataFrame, reach: float) -> DataFrame:
                     found.append((key[near], ident[near], np.full(len(near), p["id"])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "id", "pivot"])
 
-    return rows.select("key", "id", "n", "parity").join(pivots, "key").mapInArrow(lean(run), "key long, id long, pivot long")
+    return rows.select("key", "id", "n", "parity").join(shuffled(pivots), "key").mapInArrow(lean(run), "key long, id long, pivot long")
 
 
 def _parted(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -286,8 +286,8 @@ def _parted(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     near = stored(_near_pivots(rows, pivots, radius + eps + slack), "near")
     pairs = near.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     exact = _verify(pairs, sets).select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
-    found = near.join(exact, ["id", "pivot"]).groupBy("key", "id").agg(F.min("d").alias("home"), F.collect_set(F.struct("pivot", "d")).alias("each"))  # PIVOTS at most
-    placed = rows.join(found, ["key", "id"], "left")
+    found = near.join(shuffled(exact), ["id", "pivot"]).groupBy("key", "id").agg(F.min("d").alias("home"), F.collect_set(F.struct("pivot", "d")).alias("each"))  # PIVOTS at most
+    placed = rows.join(shuffled(found), ["key", "id"], "left")
     reached = F.filter("each", lambda p: (p["d"] <= radius + eps + slack) & (p["d"] <= F.col("home") + 2 * eps + slack))
     cells = F.coalesce(F.transform(reached, lambda p: p["pivot"]), F.array().cast("array<bigint>"))
     far = F.when(F.coalesce(F.col("home") > radius - eps - slack, F.lit(True)), F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
@@ -335,7 +335,7 @@ def _of_several_classes(rows: DataFrame) -> DataFrame:
     """Rows of the regions whose members aren't all of one class; others have nothing left to join."""
     narrow = rows.repartition(F.col("key"))
     several = narrow.groupBy("key").agg(F.min("klass").alias("a"), F.max("klass").alias("b")).where("a <> b").select("key")
-    return narrow.join(several, "key")
+    return narrow.join(shuffled(several), "key")
 
 
 def _crossing(eps: float, num: int, den: int):
@@ -375,12 +375,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("left").cast("long").alias("n_a"), F.size("right").cast("long").alias("n_b"))
+    return pairs.join(shuffled(left), "a").join(shuffled(right), "b").select("a", "b", both.alias("both"), F.size("left").cast("long").alias("n_a"), F.size("right").cast("long").alias("n_b"))
 
 
 def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of the wanted set ids, computed again from one document of each."""
-    wanted = stored(profile.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(ids, "id"), "wanted")
+    wanted = stored(profile.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(shuffled(ids), "id"), "wanted")
     bits = bit_filter(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +393,7 @@ def _sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, words: int) ->
 
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).cast("int").alias("place"))
     # The filter spares work; the join takes out what else passes it. A set that comes twice meets the same pairs again.
-    sets = stored(placed.mapInArrow(lean(run), "id long, shingles array<bigint>").join(ids, "id", "left_semi"), "sets")
+    sets = stored(placed.mapInArrow(lean(run), "id long, shingles array<bigint>").join(shuffled(ids), "id", "left_semi"), "sets")
     drop(wanted)
     return sets
 
@@ -424,8 +424,8 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     region = stored(shared_keys(_regions(docs, words, num, den)), "regions")
     free_shuffles(docs.sparkSession)  # the widest one is not needed beside the next
     rank = region.groupBy("id").agg(F.count("*").alias("rank"))
-    node = stored(profile.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(rank, "id"), "nodes")
-    starred = stored(_star(region.join(node, "id").select("key", "id", "n", "parity", "rank"), num, den), "starred")
+    node = stored(profile.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(shuffled(rank), "id"), "nodes")
+    starred = stored(_star(region.join(shuffled(node), "id").select("key", "id", "n", "parity", "rank"), num, den), "starred")
     drop(region)
     first = stored(starred.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "first")
     checked = _checked(first, docs, profile, words)
@@ -435,25 +435,25 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     distance = checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("exact"))
     at_pivot = F.col("pivot") == F.col("id")
     windows = (
-        starred.join(distance, ["pivot", "id"], "left")
-        .join(classes, "id", "left")
+        starred.join(shuffled(distance), ["pivot", "id"], "left")
+        .join(shuffled(classes), "id", "left")
         .select("key", "id", F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", "low")).alias("low"), F.when(at_pivot, 0.0).otherwise(F.coalesce("exact", F.lit(1.0))).alias("high"), F.coalesce("component", "id").alias("klass"))
     )
     # Signatures are wide, so they join only what is left after regions of one class have gone.
-    open_ = stored(_of_several_classes(windows).join(node.select("id", "n", "parity"), "id").select("key", "id", "n", "parity", "low", "high", "klass"), "open")
+    open_ = stored(_of_several_classes(windows).join(shuffled(node.select("id", "n", "parity")), "id").select("key", "id", "n", "parity", "low", "high", "klass"), "open")
     read: list[DataFrame] = []
     cells = voronoi(open_, lambda ids: _sets_of(docs, profile, ids, words), num, den, read)
     crossing = map_blocks(blocks(cells), _crossing(eps + 1e-6, num, den), "a long, b long", ["a", "b"])
-    second = stored(crossing.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
+    second = stored(crossing.distinct().join(shuffled(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), ["a", "b"], "left_anti"), "crossing")
     drop(starred, node, open_, first, *read)
     late = _checked(second, docs, profile, words)
     linked_all = checked.where(linked).select("a", "b").union(late.where(linked).select("a", "b"))
     component = components(linked_all)
     drop(checked, late, second)
 
-    placed = profile.join(component, "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("klass"))
+    placed = profile.join(shuffled(component), "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("klass"))
     smallest = placed.where("klass is not null").groupBy("klass").agg(F.min("doc_id").alias("least"))
-    return placed.join(smallest, "klass", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return placed.join(shuffled(smallest), "klass", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 @safely_named
@@ -467,7 +467,7 @@ def dedup_documents(docs: DataFrame, num: int, den: int, words: int) -> DataFram
     """
     rows = counted_rows(docs)
     classes = jaccard_classes(rows.select(F.col("__row").alias("doc_id"), "text"), num, den, words)
-    named = classes.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    named = classes.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(shuffled(rows.select("__row", "doc_id")), "__row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"), (F.col("n_shingles") == 0).alias("empty"))
     first = named.groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row", F.col("first.empty").alias("__empty"))
-    return times(rows.join(first, "__row"), F.when(F.col("__empty"), F.col("__n")).otherwise(1), docs.columns)
+    return times(rows.join(shuffled(first), "__row"), F.when(F.col("__empty"), F.col("__n")).otherwise(1), docs.columns)

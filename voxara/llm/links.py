@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.llm.common import drop, lean, stored
+from voxara.llm.common import drop, lean, shuffled, stored
 
 #: Rows of one key that are compared in one piece, about.
 TILE = 1024
@@ -157,9 +157,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u_"), F.least("u", "m").alias("m"))
-        large = both.join(near, F.col("u") == F.col("u_")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(shuffled(near), F.col("u") == F.col("u_")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(least.withColumnRenamed("u", "u_"), F.col("u") == F.col("u_")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        kept = large.join(shuffled(least.withColumnRenamed("u", "u_")), F.col("u") == F.col("u_")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, stored(kept.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         drop(last, shuffles=False)
