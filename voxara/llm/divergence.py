@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxara.llm.common import drop, lean, own_columns, stored
+from voxara.llm.common import drop, free_shuffles, lean, own_columns, stored
 
 #: Documents of a lang that must hold a kept term; terms reported for a group; the scale of shares.
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
@@ -158,8 +158,10 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     """
     blank = own_columns(docs, "text", "lang", "source").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     counted = stored(_counted(_collapsed(blank)), "counted")
+    free_shuffles(docs.sparkSession)  # those of texts and of partial counts are not needed beside the next
     kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     present = stored(counted.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "present")
+    drop(counted)
     langs = present.groupBy("lang").agg(F.sum("n").alias("lang_n"))
     size = present.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
     totals = present.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
@@ -188,5 +190,5 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     pairs = found.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     out = stored(pairs.unionByName(marks), "divergence")
-    drop(counted, present, groups, shares)
+    drop(present, groups, shares)
     return out
