@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.operators.slabs import AXES, _filled, box_sums, by_blocks, moved
+from voxara.operators.batches import by_groups
+from voxara.operators.slabs import AXES, CELLS, _filled, box_sums, by_blocks, moved, one_by_one
 
 VOXEL = ["subject", *AXES]
 
@@ -128,13 +129,13 @@ def mppca(img: DataFrame, shape: dict[str, int], radius: int = 2, block: int = 1
 
     Images too small for a whole patch stay as they are.
     """
-    return by_blocks(img, shape, 2 * radius, lambda a, inside: pca_kernel(a, inside, radius, None), block, "constant")
+    return by_blocks(img, shape, 2 * radius, one_by_one(lambda a, inside: pca_kernel(a, inside, radius, None)), block, "constant")
 
 
 def lpca(img: DataFrame, sigma: DataFrame, shape: dict[str, int], radius: int = 2, tau: float = 2.3, block: int = 16) -> DataFrame:
     """Local principal components below ``tau`` deviations of the noise go; ``sigma`` is a map of it (subject, i, j, k, value)."""
     joined = img.join(sigma.select(*VOXEL, F.col("value").alias("sigma")), VOXEL, "left")
-    return by_blocks(joined, shape, 2 * radius, lambda a, inside, sigma: pca_kernel(a, inside, radius, tau, sigma), block, "constant", ("sigma",))
+    return by_blocks(joined, shape, 2 * radius, one_by_one(lambda a, inside, sigma: pca_kernel(a, inside, radius, tau, sigma)), block, "constant", ("sigma",))
 
 
 def _least_component(img: DataFrame, shape: dict[str, int]) -> DataFrame:
@@ -214,7 +215,7 @@ def pca_noise_map(img: DataFrame, shape: dict[str, int], volumes: list[int] | No
             variance = variance / rician_bias(np.maximum(snr, 0))
         return _filled(variance, 2)
 
-    variance = by_blocks(joined, shape3, 2, kernel, block, "constant", ("mean",))
+    variance = by_blocks(joined, shape3, 2, one_by_one(kernel), block, "constant", ("mean",))
     if smooth is not None:
         reach = int(4 * smooth + 0.5)
         weights = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * smooth * smooth))
@@ -272,26 +273,27 @@ def unring_slices(x: np.ndarray, n_points: int = 3, steps: int = 45) -> np.ndarr
 def unring(img: DataFrame, shape: dict[str, int], axis: str = "k", n_points: int = 3, steps: int = 45) -> DataFrame:
     """Gibbs ringing taken out of every slice across ``axis``, by sub-voxel shifts of least local variation.
 
-    A slice of a volume is the unit of work. Slices without any voxel have no rows.
+    A slice of a volume is the unit of work; small ones go many at a time. Slices without any voxel have no rows.
     """
     plane = [a for a in AXES if a != axis]
     if len(plane) != 2:
         raise ValueError(f"not an axis: {axis}")
     keys = ["subject", axis, *(["t"] if "t" in img.columns else [])]
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        x = np.zeros([shape[a] for a in plane])
-        at = tuple(rows.column(a).to_numpy() for a in plane)
-        x[at] = rows.column("value").to_numpy()
+    size = shape[plane[0]] * shape[plane[1]]
+
+    def run(rows: pa.Table, which: np.ndarray, first: np.ndarray) -> pa.Table:
+        x = np.zeros((len(first), *[shape[a] for a in plane]))
+        x[(which, *[rows.column(a).to_numpy() for a in plane])] = rows.column("value").to_numpy()
         out = unring_slices(x, n_points, steps)
-        grid = np.indices(out.shape).reshape(2, -1).astype(np.int32)
-        fixed = [pa.array([k.as_py()], k.type).take(pa.array(np.zeros(out.size, np.int64))) for k in key]
-        return pa.table([*fixed, *[pa.array(g) for g in grid], pa.array(out.ravel())], names=[*keys, *plane, "value"])
+        grid = np.indices(out.shape).reshape(3, -1).astype(np.int32)
+        fixed = rows.select(keys).take(pa.array(np.repeat(first, size)))
+        return pa.table([*fixed.columns, *[pa.array(g) for g in grid[1:]], pa.array(out.ravel())], names=[*keys, *plane, "value"])
 
     kind = dict(img.dtypes)["subject"]
     schema = f"subject {kind}, " + ", ".join(f"{c} int" for c in [*keys[1:], *plane]) + ", value double"
     typed = img.select("subject", *[F.col(c).cast("int").alias(c) for c in [*keys[1:], *plane]], F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
-    return typed.groupBy(*keys).applyInArrow(run, schema)
+    return by_groups(typed, keys, run, schema, max(1, CELLS // size))
 
 
 #: The quantile of the noise that estimates its level best, by coils; the median for other numbers.
@@ -317,46 +319,86 @@ def gamma_quantile(shape: float, p: float) -> float:
     return (low + high) / 2
 
 
+def _run_quantiles(x: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray, q: float) -> np.ndarray:
+    """np.quantile of the values of the rows low to high of x[which], for many runs at once."""
+    out, cells = np.empty(len(which)), x.shape[1] * x.shape[2]
+    for at in range(0, len(which), max(1, CELLS // cells)):
+        part = slice(at, at + max(1, CELLS // cells))
+        if cells > CELLS:
+            out[part] = np.quantile(x[which[at], low[at] : high[at]], q)
+            continue
+        rows = np.arange(x.shape[1])
+        inside = (rows >= low[part, None]) & (rows < high[part, None])
+        values = np.sort(np.where(inside[..., None], x[which[part]], np.inf).reshape(len(which[part]), -1), axis=1)
+        place = ((high[part] - low[part]) * x.shape[2] - 1) * q
+        below = np.floor(place).astype(np.int64)
+        each = np.arange(len(values))
+        a, b = values[each, below], values[each, np.minimum(below + 1, (high[part] - low[part]) * x.shape[2] - 1)]
+        t = place - below
+        out[part] = np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+    return out
+
+
 def slice_noise(x: np.ndarray, coils: int = 1, alpha: float = 0.01, starts: int = 50, rounds: int = 100, eps: float = 1e-5) -> float:
-    """Noise deviation of a slice (voxels by volumes): the fixed point that marks the most voxels as noise alone.
+    """Noise deviation of a slice (voxels by volumes): the fixed point that marks the most voxels as noise alone."""
+    return float(slices_noise(x[None], coils, alpha, starts, rounds, eps)[0])
+
+
+def slices_noise(x: np.ndarray, coils: int = 1, alpha: float = 0.01, starts: int = 50, rounds: int = 100, eps: float = 1e-5) -> np.ndarray:
+    """Noise deviations of slices (slices by voxels by volumes).
 
-    From each of the starting levels all at once: voxels whose mean square fits
-    the level are noise; a quantile of their values is the next level.
+    From each of the starting levels, of all slices at once: voxels whose mean
+    square fits the level are noise; a quantile of their values is the next
+    level. The levels that stop first with the most voxels are the results.
     """
-    quantile, n = BEST_QUANTILE.get(coils, 0.5), x.shape[1]
+    quantile, n = BEST_QUANTILE.get(coils, 0.5), x.shape[2]
     scale = math.sqrt(2 * gamma_quantile(coils, quantile))
     low, high = (gamma_quantile(coils * n, p) / n for p in (alpha / 2, 1 - alpha / 2))
-    squares = (x * x).sum(1) / (2 * n)
-    top = float(np.quantile(x, quantile)) / scale
-    order = np.argsort(squares, kind="stable")
-    squares, x = squares[order], x[order]
-    best, largest = top, 0
-    for level in np.arange(1, starts + 1) * top / starts:
-        before, size = 0.0, 0
-        for _ in range(rounds):
-            if abs(level - before) < eps:
-                break
-            # Sorted by mean square, what fits a level is a run.
-            a, b = np.searchsorted(squares, low * level**2, "left"), np.searchsorted(squares, high * level**2, "right")
-            size = b - a
-            if size <= 0:
-                break
-            before, level = level, float(np.quantile(x[a:b], quantile)) / scale
-        if size > largest:
-            best, largest = level, size
-    return best
+    squares = (x * x).sum(2) / (2 * n)
+    top = np.quantile(x.reshape(len(x), -1), quantile, axis=1) / scale
+    order = np.argsort(squares, axis=1, kind="stable")
+    squares, x = np.take_along_axis(squares, order, 1), np.take_along_axis(x, order[..., None], 1)
+    level = (np.arange(1, starts + 1) * top[:, None] / starts).ravel()
+    of = np.repeat(np.arange(len(x)), starts)
+    before, size = np.zeros(len(level)), np.zeros(len(level), np.int64)
+    left = np.arange(len(level))
+    for _ in range(rounds):
+        left = left[np.abs(level[left] - before[left]) >= eps]
+        if not len(left):
+            break
+        # Sorted by mean square, what fits a level is a run.
+        a, b = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
+        ends = np.flatnonzero(np.append(of[left][1:] != of[left][:-1], True)) + 1
+        for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            held, levels = squares[of[left[start]]], level[left[start:end]] ** 2
+            a[start:end], b[start:end] = np.searchsorted(held, low * levels, "left"), np.searchsorted(held, high * levels, "right")
+        size[left] = b - a
+        some = b > a
+        left, a, b = left[some], a[some], b[some]
+        if not len(left):
+            break
+        # Many levels of a slice mark the same run.
+        runs, back = np.unique((of[left] * (x.shape[1] + 1) + a) * (x.shape[1] + 1) + b, return_index=True, return_inverse=True)[1:]
+        found = _run_quantiles(x, of[left][runs], a[runs], b[runs], quantile) / scale
+        before[left], level[left] = level[left], found[back.ravel()]
+    size, level = size.reshape(len(x), starts), level.reshape(len(x), starts)
+    best = size.argmax(1)
+    each = np.arange(len(x))
+    return np.where(size[each, best] > 0, level[each, best], top)
 
 
 def piesno(img: DataFrame, shape: dict[str, int], coils: int = 1) -> DataFrame:
-    """Noise deviation of every slice across k, from its background: (subject, k, sigma). A slice is the unit of work."""
+    """Noise deviation of every slice across k, from its background: (subject, k, sigma). Small slices go many at a time."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        x = np.zeros((shape["i"], shape["j"], shape["t"]))
-        x[tuple(rows.column(c).to_numpy() for c in ("i", "j", "t"))] = rows.column("value").to_numpy()
-        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([slice_noise(x.reshape(-1, shape["t"]), coils)])], names=["subject", "k", "sigma"])
+    def run(rows: pa.Table, which: np.ndarray, first: np.ndarray) -> pa.Table:
+        x = np.zeros((len(first), shape["i"], shape["j"], shape["t"]))
+        x[(which, *[rows.column(c).to_numpy() for c in ("i", "j", "t")])] = rows.column("value").to_numpy()
+        sigma = slices_noise(x.reshape(len(first), -1, shape["t"]), coils)
+        return pa.table([*rows.select(["subject", "k"]).take(pa.array(first)).columns, pa.array(sigma)], names=["subject", "k", "sigma"])
 
     typed = img.select("subject", *[F.col(c).cast("int").alias(c) for c in (*AXES, "t")], F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
-    return typed.groupBy("subject", "k").applyInArrow(run, f"subject {dict(img.dtypes)['subject']}, k int, sigma double")
+    most = max(1, CELLS // (shape["i"] * shape["j"] * shape["t"]))
+    return by_groups(typed, ["subject", "k"], run, f"subject {dict(img.dtypes)['subject']}, k int, sigma double", most)
 
 
 def residual(img: DataFrame, denoised: DataFrame) -> DataFrame:
