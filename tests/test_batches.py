@@ -43,3 +43,26 @@ def test_groups_stay_whole_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.name or "", r.n) for r in got) == sorted(("" if g == 5 else f"g{g}", g + 1) for g in range(23)) and {r.sides for r in got} == {1}
+
+
+def test_discovery_has_no_shrinking_windows(spark):
+    from voxara.operators import statistics
+
+    p = spark.range(200).select(F.col("id").alias("feature"), (F.col("id") % 7 / 10.0).alias("p"))
+    out = statistics.false_discovery(p)
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(out.collect(), key=lambda r: (r.p, r.feature))
+    least, want = 1e9, []
+    for k in range(len(rows), 0, -1):
+        least = min(least, rows[k - 1].p * len(rows) / k)
+        want.append(least)
+    np.testing.assert_allclose([r.q_bh for r in rows], want[::-1])
+
+
+def test_small_matrices_are_dealt_over_all_tasks(spark):
+    from voxara.operators import matrices
+
+    m = spark.createDataFrame([(s, i, j, 1.0) for s in range(200) for i in range(3) for j in range(3) if i != j], "subject long, i int, j int, w double")
+    for found in (matrices.shortest_paths(m, 3), matrices.communities(m, 3, 5)):
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert {r.efficiency for r in matrices.shortest_paths(m, 3).collect()} == {1.0}

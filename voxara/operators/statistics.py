@@ -45,8 +45,9 @@ def false_discovery(tests: DataFrame, by: list[str] | None = None) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("p", "feature")) + F.col("__before")
     ranked = held.join(before, keys).withColumn("__rank", rank).withColumn("__step", F.col("__n") / F.col("__rank") * F.col("p"))
     least = ranked.groupBy(*keys).agg(F.min("__step").alias("__least"))
-    later = least.select(*keys, F.min("__least").over(along.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
-    inner = F.min("__step").over(W.partitionBy(*keys).orderBy("__rank").rowsBetween(0, W.unboundedFollowing))
+    later = least.select(*keys, F.min("__least").over(W.partitionBy(*(by or [])).orderBy(F.desc("__class")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"))
+    # From the last rank back: a window that grows is one pass, one that shrinks is read anew for every row.
+    inner = F.min("__step").over(W.partitionBy(*keys).orderBy(F.desc("__rank")).rowsBetween(W.unboundedPreceding, 0))
     adjusted = ranked.join(later, keys).select(
         *tests.columns,
         F.least(inner, F.coalesce("__later", inner)).alias("q_bh"),
