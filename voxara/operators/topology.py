@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from voxara.operators.batches import spread
 from voxara.operators.matrices import _keyed, _unkeyed, binarize, communities, from_upper, normalise, prune
 
 
@@ -90,7 +91,7 @@ def node_paths(m: DataFrame, n: int, weighted: bool = True, closure: bool = Fals
         b = betweenness(length, d) / max(1, (n - 1) * (n - 2))
         return pd.DataFrame({"subject": key[0], "node": np.arange(n, dtype=np.int32), "betweenness": b, "local_efficiency": local_efficiency(w, weighted), "efficiency": inverse.sum(1) / max(1, n - 1)})
 
-    return m.groupBy("subject").applyInPandas(measure, "subject long, node int, betweenness double, local_efficiency double, efficiency double")
+    return spread(m, "subject").groupBy("subject").applyInPandas(measure, "subject long, node int, betweenness double, local_efficiency double, efficiency double")
 
 
 def _pruned(m: DataFrame, n: int, densities: list[float], weighted: bool) -> DataFrame:
