@@ -66,3 +66,28 @@ def test_small_matrices_are_dealt_over_all_tasks(spark):
     for found in (matrices.shortest_paths(m, 3), matrices.communities(m, 3, 5)):
         assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
     assert {r.efficiency for r in matrices.shortest_paths(m, 3).collect()} == {1.0}
+
+
+def test_smoothing_shuffles_voxels_once(spark):
+    from voxara.operators import images
+
+    img = _images(spark, 4).where("t = 0").select("subject", "i", "j", "k", "value")
+    out = images.smooth(img, 0.5, (1.0, 1.0, 1.0), {"i": 3, "j": 3, "k": 2})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    w = lambda n: np.array([[np.exp(-2.0 * (a - b) ** 2) if abs(a - b) <= 2 else 0 for b in range(n)] for a in range(n)])
+    dense = np.zeros((4, 3, 3, 2))
+    for r in img.collect():
+        dense[r.subject, r.i, r.j, r.k] = r.value
+    ws = [w(n) / w(n).sum(1, keepdims=True) for n in (3, 3, 2)]
+    want = np.einsum("sijk,ai,bj,ck->sabc", dense, *ws)
+    for r in out.collect():
+        assert abs(r.value - want[r.subject, r.i, r.j, r.k]) < 1e-9
+
+
+def test_neighbours_are_sent_from_tasks_of_their_own(spark):
+    from voxara.operators import denoise, images
+
+    img = _images(spark, 4)
+    binary = img.where("t = 0").groupBy("subject", "i", "j", "k").agg(F.max("value").alias("value"))
+    for out in (images.erode(binary), images.dilate(binary, {"i": 3, "j": 3, "k": 2}), denoise.noise_sigma(img, {"i": 3, "j": 3, "k": 2})):
+        assert "hashpartitioning(xxhash64" in out._jdf.queryExecution().executedPlan().toString().replace("Exchange ", "")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxara.operators.batches import by_groups
+from voxara.operators.batches import by_groups, scattered
 from voxara.operators.slabs import AXES, CELLS, _filled, box_sums, by_blocks, moved, one_by_one
 
 VOXEL = ["subject", *AXES]
@@ -37,7 +37,7 @@ def noise_sigma(img: DataFrame, shape: dict[str, int], coils: int = 0) -> DataFr
     spread = [F.struct(*[F.lit(d if a == b else 0).alias(b) for b in AXES], F.lit(0.0).alias("own"), F.lit(1.0).alias("near")) for a, d in steps]
     edge = sum(((F.col(a) == 0).cast("double") + (F.col(a) == shape[a] - 1).cast("double") for a in AXES), F.lit(0.0))
     own = F.struct(*[F.lit(0).alias(b) for b in AXES], F.lit(1.0).alias("own"), edge.alias("near"))
-    sent = img.select(*VOXEL, "t", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.explode(F.array(own, *spread)).alias("d"))
+    sent = scattered(img, *VOXEL, "t").select(*VOXEL, "t", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.explode(F.array(own, *spread)).alias("d"))
     sent = sent.select("subject", *[(F.col(a) + F.col(f"d.{a}")).cast("int").alias(a) for a in AXES], "t", (F.col("value") * F.col("d.own")).alias("own"), (F.col("value") * F.col("d.near")).alias("near"))
     inside = F.lit(True)
     for a in AXES:

@@ -6,14 +6,22 @@ an equi-join on the voxel, or one aggregation by voxel.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxara.operators.batches import scattered
+from voxara.operators.slabs import _filled, by_blocks
+
 VOXEL = ["subject", "i", "j", "k"]
+#: Edge of the blocks that are smoothed.
+SMOOTHED = 32
+#: Marks voxels that have no row, where a kernel returns whole blocks.
+ABSENT = -1.7976931348623157e308
 #: Offsets of the face, edge and corner neighbourhoods, by the largest sum of steps.
 REACH = {"NN1": 1, "NN2": 2, "NN3": 3}
 
@@ -68,22 +76,38 @@ def tissue_rois(brain: DataFrame, fa: DataFrame, trace: DataFrame, iterations: i
     return white.unionByName(mask(trace.where(F.col("value") > trace_above), core).select(*VOXEL, F.lit("fluid").alias("roi")))
 
 
+def gaussian(sigma: float, zooms: tuple[float, float, float], reach: float = 4.0) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """The halo that a Gaussian needs, and the function that sums neighbours by its weights along each axis and drops the halo."""
+    reaches = [int(reach * sigma / z) for z in zooms]
+    weights = [np.exp(-((np.arange(-far, far + 1) * z) ** 2) / (2 * sigma * sigma)) for far, z in zip(reaches, zooms, strict=True)]
+    halo = max(reaches)
+
+    def along(a: np.ndarray) -> np.ndarray:
+        for axis, (far, w) in enumerate(zip(reaches, weights, strict=True)):
+            n = a.shape[axis] - 2 * halo
+            a = sum(w[d + far] * np.take(a, range(halo + d, halo + d + n), axis) for d in range(-far, far + 1))
+        return a
+
+    return halo, along
+
+
 def smooth(img: DataFrame, sigma: float, zooms: tuple[float, float, float], shape: dict[str, int], reach: float = 4.0) -> DataFrame:
     """Gaussian smoothing of the given deviation in mm, one axis after another, up to ``reach`` deviations.
 
     At the border weights are those of the voxels inside, scaled to sum to 1;
-    voxels without a row count as 0. Each axis is one aggregation.
+    voxels without a row count as 0. Blocks with halos are smoothed along all
+    axes at once, so the one shuffle is that of the voxels. Voxels without any
+    other in reach have no row.
     """
-    out = img.select(*VOXEL, F.col("value").cast("double").alias("value"))
-    for (axis, n), zoom in zip(shape.items(), zooms, strict=True):
-        far = int(reach * sigma / zoom)
-        weights = {d: math.exp(-((d * zoom) ** 2) / (2 * sigma * sigma)) for d in range(-far, far + 1)}
-        norms = [sum(w for d, w in weights.items() if 0 <= at + d < n) for at in range(n)]
-        steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in weights.items()])).alias("step")
-        moved = out.select(*VOXEL, "value", steps).select(*[(F.col(a) + F.col("step.d")).cast("int").alias(a) if a == axis else F.col(a) for a in VOXEL], (F.col("value") * F.col("step.w")).alias("value"))
-        inside = moved.where(F.col(axis).between(0, n - 1)).groupBy(VOXEL).agg(F.sum("value").alias("value"))
-        out = inside.withColumn("value", F.col("value") / F.get(F.array(*map(F.lit, norms)), F.col(axis)))
-    return out
+    halo, along = gaussian(sigma, zooms, reach)
+
+    def kernel(a: np.ndarray, inside: np.ndarray, near: np.ndarray) -> np.ndarray:
+        norm = along(inside.astype(float))[..., None]
+        # Rows are those of voxels in reach of a row; the others are marked.
+        return _filled(np.where(along(near) > 0, along(a) / np.where(norm > 0, norm, 1), ABSENT), halo)
+
+    marked = img.select(*VOXEL, "value", F.lit(1.0).alias("near"))
+    return by_blocks(marked, shape, halo, kernel, SMOOTHED, "constant", ("near",)).where(F.col("value") != ABSENT)
 
 
 def contrast(img: DataFrame) -> DataFrame:
@@ -200,7 +224,7 @@ def erode(binary: DataFrame, kernel: str = "NN1", iterations: int = 1) -> DataFr
     """Voxels whose whole neighbourhood is set; those at the border go. One shuffle per iteration."""
     out = binary.where("value > 0").select(VOXEL)
     for _ in range(iterations):
-        near = out.select(*VOXEL, _offsets(kernel)).select("subject", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
+        near = scattered(out, *VOXEL).select(*VOXEL, _offsets(kernel)).select("subject", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
         out = near.groupBy(VOXEL).count().where(F.col("count") == kernel_size(kernel)).select(VOXEL)
     return out.withColumn("value", F.lit(1))
 
@@ -210,7 +234,7 @@ def dilate(binary: DataFrame, shape: dict[str, int], kernel: str = "NN1", iterat
     out = binary.where("value > 0").select(VOXEL)
     inside = reduce(lambda a, b: a & b, [F.col(a).between(0, n - 1) for a, n in shape.items()])
     for _ in range(iterations):
-        near = out.select(*VOXEL, _offsets(kernel)).select("subject", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
+        near = scattered(out, *VOXEL).select(*VOXEL, _offsets(kernel)).select("subject", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
         out = near.where(inside).distinct()
     return out.withColumn("value", F.lit(1))
 
