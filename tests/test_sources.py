@@ -120,3 +120,14 @@ def test_broken_deflation_is_no_image(spark, tmp_path):
     (tmp_path / "a.dcm").write_bytes(raw[: 132 + 8 + len(dicom.DEFLATED)] + b"\xff" * 40)
     (tmp_path / "b.dcm").write_bytes(_file(dicom.IMPLICIT))
     assert {(r.valid, r.Rows) for r in dicom.read_headers(spark, str(tmp_path)).collect()} == {(False, None), (True, "300")}
+
+
+def test_many_files_are_few_partitions(spark, tmp_path):
+    for n in range(450):
+        (tmp_path / f"{n}.nii.gz").write_bytes(images.encode(np.full((1, 1, 1), float(n + 1)), AFFINE, [2.0, 2, 3]))
+    reader = nifti.NiftiReader(f"file://{tmp_path}", 16, False)
+    assert len(reader.partitions()) == 150
+    nifti.register(spark)
+    df = spark.read.format("nifti").option("path", str(tmp_path)).load()
+    assert sorted(r.value for r in df.collect()) == [float(n + 1) for n in range(450)]
+    assert spark.read.format("nifti").option("path", str(tmp_path)).option("headers", "true").load().count() == 450

@@ -1,7 +1,9 @@
 """NIfTI files as a Spark data source: ``spark.read.format("nifti")`` after ``register``.
 
-Headers alone are read to plan: an uncompressed file is dealt in ranges of
-volumes, a compressed one is a partition. Filters on path and t leave whole
+An uncompressed file is dealt in ranges of volumes, for which its header is read
+to plan. Compressed files, and all where headers alone are asked for, are only
+listed to plan: there are 200 partitions of them at most. A filter on t
+has the headers of compressed files read to plan as well. Filters on path and t leave whole
 files and volumes unread. Options: ``path`` (a folder or file that pyarrow reaches, searched through
 all folders), ``volumes`` (of a partition, 16) and ``headers`` ("true": a row
 per file with its header instead of voxels).
@@ -27,6 +29,21 @@ HEADERS = "path string, shape array<int>, zooms array<double>, affine array<doub
 _FIRST = 1 << 14
 
 
+@dataclass
+class Files(InputPartition):
+    """Whole files by name; their headers are read by the task."""
+
+    names: list[str]
+
+    @property
+    def count(self) -> int:
+        return len(self.names)
+
+
+#: Partitions of whole files, at most.
+_PARTS = 200
+
+
 @dataclass
 class Volumes(InputPartition):
     """Volumes of one file: its name and header, the first and the number."""
@@ -66,26 +83,51 @@ class NiftiReader(DataSourceReader):
         store, root = self._store()
         info = store.get_file_info(root)
         found = store.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else [info]
-        parts = []
+        parts, whole = [], []
+        by_volume = any(getattr(x, "attribute", None) == ("t",) for x in self.filters)
         for f in sorted((f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".nii", ".nii.gz")))):
             if not all(_keeps(x, "path", f) for x in self.filters):
                 continue
-            with store.open_input_stream(f, compression=None) as s:
-                try:
-                    head = decode_header(s.read(_FIRST if f.endswith(".gz") else 352))
-                except (ValueError, KeyError):
-                    continue  # no image
+            if self.headers or (f.endswith(".gz") and not by_volume):
+                whole.append(f)
+                continue
+            head = self._head(store, f)
+            if head is None:
+                continue
+            if f.endswith(".gz"):
+                if any(all(_keeps(x, "t", t) for x in self.filters) for t in range(int(np.prod(head["shape"][3:])))):
+                    whole.append(f)
+                continue
             n = int(np.prod(head["shape"][3:]))
-            step = n if f.endswith(".gz") or self.headers else self.volumes
-            for first in range(0, n, step):
-                held = range(first, min(n, first + step))
-                if self.headers or any(all(_keeps(x, "t", t) for x in self.filters) for t in held):
+            for first in range(0, n, self.volumes):
+                held = range(first, min(n, first + self.volumes))
+                if any(all(_keeps(x, "t", t) for x in self.filters) for t in held):
                     parts.append(Volumes(f, head, first, len(held)))
+        step = max(1, -(-len(whole) // _PARTS))
+        parts += [Files(whole[at : at + step]) for at in range(0, len(whole), step)]
         return parts or [Volumes("", {}, 0, 0)]
 
-    def read(self, partition: Volumes) -> Iterator[pa.RecordBatch]:
-        if not partition.count:
-            return
+    def _head(self, store, name: str) -> dict | None:
+        """The header of a file; none where it is no image."""
+        with store.open_input_stream(name, compression=None) as s:
+            try:
+                return decode_header(s.read(_FIRST if name.endswith(".gz") else 352))
+            except (ValueError, KeyError):
+                return None
+
+    def read(self, partition: Volumes | Files) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Files):
+            store, _ = self._store()
+            for name in partition.names:
+                head = self._head(store, name)
+                if head is not None:
+                    n = int(np.prod(head["shape"][3:]))
+                    if self.headers or any(all(_keeps(x, "t", t) for x in self.filters) for t in range(n)):
+                        yield from self._volumes(Volumes(name, head, 0, n))
+        elif partition.count:
+            yield from self._volumes(partition)
+
+    def _volumes(self, partition: Volumes) -> Iterator[pa.RecordBatch]:
         head, name = partition.head, partition.name
         if self.headers:
             row = [[name], [head["shape"]], [head["zooms"]], [head["affine"]], [head["intent"]], [head["dtype"]]]
