@@ -17,3 +17,13 @@ def test_divergence_frees_shuffles_before_its_next_step(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "ab cd", "en", f"s{i % 2}") for i in range(24)], "doc_id long, text string, lang string, source string")
     assert divergence.audit(docs).where("part = 'pair'").count() == 2
     assert freed[0] == "counted"
+
+
+def test_divergence_shuffles_terms_once_to_count_them(spark):
+    docs = spark.createDataFrame([(f"ab cd w{i}", "en", f"s{i % 2}") for i in range(24)], "text string, lang string, source string")
+    counted = divergence._counted(divergence._collapsed(docs))
+    before = counted._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    out = divergence._present(counted, 10)
+    assert sorted(map(tuple, out.collect())) == [("en", s, t, 12, 24) for s in ("s0", "s1") for t in ("ab", "cd", "w")]
+    # All terms of the widest shuffle, not summed over sources by others after it.
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == before

@@ -76,7 +76,15 @@ def _counted(collapsed: DataFrame) -> DataFrame:
             yield out()
 
     partial = collapsed.mapInArrow(lean(run), "lang string, source string, term string, n long, docs long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt by term alone, so that the sums over a term's sources need no other shuffle.
+    return partial.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _present(counted: DataFrame, least_docs: int) -> DataFrame:
+    """The kept terms' counts in every source, and ``all_n`` in all of them: lang, source, term, n, all_n."""
+    term = Window.partitionBy("lang", "term")
+    summed = counted.withColumns({"all_n": F.sum("n").over(term), "all_docs": F.sum("docs").over(term)})
+    return summed.where(F.col("all_docs") >= least_docs).select("lang", "source", "term", "n", "all_n")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -157,11 +165,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     Returns lang, source, part (pair or term), item, value, rank.
     """
     blank = own_columns(docs, "text", "lang", "source").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = stored(_counted(_collapsed(blank)), "counted")
+    present = stored(_present(_counted(_collapsed(blank)), least_docs), "counted")
     free_shuffles(docs.sparkSession)  # those of texts and of partial counts are not needed beside the next
-    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    present = stored(counted.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "present")
-    drop(counted)
     langs = present.groupBy("lang").agg(F.sum("n").alias("lang_n"))
     size = present.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
     totals = present.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
