@@ -374,3 +374,12 @@ def test_parts_are_of_each_subject(spark):
             if r.subject == s:
                 parts[r.i // 20].add(r.part)
         assert all(len(p) == 1 for p in parts.values()) and len(set.union(*parts.values())) == 3
+
+
+def test_valid_dwi_deals_subjects_over_all_tasks(spark):
+    rows = [(1, 0), (1, 1), (2, 0), (3, 0), (4, None), (None, 0), (5, 0), (5, 1)]
+    found = [(1, 0, 0.0, 1.0), (1, 1, 5.0, 1.0), (2, 0, 0.0, None), (4, None, None, None), (None, 0, 1.0, 1.0), (5, 0, 1.0, 1.0), (5, 0, 1.0, 1.0), (6, 0, 1.0, 1.0)]
+    out = volumes.is_valid_dwi(spark.createDataFrame(rows, "subject long, t int"), spark.createDataFrame(found, "subject long, t int, b double, bx double"))
+    assert {r.subject: r.valid for r in out.collect()} == {1: True, 2: False, 3: False, 4: True, None: False, 5: False}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("REPARTITION_BY_NUM") >= 2

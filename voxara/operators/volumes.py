@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxara.operators.batches import spread
+
 # Codes of the phase-encoding directions.
 PHASE = {"AP": "j-", "PA": "j", "LR": "i", "RL": "i-", "IS": "k", "SI": "k-"}
 
@@ -52,10 +54,14 @@ def bval_report(volumes: DataFrame) -> DataFrame:
 
 def is_valid_dwi(volumes: DataFrame, gradients: DataFrame) -> DataFrame:
     """Whether a subject has one b-value and one direction for each of its volumes; images by (subject, t)."""
-    n = volumes.groupBy("subject").agg(F.countDistinct("t").alias("n_volumes"))
-    g = gradients.groupBy("subject").agg(F.count("b").alias("n_b"), F.countDistinct("t").alias("n_t"), F.count("bx").alias("n_vec"))
-    ok = (F.col("n_b") == F.col("n_volumes")) & (F.col("n_vec") == F.col("n_volumes")) & (F.col("n_t") == F.col("n_volumes"))
-    return n.join(g, "subject", "left").select("subject", F.coalesce(ok, F.lit(False)).alias("valid"))
+    images = volumes.select("subject", "t", F.lit(True).alias("image"), F.lit(0).alias("b"), F.lit(0).alias("bx"))
+    directions = gradients.select("subject", "t", F.lit(False).alias("image"), F.col("b").isNotNull().cast("int").alias("b"), F.col("bx").isNotNull().cast("int").alias("bx"))
+    # Each is dealt over all tasks by itself: narrow rows are small, but the groups made of them are not.
+    each = spread(images, "subject").union(spread(directions, "subject")).groupBy("subject", "t").agg(F.bool_or("image").alias("image"), F.bool_or(~F.col("image")).alias("direction"), F.sum("b").alias("n_b"), F.sum("bx").alias("n_vec"))
+    named = F.col("t").isNotNull()
+    n = each.groupBy("subject").agg(F.bool_or("image").alias("image"), F.bool_or("direction").alias("given"), F.count_if(F.col("image") & named).alias("n_volumes"), F.count_if(F.col("direction") & named).alias("n_t"), F.sum("n_b").alias("n_b"), F.sum("n_vec").alias("n_vec"))
+    ok = F.col("subject").isNotNull() & (F.col("n_b") == F.col("n_volumes")) & (F.col("n_vec") == F.col("n_volumes")) & (F.col("n_t") == F.col("n_volumes"))
+    return n.where("image").select("subject", (ok & F.col("given")).alias("valid"))
 
 
 def adjust_b0(dwi: DataFrame, least: float = 1e-9) -> DataFrame:
