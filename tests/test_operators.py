@@ -383,3 +383,14 @@ def test_valid_dwi_deals_subjects_over_all_tasks(spark):
     assert {r.subject: r.valid for r in out.collect()} == {1: True, 2: False, 3: False, 4: True, None: False, 5: False}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_erosion_after_threshold_is_one_shuffle(spark):
+    brain = spark.createDataFrame([(s, i, j, k, 1) for s in range(2) for i in range(4) for j in range(4) for k in range(3)], "subject long, i int, j int, k int, value int")
+    fa = brain.where("i > 1").select("subject", "i", "j", "k", (F.col("j") / 2.0).alias("value"))
+    out = images.threshold_fa(fa.union(fa.where("j = 1 and k = 1")), brain, 0.5)
+    # The core is i and j from 1 to 2, k 1; only i 2 has a value there, only j 2 one above the threshold.
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 2, 2, 1, 1), (1, 2, 2, 1, 1)]
+    twice = images.threshold_fa(fa.union(fa), brain, 0.5)
+    assert twice.count() == 4
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

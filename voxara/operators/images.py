@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxara.operators.batches import scattered
+from voxara.operators.batches import scattered, spread
 from voxara.operators.slabs import _filled, by_blocks
 
 VOXEL = ["subject", "i", "j", "k"]
-#: Edge of the blocks that are smoothed.
-SMOOTHED = 32
+#: Edge of the blocks that are smoothed, and of those whose voxels' neighbours are counted together.
+SMOOTHED, COUNTED = 32, 8
 #: Marks voxels that have no row, where a kernel returns whole blocks.
 ABSENT = -1.7976931348623157e308
 #: Offsets of the face, edge and corner neighbourhoods, by the largest sum of steps.
@@ -63,8 +63,16 @@ def split(img: DataFrame, axis: str, index: int | None = None) -> DataFrame:
 def threshold_fa(fa: DataFrame, brain: DataFrame | None = None, value: float = 0.7, iterations: int = 1) -> DataFrame:
     """Voxels above the threshold inside the mask, eroded if asked for; without a mask that of non-zero voxels."""
     inside = brain if brain is not None else fa.where("value <> 0")
-    core = erode(inside, "NN1", iterations) if iterations else inside.where("value > 0")
-    return mask(fa.where(F.col("value") > value), core).select(*VOXEL, F.lit(1).alias("value"))
+    above = fa.where(F.col("value") > value)
+    if not iterations:
+        return mask(above, inside.where("value > 0")).select(*VOXEL, F.lit(1).alias("value"))
+    # The last erosion and the mask are one aggregation over the voxels.
+    near = _near(erode(inside, "NN1", iterations - 1) if iterations > 1 else inside.where("value > 0"), "NN1")
+    held = spread(above.na.drop(subset=VOXEL).select(*VOXEL, F.lit(0).cast("long").alias("near"), F.lit(1).alias("held")), *VOXEL)
+    both = held.union(near.withColumn("held", F.lit(0))).groupBy(VOXEL).agg(F.sum("near").alias("near"), F.sum("held").cast("int").alias("held"))
+    core = both.where((F.col("near") == kernel_size("NN1")) & (F.col("held") > 0))
+    # A voxel comes as often as the image has it.
+    return core.select(*VOXEL, F.explode(F.array_repeat(F.lit(1), F.col("held"))).alias("value"))
 
 
 def tissue_rois(brain: DataFrame, fa: DataFrame, trace: DataFrame, iterations: int = 10, fa_above: float = 0.7, trace_above: float = 0.0085, exclude: DataFrame | None = None) -> DataFrame:
@@ -220,12 +228,22 @@ def kernel_size(kernel: str) -> int:
     return {"NN1": 7, "NN2": 19, "NN3": 27}[kernel]
 
 
+def _near(voxels: DataFrame, kernel: str) -> DataFrame:
+    """Voxels by how many of the given ones they are in reach of (``near``), in parts, dealt by voxel over all tasks.
+
+    Neighbours are added up by blocks first, so that few of them are shuffled.
+    """
+    block = [f"b{a}" for a in "ijk"]
+    dealt = spread(voxels.select(*VOXEL, *[F.floor(F.col(a) / COUNTED).alias(b) for a, b in zip("ijk", block, strict=True)]), "subject", *block)
+    moved = dealt.select(*VOXEL, *block, _offsets(kernel)).select("subject", *block, *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
+    return spread(moved.groupBy("subject", *block, "i", "j", "k").agg(F.count("*").alias("near")).select(*VOXEL, "near"), *VOXEL)
+
+
 def erode(binary: DataFrame, kernel: str = "NN1", iterations: int = 1) -> DataFrame:
-    """Voxels whose whole neighbourhood is set; those at the border go. One shuffle per iteration."""
+    """Voxels whose whole neighbourhood is set; those at the border go."""
     out = binary.where("value > 0").select(VOXEL)
     for _ in range(iterations):
-        near = scattered(out, *VOXEL).select(*VOXEL, _offsets(kernel)).select("subject", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "ijk"])
-        out = near.groupBy(VOXEL).count().where(F.col("count") == kernel_size(kernel)).select(VOXEL)
+        out = _near(out, kernel).groupBy(VOXEL).agg(F.sum("near").alias("near")).where(F.col("near") == kernel_size(kernel)).select(VOXEL)
     return out.withColumn("value", F.lit(1))
 
 
