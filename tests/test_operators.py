@@ -394,3 +394,19 @@ def test_erosion_after_threshold_is_one_shuffle(spark):
     twice = images.threshold_fa(fa.union(fa), brain, 0.5)
     assert twice.count() == 4
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_subject_of_many_points_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    from voxara.sources import tracks as track_files
+
+    monkeypatch.setattr(track_files, "_POINTS", 7)
+    monkeypatch.setattr(track_files, "_BYTES", 64)
+    rows = [(s, line, seq, float(line), float(seq), 0.5) for s in range(2) for line in range(9) for seq in range(1 + line * 3)]
+    points = spark.createDataFrame(rows, "subject long, streamline long, seq long, x double, y double, z double").repartition(3)
+    for kind in ("trk", "tck"):
+        folder = f"file://{tmp_path}/{kind}"
+        assert sorted(r.streamlines for r in track_files.write_tracks(points, folder, kind).collect()) == [9, 9]
+        got = track_files.read_points(spark, folder).select(F.regexp_extract("path", r"([^/]*)[.]...$", 1).cast("long"), "streamline", "seq", "x", "y", "z")
+        assert sorted(map(tuple, got.collect())) == rows
+        raw = (tmp_path / kind / f"1.{kind}").read_bytes()
+        assert raw == (track_files.encode_trk if kind == "trk" else track_files.encode_tck)([np.array([r[3:] for r in rows if r[0] == 1 and r[1] == line]) for line in range(9)])
