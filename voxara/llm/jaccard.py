@@ -33,8 +33,10 @@ from voxara.llm.common import counted_rows, drop, free_shuffles, lean, own_colum
 from voxara.llm.links import BLOOM_BITS, bit_filter, blocks, bounds, components, map_blocks, passes, shared_keys
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
-#: Bits of a set's parity signature.
-PARITY_BITS = 512
+#: Bits of a set's parity signature, least and most, and bits a shingle between them (README: 7).
+PARITY_BITS, PARITY_MOST, PARITY_SHARE = 512, 8192, 0.6
+#: Words of signatures that are compared at once.
+AT_ONCE = 1 << 18
 #: Largest size over smallest size of the sets that share one number of classes, about.
 SPREAD = 1.4
 #: Share of sets that may need another deal, about, and deals at most.
@@ -96,11 +98,46 @@ def _set_hash(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """Bit k is the parity of the shingles in class k: signatures differ in no more bits than sets in shingles."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    """Bit k is the parity of the shingles in class k: signatures differ in no more bits than sets in shingles.
+
+    Large sets have more bits, as sets of more shingles may differ in more; their number is a power of two.
+    """
+    bits = PARITY_BITS
+    while bits < min(PARITY_SHARE * len(s), PARITY_MOST):
+        bits *= 2
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Signs:
+    """Signatures of several widths. The halves of one, added bit by bit, are the signature of half the width."""
+
+    def __init__(self, parity: list[bytes] | np.ndarray):
+        self.words = np.array([len(p) // 8 for p in parity], np.int64)
+        #: By width: places of the rows that are as wide or wider, and their signatures at that width.
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider, folded = np.empty(0, np.int64), np.empty((0, 0), np.uint64)
+        for width in np.unique(self.words)[::-1].tolist():
+            while folded.shape[1] > width:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            own = np.flatnonzero(self.words == width)
+            mine = np.frombuffer(b"".join(parity[i] for i in own), np.uint64).reshape(len(own), width)
+            wider, folded = np.append(wider, own), np.concatenate([folded, mine]) if len(wider) else mine
+            place = np.full(len(self.words), -1)
+            place[wider] = np.arange(len(wider))
+            self.at[width] = place, folded
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of bits in which the signatures of rows a differ from those of rows b, at the narrower one's width."""
+        found, width = np.empty(len(a), np.int64), np.minimum(self.words[a], self.words[b])
+        for w, (place, sign) in self.at.items():
+            k = np.flatnonzero(width == w)
+            for piece in np.split(k, range(AT_ONCE // w, len(k), AT_ONCE // w)):
+                found[piece] = np.bitwise_count(sign[place[a[piece]]] ^ sign[place[b[piece]]]).sum(1)
+        return found
+
+
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parity", pa.binary())])
 
 
@@ -211,10 +248,6 @@ def _regions(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return own_columns(docs, "doc_id", "text").mapInArrow(lean(run), "key long, id long")
 
 
-def _pack(parity: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(parity), np.uint64).reshape(len(parity), PARITY_BITS // 64)
-
-
 def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Each region's pivot document, and bounds of every member's distance to it.
 
@@ -222,21 +255,22 @@ def _star(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, pivot, pivot_n, pivot_sign = None, 0, 0, None
+        open_key, pivot, pivot_n, pivot_sign = None, 0, 0, b""
         for b in batches:
             if not b.num_rows:
                 continue
-            key, ident, n, sign = b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("n").to_numpy(), _pack(b.column("parity").to_numpy(zero_copy_only=False))
+            key, ident, n, parity = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "parity"))
             at = bounds(key)
             of = np.repeat(at[:-1], np.diff(at))
-            p, pn, ps = ident[of], n[of], sign[of]
+            p, pn, signs = ident[of], n[of], list(parity)
             if key[0] == open_key:
-                p[: at[1]], pn[: at[1]], ps[: at[1]] = pivot, pivot_n, pivot_sign
-            differ = np.maximum(np.bitwise_count(sign ^ ps).sum(1).astype(np.int64), np.abs(n - pn))
+                p[: at[1]], pn[: at[1]], of[: at[1]] = pivot, pivot_n, len(n)
+                signs.append(pivot_sign)
+            differ = np.maximum(Signs(signs).differ(np.arange(len(n)), of), np.abs(n - pn))
             low = 2 * differ / (n + pn + differ)  # |x - y| >= differ bounds the distance from below
             near = (den - num) * (n + pn) >= (den + num) * differ
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(p), pa.array(low.astype(np.float32)), pa.array(near & (p != ident))], names=["key", "id", "pivot", "low", "near"])
-            open_key, pivot, pivot_n, pivot_sign = key[-1], p[-1], pn[-1], ps[-1]
+            open_key, pivot, pivot_n, pivot_sign = key[-1], p[-1], pn[-1], signs[of[-1]]
 
     return rows.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id").mapInArrow(lean(run), "key long, id long, pivot long, low float, near boolean")
 
@@ -253,12 +287,13 @@ def _near_pivots(rows: DataFrame, pivots: DataFrame, reach: float) -> DataFrame:
             if not b.num_rows:
                 continue
             key, ident, n = (b.column(c).to_numpy() for c in ("key", "id", "n"))
-            sign, found = _pack(b.column("parity").to_numpy(zero_copy_only=False)), []
-            for k, first in zip(*np.unique(key, return_index=True), strict=True):
+            of, found = {int(k): b.column("pivots")[int(first)].as_py() for k, first in zip(*np.unique(key, return_index=True), strict=True)}, []
+            signs, last = Signs([*b.column("parity").to_pylist(), *(bytes.fromhex(p["sign"]) for pivots in of.values() for p in pivots)]), len(n)
+            for k, pivots in of.items():
                 at = np.flatnonzero(key == k)
-                for p in b.column("pivots")[int(first)].as_py():
-                    other = np.frombuffer(bytes.fromhex(p["sign"]), np.uint64)
-                    differ = np.maximum(np.bitwise_count(sign[at] ^ other).sum(1).astype(np.int64), np.abs(n[at] - p["n"]))
+                for p in pivots:
+                    differ = np.maximum(signs.differ(at, np.full(len(at), last)), np.abs(n[at] - p["n"]))
+                    last += 1
                     near = at[2 * differ <= reach * (n[at] + p["n"] + differ)]
                     found.append((key[near], ident[near], np.full(len(near), p["id"])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "id", "pivot"])
@@ -348,7 +383,7 @@ def _crossing(eps: float, num: int, den: int):
             return none
         order = np.argsort(c["n"], kind="stable")
         c = {k: v[order] for k, v in c.items()}
-        n, sign, found = c["n"], _pack(c["parity"]), []
+        n, found = c["n"], []
         for i in range(len(n) - 1):
             # Sizes ascend: partners end where a size is too large.
             end = int(np.searchsorted(n, den * n[i] // num, "right"))
@@ -359,12 +394,12 @@ def _crossing(eps: float, num: int, den: int):
             # Triangle inequality about the pivot.
             j = j[(c["low"][j] - c["high"][i] <= eps) & (c["low"][i] - c["high"][j] <= eps)]
             if len(j):
-                differ = np.bitwise_count(sign[j] ^ sign[i]).sum(1).astype(np.int64)
-                j = j[(den - num) * (n[j] + n[i]) >= (den + num) * differ]
-                found.append((np.full(len(j), c["id"][i]), c["id"][j]))
+                found.append((np.full(len(j), i), j))
         if not found:
             return none
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        near = (den - num) * (n[i] + n[j]) >= (den + num) * Signs(c["parity"]).differ(i, j)
+        a, b = c["id"][i[near]], c["id"][j[near]]
         return [np.minimum(a, b), np.maximum(a, b)]
 
     return pairs
